@@ -28,7 +28,7 @@ from ..operators import sessions as ss
 from ..operators import user_rules as ur
 from ..operators import windows_rules as wr
 from ..plans import behavior_agent, flow_agent, full_run, packet_agent
-from ..session import fresh_folder, prepare
+from ..session import fresh_folder, prepare, settle
 from ..sources import fixtures, readers, sinks
 from ..streaming import live
 
@@ -58,6 +58,11 @@ class Tables:
     def labelled(self) -> DataFrame:
         return ff.join_flow_labels(self.flows_ja3, self.flow_labels)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Labelled flows as a stored table, for operators that read them several times."""
+        return flow_agent.prepare_flows(self.netflow, self.zeek, self.flow_labels)
+
     @cached_property
     def flow_scores(self) -> DataFrame:
         return self.flows.select("flow_id", stand_in_flow_score().alias("flow_score"))
@@ -89,7 +94,7 @@ class Tables:
     def evaluated(self) -> DataFrame:
         """Labelled flows with the fused probability at four decimals."""
         rounded = self.correlated.select("flow_id", F.round("attack_probability", 4).alias("attack_probability"))
-        return ev.join_labels(rounded, self.flow_labels)
+        return settle(ev.join_labels(rounded, self.flow_labels), "evaluated")
 
     @cached_property
     def seeds(self) -> DataFrame:
@@ -102,7 +107,7 @@ class Tables:
 
     @cached_property
     def windows_clean(self) -> DataFrame:
-        return behavior_agent.clean_windows(self.windows_events)
+        return settle(behavior_agent.clean_windows(self.windows_events), "windows")
 
     @cached_property
     def ml_scores(self) -> DataFrame:
@@ -460,7 +465,7 @@ def flow_flag_syn(t):
 
 @query
 def flow_feature_vector(t):
-    out = ff.flow_feature_vector(t.labelled)
+    out = ff.flow_feature_vector(t.stored)
     return out.select("flow_id", *[r6(c) for c in out.columns if c != "flow_id"])
 
 
@@ -666,8 +671,8 @@ def severity_distribution(t):
 
 @query
 def score_summary(t):
-    batch = bh.score_summary(t.results.where("source = 'ueba'"), 0.75)
-    runner = bh.score_summary(t.results.where("source = 'ueba'"), 0.70)
+    scored = settle(ur.score_ueba(t.ueba, t.hosts, t.ml_scores), "user-scores")
+    batch, runner = bh.score_summary(scored, 0.75), bh.score_summary(scored, 0.70)
     return batch.withColumn("cut", F.lit("batch")).unionByName(runner.withColumn("cut", F.lit("runner")))
 
 
@@ -873,7 +878,7 @@ def classification_report(t):
 
 
 def labelled_features(t) -> DataFrame:
-    return ev.join_labels(ff.flow_feature_vector(t.labelled), t.flow_labels)
+    return ev.join_labels(ff.flow_feature_vector(t.stored), t.flow_labels)
 
 
 EVALUATED_FEATURES = ["bytes_sent_per_sec", *K.CLASSIFIER_FEATURES]
@@ -918,14 +923,14 @@ def standard_scaler(t):
 
 @query
 def iforest_fit(t):
-    features = ff.flow_feature_vector(t.labelled, keep=["flow_label"]).where("flow_label = 'NORMAL'")
-    model = iforest.fit(features, "flow_id", K.ANOMALY_FEATURES)
+    features = settle(ff.flow_feature_vector(t.stored, keep=["flow_label"]), "features")
+    model = iforest.fit(features.where("flow_label = 'NORMAL'"), "flow_id", K.ANOMALY_FEATURES)
     return t.spark.createDataFrame(model.nodes, iforest.NODE_SCHEMA)
 
 
 @query
 def iforest_score(t):
-    features = ff.flow_feature_vector(t.labelled, keep=["flow_label"])
+    features = settle(ff.flow_feature_vector(t.stored, keep=["flow_label"]), "features")
     model = iforest.fit(features.where("flow_label = 'NORMAL'"), "flow_id", K.ANOMALY_FEATURES)
     scored = iforest.score(features, model)
     return scored.select("flow_id", "raw_score", iforest.flow_calibration().alias("anomaly_score"))
@@ -938,8 +943,8 @@ def user_model_scores(t):
 
 @query
 def gbt_classifier(t):
-    art_features = ff.flow_feature_vector(t.labelled, keep=["flow_label"])
-    data = art_features.withColumn("label", (F.col("flow_label") != "NORMAL").cast("int"))
+    features = settle(ff.flow_feature_vector(t.stored, keep=["flow_label"]), "features")
+    data = features.withColumn("label", (F.col("flow_label") != "NORMAL").cast("int"))
     model = trees.fit_gbt(data, "flow_id", K.CLASSIFIER_FEATURES)
     return trees.probability(data, model, K.CLASSIFIER_FEATURES, "classifier_score").select(
         "flow_id", "label", "classifier_score"
@@ -968,7 +973,7 @@ def stratified_split(t):
 def trained_anomaly(t) -> flow_agent.FlowArtifacts:
     """Artifacts with the anomaly model, stored and read back."""
     path = fresh_folder(t.spark, "artifacts")
-    flow_agent.train(t.labelled, "anomaly").save(t.spark, path)
+    flow_agent.train(t.stored, "anomaly").save(t.spark, path)
     return flow_agent.FlowArtifacts.load(t.spark, path, with_classifier=False)
 
 
@@ -992,14 +997,14 @@ def train_stats_artifacts(t):
 
 @query
 def grade_flows(t):
-    return flow_agent.grade(t.flows_ja3, trained_anomaly(t))
+    return flow_agent.grade(t.stored, trained_anomaly(t))
 
 
 @query
 def full_run_decisions(t):
     """Agents' stand-in scores through fusion and response to the final decisions."""
     tables = full_run.Tables(t.netflow, t.zeek, t.windows_events, t.ueba, t.hosts, t.flow_labels, t.tickets)
-    out = full_run.fuse_and_respond(t.flows, tables, t.flow_scores, t.packet_scores, t.results)
+    out = full_run.fuse_and_respond(settle(t.flows, "flows"), tables, t.flow_scores, t.packet_scores, t.results)
     return rs.final_submission(out.responded)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import exact_quantiles
+from ..session import settle
 from .scaler import as_dict, fit_scaler, scaled
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, path double"
@@ -162,7 +163,10 @@ def fit(
     df: DataFrame, id_col: str, features: list[str],
     n_trees: int = 200, sample_size: int = 256, seed: int = 42,
 ) -> IsolationForestModel:
-    """Trains on all rows of ``df``; the driver receives the bounded node table only."""
+    """Trains on all rows of ``df``; the driver receives the bounded node table only.
+
+    Reads ``df`` three times (count, scale, sample): pass a stored table.
+    """
     n_rows = df.count()
     if n_rows == 0:
         raise ValueError("no rows to train on")
@@ -186,19 +190,25 @@ def flow_calibration(raw: str = "raw_score") -> Column:
 
 def user_calibration(scored: DataFrame, raw: str = "raw_score", name: str = "ml_score") -> DataFrame:
     """Between the 99th (score 0) and 1st (score 1) percentile of the raw scores, four decimals."""
-    low = exact_quantiles(scored, [raw], 0.01).select("quantile").scalar()
-    high = exact_quantiles(scored, [raw], 0.99).select("quantile").scalar()
+    scored = settle(scored, "raw-scores")
+    ends = exact_quantiles(scored, [raw], 0.01, 0.99).agg(
+        F.struct(F.min("quantile").alias("low"), F.max("quantile").alias("high"))
+    )
+    scored = scored.withColumn("_ends", ends.scalar())
+    low, high = F.col("_ends.low"), F.col("_ends.high")
     span = F.when(high - low == 0, F.lit(1.0)).otherwise(high - low)
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (high - F.col(raw)) / span))
-    return scored.withColumn(name, F.round(value, 4))
+    return scored.withColumn(name, F.round(value, 4)).drop("_ends")
 
 
 def packet_calibration(scored: DataFrame, contamination: float = 0.05, raw: str = "raw_score") -> DataFrame:
     """threat_score = 1 - min-max, is_anomaly = below the contamination quantile."""
+    scored = settle(scored, "raw-scores")
     ends = scored.agg(F.struct(F.min(raw).alias("lo"), F.max(raw).alias("hi")).alias("e"))
     cut = exact_quantiles(scored, [raw], contamination).select("quantile").scalar()
-    lo, hi = ends.scalar()["lo"], ends.scalar()["hi"]
+    scored = scored.withColumns({"_ends": ends.scalar(), "_cut": cut})
+    lo, hi = F.col("_ends.lo"), F.col("_ends.hi")
     spread = F.when(hi > lo, (F.col(raw) - lo) / (hi - lo)).otherwise(F.lit(0.0))
     return scored.withColumns(
-        {"threat_score": F.lit(1.0) - spread, "is_anomaly": (F.col(raw) < cut).cast("int")}
-    )
+        {"threat_score": F.lit(1.0) - spread, "is_anomaly": (F.col(raw) < F.col("_cut")).cast("int")}
+    ).drop("_ends", "_cut")

@@ -41,6 +41,6 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataF
     row = scaler.agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("m")
     )
-    return df.withColumns(
-        {c: (F.col(c) - row.scalar()[c]["mean"]) / row.scalar()[c]["scale"] for c in features}
-    )
+    return df.withColumn("_s", row.scalar()).withColumns(
+        {c: (F.col(c) - F.col("_s")[c]["mean"]) / F.col("_s")[c]["scale"] for c in features}
+    ).drop("_s")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import flag
+from ..session import settle
 from .ordered import cumulative_by_value
 
 
@@ -111,34 +112,42 @@ def score_counts(df: DataFrame, score: str, label: str, groups: list[str] | None
     )
 
 
-def roc_points(df: DataFrame, score: str = "attack_probability", label: str = "is_attack") -> DataFrame:
+def curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """Per distinct score: counts at or above it, false and true positive rate, precision.
 
     ``is_corner`` is false for points on a straight piece of the curve (the next score adds just
     as many positives and negatives); the operating point rules only look at corners.
     """
     both = ["pos", "neg"]
-    cum = cumulative_by_value(score_counts(df, score, label), "threshold", both, following=both)
+    counts = settle(score_counts(df, score, label), "scores")
+    cum = cumulative_by_value(counts, "threshold", both, following=both)
     first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
     bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-    whole = cum.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("w"))
+    whole = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("w"))
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    return cum.select(
+    return cum.withColumn("whole", whole.scalar()).select(
         "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"),
-        _ratio(fp, whole.scalar()["n"]).alias("fpr"),
-        _ratio(tp, whole.scalar()["p"]).alias("tpr"),
+        F.col("whole.p").alias("n_pos"), F.col("whole.n").alias("n_neg"),
+        _ratio(fp, F.col("whole.n")).alias("fpr"),
+        _ratio(tp, F.col("whole.p")).alias("tpr"),
         _ratio(tp, tp + fp).alias("precision"),
         (first | F.col("next_pos").isNull() | bends).alias("is_corner"),
     )
 
 
+def roc_points(df: DataFrame, score: str = "attack_probability", label: str = "is_attack") -> DataFrame:
+    """The curve without its class totals."""
+    return curve(df, score, label).drop("n_pos", "n_neg")
+
+
 def auroc(
     df: DataFrame, score: str = "attack_probability", label: str = "is_attack",
     groups: list[str] | None = None,
 ) -> DataFrame:
     """Rank AUC with tie averaging, one row (or one per group); null when a class is missing."""
     groups = groups or []
-    cum = cumulative_by_value(score_counts(df, score, label, groups), "threshold", ["neg"], groups, descending=False)
+    counts = settle(score_counts(df, score, label, groups), "scores")
+    cum = cumulative_by_value(counts, "threshold", ["neg"], groups, descending=False)
     below = F.col("cum_neg") - F.col("neg")
     won = F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
     p, n = F.sum("pos"), F.sum("neg")
@@ -156,7 +165,7 @@ def metrics_at_fpr(
     ``closest``: the point nearest to the rate, the higher threshold on a tie. ``last_below``: the
     last point that does not exceed it. The curve starts at the point that flags nothing.
     """
-    points = roc_points(df, score, label)
+    points = curve(df, score, label)
     corner = F.col("is_corner")
     point = F.struct("threshold", "tp", "fp", "fpr", "tpr", "precision")
     if rule == "closest":
@@ -168,13 +177,14 @@ def metrics_at_fpr(
             F.when(corner & (F.col("fpr") <= fpr), F.struct(F.col("threshold").alias("d"), F.lit(0).alias("t"), point.alias("p")))
         )
         usable = F.col("p").isNotNull()
-    totals = points.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("w"))
-    row = points.agg(best.alias("p")).select(F.when(usable, F.col("p.p")).alias("p"))
+    row = points.agg(best.alias("p"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg")).select(
+        F.when(usable, F.col("p.p")).alias("p"), "n_pos", "n_neg"
+    )
     tp, fp = F.coalesce("p.tp", F.lit(0)), F.coalesce("p.fp", F.lit(0))
     precision, recall = F.coalesce("p.precision", F.lit(0.0)), F.coalesce("p.tpr", F.lit(0.0))
     return row.select(
         F.col("p.threshold").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-        (totals.scalar()["n"] - fp).alias("tn"), (totals.scalar()["p"] - tp).alias("fn"),
+        (F.col("n_neg") - fp).alias("tn"), (F.col("n_pos") - tp).alias("fn"),
         F.coalesce("p.fpr", F.lit(0.0)).alias("fpr"), precision.alias("precision"), recall.alias("recall"),
         F.when(precision + recall > 0, 2 * precision * recall / (precision + recall))
         .otherwise(F.lit(0.0)).alias("f1"),

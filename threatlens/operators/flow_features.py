@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.expressions import finite, flag, lookup
+from ..session import settle
 from .ordered import rolling_counts
 
 
@@ -137,12 +138,11 @@ def swift_rate_stats(counted: DataFrame) -> DataFrame:
 
 def swift_rate_columns(flows: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Adds z-score and alarm of the two-minute count; flows that are no SWIFT queries get 0."""
-    counted = swift_rolling_counts(flows)
+    counted = settle(swift_rolling_counts(flows), "swift-rate")
     stats = swift_rate_stats(counted) if stats is None else stats
-    mean, std = stats.select("mean").scalar(), stats.select("std").scalar()
-    rated = counted.select(
+    rated = counted.withColumn("s", stats.select(F.struct("mean", "std")).scalar()).select(
         "flow_id",
-        ((F.col("count_2min") - mean) / std).alias("swift_query_zscore"),
+        ((F.col("count_2min") - F.col("s.mean")) / F.col("s.std")).alias("swift_query_zscore"),
         (F.col("count_2min") > 400).cast("int").alias("swift_rate_exceeded"),
     )
     return flows.join(rated, "flow_id", "left").fillna(
@@ -159,7 +159,8 @@ def flow_feature_vector(
 ) -> DataFrame:
     """All model inputs of a flow. ``flows`` has one row per flow_id and carries ja3_hash.
 
-    Statistics left out are computed from the flows themselves, as in training.
+    Statistics left out are computed from the flows themselves, as in training. The flows are read
+    by several branches, so pass a stored table, not a long plan.
     """
     if baseline is None and "flow_label" in flows.columns:
         baseline = normal_fingerprints(flows)

@@ -131,11 +131,11 @@ def correlate(
 
 def tier_distribution(df: DataFrame, column: str, tiers: list[str]) -> DataFrame:
     """Rows and share per tier; tiers without rows are listed with 0."""
-    spark = df.sparkSession
-    listed = spark.createDataFrame([(t,) for t in tiers], f"{column} string")
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    out = listed.join(counts, column, "left").fillna(0, ["n"])
-    whole = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return out.select(
-        column, "n", F.when(whole > 0, F.round(F.col("n") / whole, 6)).otherwise(F.lit(0.0)).alias("share")
+    per_tier = [
+        F.struct(F.lit(t).alias(column), F.count_if(F.col(column) == t).alias("n")) for t in tiers
+    ]
+    row = df.agg(F.array(*per_tier).alias("tiers"), F.count(F.lit(1)).alias("whole"))
+    return row.select(F.explode("tiers").alias("t"), "whole").select(
+        f"t.{column}", "t.n",
+        F.when(F.col("whole") > 0, F.round(F.col("t.n") / F.col("whole"), 6)).otherwise(F.lit(0.0)).alias("share"),
     )

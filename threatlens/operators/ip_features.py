@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -15,8 +15,8 @@ def busy_hours(events: DataFrame, time: str = "event_time") -> DataFrame:
     counts = events.where(F.col(time).isNotNull()).groupBy(F.hour(time).alias("hour")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    median = counts.agg(F.percentile("n", F.lit(0.5))).scalar()
-    return counts.where(F.col("n") >= median)
+    median = F.percentile("n", F.lit(0.5)).over(Window.partitionBy())
+    return counts.withColumn("median", median).where(F.col("n") >= F.col("median")).drop("median")
 
 
 def mark_off_hours(df: DataFrame, busy: DataFrame, time: str) -> DataFrame:
@@ -125,9 +125,9 @@ def quantile_indicators(features: DataFrame, q: float = 0.90) -> DataFrame:
             *[F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(c) for c in named.values()]
         ).alias("cut")
     )
-    return features.withColumns(
-        {ind: flag(F.col(c) > row.scalar()[c]) for ind, c in named.items()}
-    )
+    return features.withColumn("_cut", row.scalar()).withColumns(
+        {ind: flag(F.col(c) > F.col(f"_cut.{c}")) for ind, c in named.items()}
+    ).drop("_cut")
 
 
 # ── fingerprint rarity ────────────────────────────────────────────────────────────────────────

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import settle
 
 
 def _matches(column: str, pattern: str):
@@ -55,6 +56,7 @@ def killchain_paths(flows: DataFrame, hosts: DataFrame, chain: list[str] | None
         .agg(F.max(F.struct("start_time", "flow_id")).alias("latest"))
         .select("hop", "src_ip", "dst_ip", F.col("latest.flow_id").alias("flow_id"))
     )
+    edges = settle(edges, "edges")
     paths = None
     for hop in range(len(chain) - 1):
         step = edges.where(F.col("hop") == hop).select(

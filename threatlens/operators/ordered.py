@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HOUR
+from ..session import settle
 
 SLICE = "_slice"
 
@@ -180,8 +181,8 @@ def cumulative_by_value(
         t = t.join(t.groupBy(*groups).agg(*ends), groups)
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
-        bounds = t.agg(F.struct(*ends).alias("b"))
-        lo, hi = bounds.scalar()["_lo"], bounds.scalar()["_hi"]
+        t = t.withColumn("_ends", t.agg(F.struct(*ends).alias("b")).scalar())
+        lo, hi = F.col("_ends._lo"), F.col("_ends._hi")
     part = F.when(hi > lo, F.floor((F.col("_sv") - lo) / (hi - lo) * F.lit(blocks - 1))).otherwise(
         F.lit(0)
     )
@@ -216,8 +217,8 @@ def cumulative_by_value(
     )
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], q: float) -> DataFrame:
-    """One row per column: its exact quantile with linear interpolation between order statistics.
+def exact_quantiles(df: DataFrame, columns: list[str], *qs: float) -> DataFrame:
+    """(column, q, quantile): exact quantiles with linear interpolation between order statistics.
 
     Works on value counts and distributed running totals; nothing is gathered in one task.
     """
@@ -226,19 +227,20 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
         ).alias("e")
     ).select("e.*").where(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
     cum = cumulative_by_value(counts, "value", ["n"], ["column"], descending=False)
     total = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    pos = F.lit(float(q)) * (F.col("total") - 1)
-    ranked = cum.join(total, "column").withColumn("pos", pos)
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+    asked = total.select("column", "total", wanted)
+    ranked = cum.join(asked, "column").withColumn("pos", F.col("q") * (F.col("total") - 1))
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     low, high = F.floor("pos"), F.ceil("pos")
     return (
-        ranked.groupBy("column")
+        ranked.groupBy("column", "q")
         .agg(
             F.max(F.when((first <= low) & (low <= last), F.col("value"))).alias("lo"),
             F.max(F.when((first <= high) & (high <= last), F.col("value"))).alias("hi"),
             F.max(F.col("pos") - F.floor("pos")).alias("frac"),
         )
-        .select("column", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("quantile"))
+        .select("column", "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("quantile"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.expressions import as_bool, first_match, response_severity
+from ..session import settle
 from .cleaning import dedupe_hosts_by_ip
 from .fusion import seed_override
 
@@ -134,7 +135,7 @@ def swift_shortlist(df: DataFrame, behavior: DataFrame | None = None, top_n: int
 
     Each asset keeps its first place over both sources; only ``top_n`` rows are ordered and kept.
     """
-    best = top_candidate_per_asset(swift_candidates(df))
+    best = settle(top_candidate_per_asset(swift_candidates(df)), "assets")
     named = best.select(
         "affected_asset",
         F.struct(

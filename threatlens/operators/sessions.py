@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.expressions import flag
+from ..session import settle
 from .ip_features import (
     mark_off_hours,
     windows_aggregates,
@@ -129,9 +130,9 @@ def align_sessions(windows: DataFrame, zeek: DataFrame, tolerance: int = GAP) ->
 
     Missing numbers are 0; missing session starts stay null.
     """
-    win = windows.withColumn("_l", F.unix_micros("win_session_start")).drop("session_id")
-    zk = zeek.withColumn("_r", F.unix_micros("zeek_session_start")).drop("session_id")
-    pairs = nearest_start(win, zk, "source_ip", "_l", "_r", tolerance)
+    win = settle(windows.withColumn("_l", F.unix_micros("win_session_start")).drop("session_id"), "win")
+    zk = settle(zeek.withColumn("_r", F.unix_micros("zeek_session_start")).drop("session_id"), "zeek")
+    pairs = settle(nearest_start(win, zk, "source_ip", "_l", "_r", tolerance), "pairs")
     matched = win.join(pairs, ["source_ip", "_l"], "left").join(zk, ["source_ip", "_r"], "left")
     unmatched = zk.join(pairs.select("source_ip", "_r").distinct(), ["source_ip", "_r"], "left_anti")
     out = matched.unionByName(unmatched, allowMissingColumns=True).drop("_l", "_r")

@@ -11,6 +11,7 @@ from ..operators import behavior as bh
 from ..operators import user_rules as ur
 from ..operators import windows_rules as wr
 from ..operators.cleaning import dedupe_windows_events, impute_local_ip
+from ..session import settle
 
 
 def clean_windows(events: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def clean_windows(events: DataFrame) -> DataFrame:
 
 def user_model_scores(events: DataFrame, contamination: float = 0.02) -> DataFrame:
     """(ueba_id, ml_score) of the calibrated anomaly model. The contamination does not change scores."""
-    features = ur.ueba_features(events)
+    features = settle(ur.ueba_features(events), "user-features")
     model = iforest.fit(features, "ueba_id", K.USER_FEATURES)
     return iforest.user_calibration(iforest.score(features, model)).select("ueba_id", "ml_score")
 
@@ -29,9 +30,10 @@ def results(
 ) -> DataFrame:
     """All results in one layout. Without given model scores the anomaly model is trained first."""
     ml_scores = user_model_scores(ueba) if ml_scores is None else ml_scores
+    windows = settle(clean_windows(windows), "windows")
     return bh.union_results(
         ur.score_ueba(ueba, hosts, ml_scores),
-        wr.windows_results(wr.windows_event_rules(clean_windows(windows), hosts)),
+        wr.windows_results(wr.windows_event_rules(windows, hosts)),
         ur.velocity_results(ur.swift_query_velocity(ueba, hosts)),
     )
 

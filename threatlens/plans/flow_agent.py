@@ -14,6 +14,7 @@ from ..models import iforest, trees
 from ..operators import flow_features as ff
 from ..operators.cleaning import dedupe_flows
 from ..operators.live_rules import cti_overrides
+from ..session import settle
 from ..sources.readers import clean_netflow
 
 
@@ -44,13 +45,13 @@ class FlowArtifacts:
 
 
 def prepare_flows(flows: DataFrame, zeek: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """Cleaned, one row per flow_id, with fingerprint and (if labels are given) flow_label."""
+    """Cleaned, one row per flow_id, with fingerprint and (if labels are given) flow_label; stored."""
     out = dedupe_flows(clean_netflow(flows))
     if zeek is not None:
         out = ff.join_ja3_mode(out, zeek)
     elif "ja3_hash" not in out.columns:
         out = out.withColumn("ja3_hash", F.lit("UNKNOWN"))
-    return out if labels is None else ff.join_flow_labels(out, labels)
+    return settle(out if labels is None else ff.join_flow_labels(out, labels), "flows")
 
 
 def training_stats(flows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,7 +66,7 @@ def train(flows: DataFrame, kind: str = "both", **gbt) -> FlowArtifacts:
     """Trains on labelled flows: the anomaly model on NORMAL rows only, the classifier on all."""
     if "flow_label" not in flows.columns:
         raise ValueError("training needs flow_label")
-    features = ff.flow_feature_vector(flows, keep=["flow_label"])
+    features = settle(ff.flow_feature_vector(flows, keep=["flow_label"]), "features")
     normal = features.where("flow_label = 'NORMAL'")
     anomaly = iforest.fit(normal, "flow_id", K.ANOMALY_FEATURES)
     classifier = None

@@ -1,4 +1,7 @@
-"""All stages composed: agents, fusion, response. Stages hand over lazy DataFrames, no files."""
+"""All stages composed: agents, fusion, response.
+
+Stages hand over DataFrames. Results that several later stages read are stored once.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from ..operators import fusion as fu
 from ..operators import response as rs
 from ..operators.evaluation import join_labels, tune_threshold
 from ..operators.killchain import killchain_paths
+from ..session import settle
 from . import behavior_agent, flow_agent, packet_agent
 
 
@@ -41,9 +45,12 @@ def fuse_and_respond(
     """From the agents' scores to decisions. ``flows`` has one row per flow_id."""
     behavior = behavior_agent.behavior_scores(behavior_results)
     correlation = fu.correlate(flows, flow_scores, packet, behavior, seeds)
-    scored = correlation.select(
-        "flow_id", "attack_probability", "severity", "agents_fired", "boost_applied",
-        "mitre_technique", "predicted_category",
+    scored = settle(
+        correlation.select(
+            "flow_id", "attack_probability", "severity", "agents_fired", "boost_applied",
+            "mitre_technique", "predicted_category",
+        ),
+        "correlation",
     )
     threshold = tune_threshold(join_labels(scored, t.labels), max_fpr)
     responded = rs.respond(scored, flows, t.hosts, threshold, seeds)
@@ -56,9 +63,9 @@ def fuse_and_respond(
 
 def run(t: Tables, seeds: DataFrame | None = None, **gbt) -> Outputs:
     """Trains and scores all agents, then fuses and responds."""
-    flows = flow_agent.prepare_flows(t.netflow, t.zeek, t.labels).cache()
+    flows = flow_agent.prepare_flows(t.netflow, t.zeek, t.labels)
     art = flow_agent.train(flows, "both", **gbt)
     scores = flow_agent.flow_scores(flow_agent.score(flows, art))
     packet = packet_agent.packet_scores(packet_agent.run(t.windows, t.zeek))
-    behavior = behavior_agent.results(t.ueba, t.windows, t.hosts)
+    behavior = settle(behavior_agent.results(t.ueba, t.windows, t.hosts), "behavior")
     return fuse_and_respond(flows, t, scores, packet, behavior, seeds)

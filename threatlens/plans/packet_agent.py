@@ -10,6 +10,7 @@ from ..models import iforest, trees
 from ..operators import ip_features as ipf
 from ..operators import sessions as ss
 from ..operators.evaluation import best_f1_threshold
+from ..session import settle
 
 
 def address_features(windows: DataFrame, zeek: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def address_features(windows: DataFrame, zeek: DataFrame) -> DataFrame:
 
 def run(windows: DataFrame, zeek: DataFrame, contamination: float = 0.05) -> DataFrame:
     """One row per address: features, threat_score, is_anomaly, indicators, fingerprint counts."""
-    features = address_features(windows, zeek)
+    features = settle(address_features(windows, zeek), "addresses")
     model = iforest.fit(features, "source_ip", K.PACKET_FEATURES)
     scored = iforest.packet_calibration(iforest.score(features, model), contamination)
     marked = ipf.quantile_indicators(scored)
@@ -52,11 +53,14 @@ def score_sessions(
 
     The second flag uses the threshold with the best F1 on the held-out part.
     """
-    split = trees.stratified_split(sessions, "session_key", "session_label", test_share, seed)
+    split = settle(
+        trees.stratified_split(settle(sessions, "sessions"), "session_key", "session_label", test_share, seed),
+        "split",
+    )
     model = trees.fit_rf(
         split.where("not is_test"), K.PACKET_FEATURES, "session_label", n_trees, 2, depth, seed
     )
-    scored = trees.probability(split, model, K.PACKET_FEATURES, "rf_threat_score")
+    scored = settle(trees.probability(split, model, K.PACKET_FEATURES, "rf_threat_score"), "rf-scores")
     best = best_f1_threshold(scored.where("is_test"), "rf_threat_score", "session_label")
     cut = best.select("threshold").scalar()
     return model, scored.withColumns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,6 +25,7 @@ def build_session(app_name: str = "threatlens", master: str | None = None, **con
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    settings["spark.ui.showConsoleProgress"] = "false"
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -53,6 +54,18 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it back.
+
+    Used where several later steps need the same expensive result: it is computed once, its lineage
+    is cut, a lost executor costs nothing, and its measured size drives later join choices.
+    """
+    spark = df.sparkSession
+    path = fresh_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new, not yet existing folder below the shared one."""
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
