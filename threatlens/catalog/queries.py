@@ -93,7 +93,7 @@ class Tables:
     @cached_property
     def evaluated(self) -> DataFrame:
         """Labelled flows with the fused probability at four decimals."""
-        rounded = self.correlated.select("flow_id", F.round("attack_probability", 4).alias("attack_probability"))
+        rounded = self.correlated.select("flow_id", X.round_even("attack_probability", 4).alias("attack_probability"))
         return settle(ev.join_labels(rounded, self.flow_labels), "evaluated")
 
     @cached_property

@@ -65,6 +65,12 @@ def finite_or_null(value) -> Column:
     return F.when(~bad, value)
 
 
+def round_even(value, decimals: int) -> Column:
+    """Scaled rounding to the nearest even number, the way numeric arrays are rounded."""
+    scale = float(10**decimals)
+    return F.rint(col(value) * F.lit(scale)) / F.lit(scale)
+
+
 def is_blank(value) -> Column:
     value = col(value)
     return value.isNull() | (F.trim(value) == "")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import round_even
 from ..operators.ordered import exact_quantiles
 from ..session import settle
 from .scaler import as_dict, fit_scaler, scaled
@@ -198,7 +199,7 @@ def user_calibration(scored: DataFrame, raw: str = "raw_score", name: str = "ml_
     low, high = F.col("_ends.low"), F.col("_ends.high")
     span = F.when(high - low == 0, F.lit(1.0)).otherwise(high - low)
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (high - F.col(raw)) / span))
-    return scored.withColumn(name, F.round(value, 4)).drop("_ends")
+    return scored.withColumn(name, round_even(value, 4)).drop("_ends")
 
 
 def packet_calibration(scored: DataFrame, contamination: float = 0.05, raw: str = "raw_score") -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.expressions import (
     fused_severity,
     gated_fusion,
     lookup,
+    round_even,
     technique_of,
 )
 from .ordered import rolling_max_level
@@ -92,7 +93,7 @@ def classify(df: DataFrame) -> DataFrame:
     match = F.col("ind_ja3_c2_match") if "ind_ja3_c2_match" in df.columns else None
     return df.withColumns(
         {
-            "attack_probability": F.round("threat_score", 6),
+            "attack_probability": round_even("threat_score", 6),
             "severity": fused_severity("threat_score"),
             "predicted_category": category_column(match),
         }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.expressions import as_bool, first_match, response_severity
+from ..functions.expressions import as_bool, first_match, response_severity, round_even
 from ..session import settle
 from .cleaning import dedupe_hosts_by_ip
 from .fusion import seed_override
@@ -201,7 +201,7 @@ def respond(
 def final_submission(responded: DataFrame) -> DataFrame:
     return responded.select(
         "flow_id",
-        F.round("attack_probability", 4).alias("attack_probability"),
+        round_even("attack_probability", 4).alias("attack_probability"),
         "attack_decision",
         F.coalesce("predicted_category", F.lit("")).alias("attack_category_predicted"),
         F.coalesce("mitre_technique", F.lit("")).alias("mitre_technique_predicted"),

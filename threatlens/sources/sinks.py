@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import round_even
+
 CORRELATION_COLUMNS = [
     "flow_id", "attack_probability", "severity", "agents_fired", "boost_applied",
     "mitre_technique", "predicted_category",
@@ -22,7 +24,9 @@ FINAL_COLUMNS = [
 def shaped(df: DataFrame, columns: list[str], decimals: dict[str, int] | None = None) -> DataFrame:
     """The output columns in their order, scores rounded."""
     decimals = decimals or {}
-    return df.select(*[F.round(c, decimals[c]).alias(c) if c in decimals else F.col(c) for c in columns])
+    return df.select(
+        *[round_even(c, decimals[c]).alias(c) if c in decimals else F.col(c) for c in columns]
+    )
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

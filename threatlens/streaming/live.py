@@ -131,24 +131,32 @@ def cooled_batch(candidates: DataFrame, seconds: int = K.ALERT_COOLDOWN_SEC) ->
     """Batch twin of the cooldown.
 
     A pause longer than the cooldown always lets the next alert through, so each stretch without such
-    a pause is a group of its own, with at most one row per second of its length.
+    a pause stands alone: stretches, not sources, are spread over the tasks and walked in order.
     """
     timed = candidates.withColumns(
         {"us": F.unix_micros("alert_time"), "pair": F.concat_ws("\u0001", "src_ip", "attack_name")}
     )
     stretches = session_numbers(timed, "pair", "us", seconds * K.SECOND)
-    grouped = timed.join(stretches, ["pair", "us"]).groupBy("pair", "session_seq")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us")
-        kept, last = [], None
-        for at in rows["us"]:
-            emit = last is None or at - last > seconds * K.SECOND
-            kept.append(emit)
-            last = at if emit else last
-        return rows.loc[kept, ["src_ip", "attack_name", "severity", "alert_time"]]
+    ordered = (
+        timed.join(stretches, ["pair", "us"])
+        .repartition("pair", "session_seq")
+        .sortWithinPartitions("pair", "session_seq", "us")
+        .select("pair", "session_seq", "us", "src_ip", "attack_name", "severity", "alert_time")
+    )
 
-    return grouped.applyInPandas(walk, ALERT_SCHEMA)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A stretch arrives in order and may span batches, so only its last emission is kept.
+        stretch, last = None, 0
+        for rows in batches:
+            kept = []
+            for pair, seq, at in zip(rows["pair"], rows["session_seq"], rows["us"]):
+                emit = (pair, seq) != stretch or at - last > seconds * K.SECOND
+                stretch = (pair, seq)
+                kept.append(emit)
+                last = at if emit else last
+            yield rows.loc[kept, ["src_ip", "attack_name", "severity", "alert_time"]]
+
+    return ordered.mapInPandas(walk, ALERT_SCHEMA)
 
 
 def counters(scored: DataFrame) -> DataFrame:
