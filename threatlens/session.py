@@ -66,6 +66,17 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/threatlens-{spark.sparkContext.applicationId}"
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A new, not yet existing folder below the shared one."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, not yet existing folder below this application's part of the shared one."""
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables this application stored; call it when its results are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
