@@ -15,8 +15,22 @@ ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {name: view_sql(name) for name in VIEWS}
 
 
+def even(sql: str) -> str:
+    """Writes ROUND(x, n) as scaled rounding to even, which both engines compute alike."""
+    while found := re.search(r"\bROUND\(", sql):
+        depth, comma, i = 1, 0, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            comma = i if sql[i] == "," and depth == 1 else comma
+            i += 1
+        scale = f"1e{sql[comma + 1:i - 1].strip()}"
+        inner = sql[found.end():comma]
+        sql = f"{sql[:found.start()]}(ROUND_EVEN(({inner})*{scale}, 0)/{scale} + 0e0){sql[i:]}"
+    return sql
+
+
 def cte(name: str, sql: str) -> None:
-    CTES[name] = sql
+    CTES[name] = even(sql)
 
 
 def _used(sql: str, found: set[str]) -> set[str]:
@@ -28,6 +42,7 @@ def _used(sql: str, found: set[str]) -> set[str]:
 
 
 def oracle(name: str, sql: str) -> None:
+    sql = even(sql)
     used = _used(sql, set())
     parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in used]
     ORACLES[name] = (f"WITH {', '.join(parts)} " if parts else "") + sql
@@ -87,9 +102,9 @@ CATEGORY = (
     " WHEN is_internal_src AND is_internal_dst AND threat_score >= 0.75e0 THEN 'LATERAL_MOVEMENT'"
     " WHEN threat_score >= 0.85e0 THEN 'ZERO_DAY' ELSE 'NORMAL' END"
 )
-cte("categorised", f"SELECT *, ROUND_EVEN(threat_score*1e6, 0)/1e6 AS attack_probability, {ladder('threat_score', K.FUSED_LADDER, 'NORMAL')} AS severity, {CATEGORY} AS predicted_category FROM boosted")
+cte("categorised", f"SELECT *, ROUND(threat_score, 6) AS attack_probability, {ladder('threat_score', K.FUSED_LADDER, 'NORMAL')} AS severity, {CATEGORY} AS predicted_category FROM boosted")
 cte("correlated", f"SELECT *, {case('predicted_category', K.CATEGORY_TECHNIQUE, chr(39)*2)} AS mitre_technique FROM categorised")
-cte("evaluated", "SELECT c.flow_id, ROUND_EVEN(c.attack_probability*1e4, 0)/1e4 AS attack_probability, l.is_attack FROM correlated c JOIN flow_labels l USING (flow_id)")
+cte("evaluated", "SELECT c.flow_id, ROUND(c.attack_probability, 4) AS attack_probability, l.is_attack FROM correlated c JOIN flow_labels l USING (flow_id)")
 cte("byip", "SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ip_address ORDER BY hostname) AS rn FROM hosts) WHERE rn = 1")
 cte("enriched", "SELECT c.*, s.hostname AS src_hostname, d.hostname AS dst_hostname, COALESCE(s.is_honeypot, FALSE) OR COALESCE(d.is_honeypot, FALSE) AS is_honeypot, CASE WHEN s.hostname IS NOT NULL THEN COALESCE(s.criticality, 'LOW') END AS src_criticality, CASE WHEN d.hostname IS NOT NULL THEN COALESCE(d.criticality, 'LOW') END AS dst_criticality, COALESCE(d.hostname, s.hostname, c.dst_ip) AS affected_asset FROM correlated c LEFT JOIN byip s ON c.src_ip = s.ip_address LEFT JOIN byip d ON c.dst_ip = d.ip_address")
 cte("tiered", f"SELECT *, {ladder('attack_probability', K.RESPONSE_LADDER, 'LOW')} AS severity_label FROM enriched")
@@ -103,7 +118,7 @@ oracle("scan_typed_logs", " UNION ALL ".join(
 ))
 oracle("load_agent_scores", "SELECT id_orig_h AS src_ip, MAX((orig_bytes % 101)/100e0) AS packet_score FROM zeek GROUP BY 1")
 oracle("load_seed_list", "SELECT DISTINCT flow_id FROM flow_labels WHERE is_attack")
-oracle("sink_tables", "SELECT flow_id, ROUND_EVEN(attack_probability*1e4, 0)/1e4 AS attack_probability, severity, agents_fired, boost_applied, mitre_technique, predicted_category FROM correlated")
+oracle("sink_tables", "SELECT flow_id, ROUND(attack_probability, 4) AS attack_probability, severity, agents_fired, boost_applied, mitre_technique, predicted_category FROM correlated")
 
 # ── cleaning ──
 oracle("dedupe_flows", f"SELECT flow_id, {REST}, EPOCH_US(start_time) AS start_us FROM flows")
@@ -232,7 +247,7 @@ oracle("assign_severity_fused", f"SELECT *, {ladder('flow_score', K.FUSED_LADDER
 oracle("assign_severity_response", f"SELECT *, {ladder('flow_score', K.RESPONSE_LADDER, 'LOW')} AS severity_label FROM fscore")
 oracle("classify_category", "SELECT flow_id, attack_probability, severity, predicted_category, mitre_technique FROM correlated")
 oracle("map_mitre", "SELECT predicted_category, COUNT(*) AS n, ANY_VALUE(mitre_technique) AS mitre_technique FROM correlated GROUP BY 1")
-FINAL = "SELECT flow_id, ROUND_EVEN(attack_probability*1e4, 0)/1e4 AS attack_probability, CASE WHEN NOT attack_probability >= {t} THEN 'NORMAL' WHEN is_honeypot OR severity_label = 'CRITICAL' THEN 'BLOCK' ELSE 'ALERT' END AS attack_decision, predicted_category AS attack_category_predicted, mitre_technique AS mitre_technique_predicted FROM {src}"
+FINAL = "SELECT flow_id, ROUND(attack_probability, 4) AS attack_probability, CASE WHEN NOT attack_probability >= {t} THEN 'NORMAL' WHEN is_honeypot OR severity_label = 'CRITICAL' THEN 'BLOCK' ELSE 'ALERT' END AS attack_decision, predicted_category AS attack_category_predicted, mitre_technique AS mitre_technique_predicted FROM {src}"
 oracle("attack_decision", FINAL.format(t="0.5e0", src="tiered"))
 oracle("honeypot_override", "SELECT flow_id, is_honeypot, CASE WHEN is_honeypot THEN 'CRITICAL' ELSE severity_label END AS severity_label FROM tiered")
 cte("overridden", "SELECT t.* REPLACE (CASE WHEN s.flow_id IS NOT NULL THEN 1e0 ELSE attack_probability END AS attack_probability, CASE WHEN s.flow_id IS NOT NULL THEN 'CRITICAL' ELSE severity_label END AS severity_label) FROM tiered t LEFT JOIN seeds s ON t.flow_id = s.flow_id")
@@ -408,7 +423,7 @@ oracle("top_candidate_per_asset", f"SELECT {CAND} FROM cands")
 cte("flagged", "SELECT *, CASE source WHEN 'ueba' THEN 0 WHEN 'windows' THEN 1 ELSE 2 END AS so FROM results WHERE CONTAINS(LOWER(flags), 'swift')")
 cte("places", "SELECT hostname AS affected_asset, 0 AS branch, so, event_time, event_ref, 0e0 AS p, '' AS tie FROM flagged UNION ALL SELECT source_ip, 1, so, event_time, event_ref, 0e0, '' FROM flagged WHERE source_ip <> '' UNION ALL SELECT affected_asset, 2, 0, NULL, '', -attack_probability, flow_id FROM cands")
 cte("firsts", "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY affected_asset ORDER BY branch, so, event_time NULLS FIRST, event_ref, p, tie) AS rn FROM places WHERE affected_asset IS NOT NULL) WHERE rn = 1 ORDER BY branch, so, event_time NULLS FIRST, event_ref, p, tie, affected_asset LIMIT 500")
-oracle("swift_shortlist", "SELECT c.flow_id, f.affected_asset, COALESCE(ROUND_EVEN(c.attack_probability*1e6, 0)/1e6, 1e0) AS attack_probability, COALESCE(c.severity_label, 'CRITICAL') AS severity_label, COALESCE(c.segment, 'SWIFT') AS segment, c.mitre_technique FROM firsts f LEFT JOIN cands c USING (affected_asset)")
+oracle("swift_shortlist", "SELECT c.flow_id, f.affected_asset, COALESCE(ROUND(c.attack_probability, 6), 1e0) AS attack_probability, COALESCE(c.severity_label, 'CRITICAL') AS severity_label, COALESCE(c.segment, 'SWIFT') AS segment, c.mitre_technique FROM firsts f LEFT JOIN cands c USING (affected_asset)")
 oracle("match_tickets_to_shortlist", "SELECT incident_id, EXISTS (SELECT 1 FROM cands WHERE LIST_CONTAINS(STRING_SPLIT(t.affected_assets, '|'), cands.affected_asset)) AS caught FROM tickets t WHERE CONTAINS(LOWER(attack_pattern), 'swift')")
 cte("sweep", "SELECT k/100e0 AS threshold, COUNT(*) FILTER (attack_probability >= k/100e0 AND is_attack) AS tp, COUNT(*) FILTER (attack_probability >= k/100e0 AND NOT is_attack) AS fp, COUNT(*) FILTER (attack_probability < k/100e0 AND NOT is_attack) AS tn, COUNT(*) FILTER (attack_probability < k/100e0 AND is_attack) AS fn FROM evaluated, RANGE(1, 100) r(k) GROUP BY k")
 RATES = "CASE WHEN fp + tn > 0 THEN fp/(fp + tn) ELSE 0e0 END AS fpr, CASE WHEN tp + fn > 0 THEN tp/(tp + fn) ELSE 0e0 END AS recall, CASE WHEN tp + fp > 0 THEN tp/(tp + fp) ELSE 0e0 END AS precision"
@@ -423,8 +438,8 @@ def tuned(limit: str) -> str:
 
 
 oracle("tune_threshold", f"SELECT {tuned('0.1e0')} AS threshold, 0.1e0 AS max_fpr UNION ALL SELECT {tuned('0.4e0')}, 0.4e0")
-oracle("triage_decision", f"SELECT flow_id, attack_probability >= {tuned('0.1e0')} AS predicted_tp, ROUND_EVEN(attack_probability*1e4, 0)/1e4 AS attack_probability, severity_label FROM overridden UNION ALL SELECT flow_id, TRUE, 1e0, 'CRITICAL' FROM seeds WHERE flow_id NOT IN (SELECT flow_id FROM flows)")
-oracle("union_injected_rows", "SELECT flow_id, attack_probability >= 0.5e0 AS predicted_tp, ROUND_EVEN(attack_probability*1e4, 0)/1e4 AS attack_probability, severity_label FROM tiered UNION ALL SELECT flow_id, TRUE, 1e0, 'CRITICAL' FROM seeds WHERE flow_id NOT IN (SELECT flow_id FROM flows)")
+oracle("triage_decision", f"SELECT flow_id, attack_probability >= {tuned('0.1e0')} AS predicted_tp, ROUND(attack_probability, 4) AS attack_probability, severity_label FROM overridden UNION ALL SELECT flow_id, TRUE, 1e0, 'CRITICAL' FROM seeds WHERE flow_id NOT IN (SELECT flow_id FROM flows)")
+oracle("union_injected_rows", "SELECT flow_id, attack_probability >= 0.5e0 AS predicted_tp, ROUND(attack_probability, 4) AS attack_probability, severity_label FROM tiered UNION ALL SELECT flow_id, TRUE, 1e0, 'CRITICAL' FROM seeds WHERE flow_id NOT IN (SELECT flow_id FROM flows)")
 
 # ── aggregates ──
 SOFT_W = "ROUND(win_fail_ratio, 6) AS win_fail_ratio, ROUND(win_priv_ratio, 6) AS win_priv_ratio, ROUND(win_process_ratio, 6) AS win_process_ratio, ROUND(win_off_hours_ratio, 6) AS win_off_hours_ratio"

@@ -146,7 +146,7 @@ def us(column: str, name: str):
 
 
 def r6(column: str):
-    return F.round(column, 6).alias(column)
+    return X.round_even(column, 6).alias(column)
 
 
 def query(fn: Callable[[Tables], DataFrame]):
@@ -264,7 +264,7 @@ def stream_sink_alerts(t):
     alerts = live_stream(t).where("attack_name is not null").select(
         "flow_id", F.col("src_ip").alias("ip"), "attack_name", F.col("live_severity").alias("severity"),
         F.unix_micros("start_time").alias("alert_us"),
-        F.round("correlation_score", 2).alias("correlation_score"),
+        X.round_even("correlation_score", 2).alias("correlation_score"),
     )
     return live.run_to_table(alerts, "alerts", fmt="json")
 
@@ -471,7 +471,7 @@ def flow_feature_vector(t):
 
 @query
 def ueba_features(t):
-    return ur.ueba_features(t.ueba).withColumn("event_type_risk", F.round("event_type_risk", 6))
+    return ur.ueba_features(t.ueba).withColumn("event_type_risk", X.round_even("event_type_risk", 6))
 
 
 @query
@@ -550,7 +550,7 @@ def ueba_rules(t):
 
 @query
 def user_baseline_bytes(t):
-    return ur.user_baseline_bytes(t.ueba).select("ueba_id", F.round("avg_bytes", 4).alias("avg_bytes"))
+    return ur.user_baseline_bytes(t.ueba).select("ueba_id", X.round_even("avg_bytes", 4).alias("avg_bytes"))
 
 
 @query
@@ -584,7 +584,7 @@ def ensemble_blend(t):
         "flow_id", stand_in_flow_score().alias("classifier"),
         (F.col("packets_recv") / F.lit(10.0)).alias("anomaly"),
     )
-    return both.select("flow_id", F.round(X.ensemble("classifier", "anomaly"), 6).alias("attack_probability"))
+    return both.select("flow_id", X.round_even(X.ensemble("classifier", "anomaly"), 6).alias("attack_probability"))
 
 
 @query
@@ -622,7 +622,7 @@ def windows_ip_features(t):
 
 def rounded_zeek(df: DataFrame, decimals: int = 4) -> DataFrame:
     soft = [c for c in df.columns if "mean" in c or "ratio" in c or "diversity" in c]
-    return df.select(*[F.round(c, decimals).alias(c) if c in soft else F.col(c) for c in df.columns])
+    return df.select(*[X.round_even(c, decimals).alias(c) if c in soft else F.col(c) for c in df.columns])
 
 
 @query
@@ -637,7 +637,7 @@ def busy_hours(t):
 
 @query
 def ja3_baseline_frequency(t):
-    return ipf.ja3_baseline_frequency(t.zeek).select("ja3_hash", F.round("ja3_frequency_in_normal", 8).alias("frequency"))
+    return ipf.ja3_baseline_frequency(t.zeek).select("ja3_hash", X.round_even("ja3_frequency_in_normal", 8).alias("frequency"))
 
 
 def flagged_zeek(t) -> DataFrame:
@@ -654,7 +654,7 @@ def ja3_row_flags(t):
 @query
 def ja3_ip_signal(t):
     out = ipf.join_ja3_signal(t.address_features.select("source_ip"), ipf.ja3_ip_signal(flagged_zeek(t)))
-    return out.withColumn("ja3_min_frequency", F.round("ja3_min_frequency", 8))
+    return out.withColumn("ja3_min_frequency", X.round_even("ja3_min_frequency", 8))
 
 
 @query
@@ -713,7 +713,7 @@ def session_label(t):
 @query
 def user_profiles(t):
     return ur.user_profiles(t.ueba).select(
-        "username", "event_count", "bytes_total", F.round("bytes_mean", 4).alias("bytes_mean"), r6("peer_mean"),
+        "username", "event_count", "bytes_total", X.round_even("bytes_mean", 4).alias("bytes_mean"), r6("peer_mean"),
         F.array_join(F.transform("login_hours", lambda h: h.cast("string")), ",").alias("login_hours"),
     )
 
@@ -892,7 +892,7 @@ def feature_auroc(t):
 @query
 def class_means(t):
     out = ev.class_means(labelled_features(t), EVALUATED_FEATURES)
-    return out.select("feature", F.round("attack_mean", 4).alias("attack_mean"), F.round("normal_mean", 4).alias("normal_mean"))
+    return out.select("feature", X.round_even("attack_mean", 4).alias("attack_mean"), X.round_even("normal_mean", 4).alias("normal_mean"))
 
 
 @query
@@ -918,7 +918,7 @@ def standard_scaler(t):
     features = ur.ueba_features(t.ueba)
     stats = scaler.fit_scaler(features, K.USER_FEATURES)
     out = scaler.apply_scaler(features, stats, K.USER_FEATURES)
-    return out.select("ueba_id", *[F.round(c, 5).alias(c) for c in K.USER_FEATURES])
+    return out.select("ueba_id", *[X.round_even(c, 5).alias(c) for c in K.USER_FEATURES])
 
 
 @query
@@ -985,7 +985,7 @@ def train_stats_artifacts(t):
     ).unionByName(
         art.src_stats.agg(
             F.lit("source").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
-            F.round(F.avg("flow_count"), 6).alias("mean"), F.round(F.stddev_samp("flow_count"), 6).alias("std"),
+            X.round_even(F.avg("flow_count"), 6).alias("mean"), X.round_even(F.stddev_samp("flow_count"), 6).alias("std"),
         )
     ).unionByName(
         art.baseline.agg(

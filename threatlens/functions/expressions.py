@@ -66,9 +66,9 @@ def finite_or_null(value) -> Column:
 
 
 def round_even(value, decimals: int) -> Column:
-    """Scaled rounding to the nearest even number, the way numeric arrays are rounded."""
+    """Scaled rounding to the nearest even number, the way numeric arrays are rounded; no minus zero."""
     scale = float(10**decimals)
-    return F.rint(col(value) * F.lit(scale)) / F.lit(scale)
+    return F.rint(col(value) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def is_blank(value) -> Column:

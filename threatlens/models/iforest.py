@@ -148,7 +148,7 @@ def node_table(
     names = list(features)
     ready = df.select(id_col, *[scaled(c, scale).alias(c) for c in names])
 
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         picked = rows.sort_values(["h", "id"]).head(size)
         built = build_tree(picked[names].to_numpy(dtype=np.float64), np.random.default_rng([seed, tree]), limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import flag, flag_array, is_blank, join_flags, join_techniques
+from ..functions.expressions import flag, flag_array, is_blank, join_flags, join_techniques, round_even
 
 # indicator -> flags that raise it
 INDICATORS = {
@@ -50,7 +50,7 @@ def behavior_by_ip(results: DataFrame) -> DataFrame:
     critical = F.count_if(F.col("score") >= 0.85)
     anomalous = flag((best >= 0.70) & ((high >= 2) | (critical >= 1)))
     return usable.groupBy("source_ip").agg(
-        F.round(best, 4).alias("behavior_score"),
+        round_even(best, 4).alias("behavior_score"),
         anomalous.alias("is_behavior_anomaly"),
         *[_raised(flags).alias(name) for name, flags in INDICATORS.items()],
         F.count(F.lit(1)).alias("behavior_event_count"),
@@ -69,7 +69,7 @@ def top_anomalous_ips(by_ip: DataFrame, n: int = 10) -> DataFrame:
 
 def score_summary(results: DataFrame, cut: float = 0.75) -> DataFrame:
     return results.agg(
-        F.round(F.avg("score"), 4).alias("mean_score"),
+        round_even(F.avg("score"), 4).alias("mean_score"),
         F.max("score").alias("max_score"),
         F.count_if(F.col("score") >= cut).alias("n_flagged"),
     )

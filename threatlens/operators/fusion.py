@@ -138,5 +138,5 @@ def tier_distribution(df: DataFrame, column: str, tiers: list[str]) -> DataFrame
     row = df.agg(F.array(*per_tier).alias("tiers"), F.count(F.lit(1)).alias("whole"))
     return row.select(F.explode("tiers").alias("t"), "whole").select(
         f"t.{column}", "t.n",
-        F.when(F.col("whole") > 0, F.round(F.col("t.n") / F.col("whole"), 6)).otherwise(F.lit(0.0)).alias("share"),
+        F.when(F.col("whole") > 0, round_even(F.col("t.n") / F.col("whole"), 6)).otherwise(F.lit(0.0)).alias("share"),
     )

@@ -15,6 +15,7 @@ from ..functions.expressions import (
     is_blank,
     lookup,
     model_only,
+    round_even,
     technique_pairs,
 )
 from .cleaning import host_context, resolve_source_ip
@@ -158,7 +159,7 @@ def hybrid_results(ruled: DataFrame, hosts: DataFrame) -> DataFrame:
     extra_pair = technique_pairs([(alone, "ml_anomaly")], {"ml_anomaly": pair})
     scored = ruled.withColumns(
         {
-            "score": F.round(hybrid_score("ml_score", "rule_score"), 4),
+            "score": round_even(hybrid_score("ml_score", "rule_score"), 4),
             "flags": F.concat("flags", extra),
             "mitre": F.concat("mitre", extra_pair),
         }
@@ -168,8 +169,8 @@ def hybrid_results(ruled: DataFrame, hosts: DataFrame) -> DataFrame:
         F.concat_ws("@", "username", "hostname").alias("entity"),
         F.lit("ueba").alias("source"),
         "event_time", "score",
-        F.round("ml_score", 4).alias("ml_score"),
-        F.round("rule_score", 4).alias("rule_score"),
+        round_even("ml_score", 4).alias("ml_score"),
+        round_even("rule_score", 4).alias("rule_score"),
         "flags", "mitre", "source_ip", "username", "hostname",
     )
 
