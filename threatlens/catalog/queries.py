@@ -1019,7 +1019,10 @@ def stream_score_flows(t):
 
 @query
 def stream_alert_cooldown(t):
-    return live.run_to_table(live.cooled_stream(live_stream(t)), "cooled").select(
+    # One state partition per core, or fewer if the session asks for fewer.
+    wanted = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(wanted, t.spark.sparkContext.defaultParallelism)
+    return live.run_to_table(live.cooled_stream(live_stream(t)), "cooled", partitions=partitions).select(
         "src_ip", "attack_name", "severity", us("alert_time", "alert_us")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,14 +31,30 @@ def build_session(app_name: str = "threatlens", master: str | None = None, **con
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(), os.path.basename(package))
+        context.addPyFile(
+            shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+        )
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the results rely on: event times are UTC, skewed joins may be split."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    return spark
+    return ship(spark)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +20,9 @@ from ..operators.sessions import session_numbers
 from ..session import ROCKSDB_PROVIDER, fresh_folder
 from ..sources.readers import LIVE_SCHEMA
 
+# The driver-side runner of stateful streams does not see shipped files, so the processor travels whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ALERT_SCHEMA = "src_ip string, attack_name string, severity string, alert_time timestamp"
 
 
@@ -77,10 +83,10 @@ def alert_candidates(scored: DataFrame) -> DataFrame:
 
 
 class Cooldown(StatefulProcessor):
-    """Emits a candidate when more than the cooldown has passed since the last emitted one."""
+    """Emits a candidate when more than ``span`` microseconds have passed since the last emitted one."""
 
-    def __init__(self, seconds: int = K.ALERT_COOLDOWN_SEC):
-        self.seconds = seconds
+    def __init__(self, span: int):
+        self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "us long")
@@ -92,7 +98,7 @@ class Cooldown(StatefulProcessor):
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
         for at in micros:
-            emit = last is None or at - last > self.seconds * K.SECOND
+            emit = last is None or at - last > self.span
             kept.append(emit)
             last = at if emit else last
         self.last.update((int(last),))
@@ -122,7 +128,7 @@ def cooled_stream(scored: DataFrame, delay: str = "10 minutes", seconds: int = K
         .dropDuplicatesWithinWatermark(["src_ip", "attack_name", "alert_time"])
     )
     return candidates.groupBy("src_ip", "attack_name").transformWithStateInPandas(
-        statefulProcessor=Cooldown(seconds), outputStructType=ALERT_SCHEMA,
+        statefulProcessor=Cooldown(seconds * K.SECOND), outputStructType=ALERT_SCHEMA,
         outputMode="Append", timeMode="None",
     )
 
@@ -144,13 +150,15 @@ def cooled_batch(candidates: DataFrame, seconds: int = K.ALERT_COOLDOWN_SEC) ->
         .select("pair", "session_seq", "us", "src_ip", "attack_name", "severity", "alert_time")
     )
 
+    span = seconds * K.SECOND
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A stretch arrives in order and may span batches, so only its last emission is kept.
         stretch, last = None, 0
         for rows in batches:
             kept = []
             for pair, seq, at in zip(rows["pair"], rows["session_seq"], rows["us"]):
-                emit = (pair, seq) != stretch or at - last > seconds * K.SECOND
+                emit = (pair, seq) != stretch or at - last > span
                 stretch = (pair, seq)
                 kept.append(emit)
                 last = at if emit else last
@@ -184,15 +192,31 @@ def rate_windows(flows: DataFrame, delay: str = "10 minutes", size: str = "2 min
 # ── sinks ─────────────────────────────────────────────────────────────────────────────────────
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append", fmt: str = "parquet") -> DataFrame:
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None):
+    """Starts streams with ``count`` state partitions; a stream keeps them for its whole life."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if count:
+        spark.conf.set(name, count)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_to_table(
+    stream: DataFrame, label: str, mode: str = "append", fmt: str = "parquet", partitions: int | None = None
+) -> DataFrame:
     """Runs a stream over all available input into a new table below the shared folder; reads it back."""
     spark = stream.sparkSession
     out, state = fresh_folder(spark, label), fresh_folder(spark, f"{label}-state")
-    query = (
-        stream.writeStream.format(fmt).outputMode(mode)
-        .option("checkpointLocation", state).trigger(availableNow=True).start(out)
-    )
-    query.awaitTermination()
+    with state_partitions(spark, partitions):
+        query = (
+            stream.writeStream.format(fmt).outputMode(mode)
+            .option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).format(fmt).load(out)
 
 
