@@ -133,3 +133,16 @@ def test_cooldown_batch(spark):
                 want.append((ip, s))
                 last = s
     assert got == sorted(want)
+
+
+def test_settle_and_release(spark):
+    import os
+
+    from threatlens import session
+
+    stored = session.settle(spark.range(5), "five")
+    assert stored.count() == 5
+    folder = session._session_folder(spark)
+    assert os.path.isdir(folder)
+    session.release(spark)
+    assert not os.path.exists(folder)
