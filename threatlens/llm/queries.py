@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cost_packing, exact_dedup, kneser_ney, quality, token_files, warc
+from . import (
+    cost_packing,
+    exact_dedup,
+    kneser_ney,
+    line_templates,
+    lsh_forest,
+    quality,
+    stream_viterbi,
+    token_files,
+    voronoi_knn,
+    warc,
+)
 from .common import fold, fresh_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +40,52 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256")
+    )
+
+
+ORACLES["op1_line_templates"] = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS line_no FROM docs),
+masked AS (
+  SELECT doc_id, line_no, line, string_split(regexp_replace(
+    trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS words
+  FROM numbered
+),
+placed AS (
+  SELECT doc_id, line_no, array_to_string(words, ' ') AS masked, words,
+         concat(len(words), ' ', array_to_string(words[1:3], ' ')) AS leaf
+  FROM masked WHERE len(words) >= 5
+),
+leaves AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+lines AS (SELECT * FROM placed SEMI JOIN leaves USING (leaf)),
+patterns AS (SELECT leaf, masked, any_value(words) AS words, count(*) AS n FROM lines GROUP BY leaf, masked),
+places AS (
+  SELECT leaf, masked, n, unnest(words) AS word, unnest(generate_series(1, len(words))) AS place FROM patterns
+),
+usual AS (SELECT leaf, place, word FROM places WHERE place > 3 GROUP BY leaf, place, word HAVING sum(n) >= 5),
+fields AS (
+  SELECT p.leaf, p.masked, p.place, p.word, (p.place <= 3 OR u.word IS NOT NULL) AS constant
+  FROM places p LEFT JOIN usual u ON p.leaf = u.leaf AND p.place = u.place AND p.word = u.word
+),
+templates AS (
+  SELECT leaf, masked, CASE WHEN avg(CASE WHEN constant THEN 1.0 ELSE 0.0 END) >= 0.7
+    THEN string_agg(CASE WHEN constant THEN word ELSE '<*>' END, ' ' ORDER BY place) ELSE masked END AS template
+  FROM fields GROUP BY leaf, masked
+),
+known AS (SELECT l.doc_id, l.line_no, t.template FROM lines l JOIN templates t USING (leaf, masked)),
+recurring AS (SELECT template, min(doc_id) AS first_doc FROM known GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
+dropped AS (SELECT k.doc_id, k.line_no FROM known k JOIN recurring r USING (template) WHERE k.doc_id <> r.first_doc)
+SELECT n.doc_id, count(*)::INT AS n_lines, count(d.line_no)::INT AS n_dropped,
+       sha256(coalesce(string_agg(n.line, chr(10) ORDER BY n.line_no) FILTER (WHERE d.line_no IS NULL), '')) AS clean_sha256
+FROM numbered n LEFT JOIN dropped d ON n.doc_id = d.doc_id AND n.line_no = d.line_no GROUP BY n.doc_id
+"""
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -43,6 +100,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, folder))
 
 
+@query
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_stream_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    return stream_viterbi.decode_digests(stream_viterbi.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -58,6 +126,27 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 
+@query
+def op7_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op7_voronoi_knn"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), p -> p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

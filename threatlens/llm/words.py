@@ -56,7 +56,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-class _Memo(dict):
+class Memo(dict):
     """Word to the bytes of its ids; recent words in self, older ones in ``old`` until they are used."""
 
     def __init__(self, make, limit: int):
@@ -82,7 +82,7 @@ class WordEncoder:
         self.model = self.tok.model
         self.spaced = self.tok.normalizer is None  # byte level: a space belongs to the word after it
         self.table = str.maketrans({chr(b): _byte_char(b) for b in range(256)})
-        self.memo = _Memo(self._spaced_word if self.spaced else self._word, memory)
+        self.memo = Memo(self._spaced_word if self.spaced else self._word, memory)
 
     def encode(self, texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, lengths, ids) for slices of the rows; lengths has one entry per row, null is empty."""
