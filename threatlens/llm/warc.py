@@ -255,7 +255,8 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
     ``payload_digest`` of a response is computed from what was read; a revisit states that of its full payload.
     """
     manifest = spark.read.parquet(f"{folder}/manifest")
-    files = manifest.select("file").repartition("file")
+    files = manifest.select("file")
+    files = files.repartition(max(1, files.count()))  # a stated number: one file per task, however short the names
     return files.mapInArrow(
         _read_files(folder, with_payload),
         "file string, page_id long, url string, record_type string, payload_digest string, payload_bytes long,"
