@@ -25,8 +25,8 @@ BLOCK = 256
 #: Labelled rows that the network is fitted on at most, the first by hash of their id.
 FIT_ROWS = 20_000
 HIDDEN, EPOCHS, STEP, DECAY, SEED = 48, 40, 2e-3, 1e-4, 7
-#: Words that are pooled at once.
-CHUNK = 1 << 16
+#: Words that are pooled at once; within that, sums are of single precision.
+CHUNK = 1 << 13
 _SPLIT = (r"([\p{L}\p{N}])([^\p{L}\p{N}\s])", r"([^\p{L}\p{N}\s])([\p{L}\p{N}])")
 
 
@@ -218,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: st
         _features(vectors), "doc_id int, quality int, features binary"
     ).collect()
     found.sort(key=lambda r: r["features"])
-    x = np.array([np.frombuffer(r["features"], dtype=np.float32) for r in found]).reshape(len(found), -1)
+    x = np.array([np.frombuffer(r["features"], dtype=np.float32) for r in found]).reshape(len(found), 2 * DIM)
     y = np.array([r["quality"] for r in found], dtype=np.float64)
     return fit_network(x, y, np.array([r["doc_id"] == 1 for r in found], dtype=bool))
 
