@@ -104,7 +104,7 @@ CATEGORY = (
 )
 cte("categorised", f"SELECT *, ROUND(threat_score, 6) AS attack_probability, {ladder('threat_score', K.FUSED_LADDER, 'NORMAL')} AS severity, {CATEGORY} AS predicted_category FROM boosted")
 cte("correlated", f"SELECT *, {case('predicted_category', K.CATEGORY_TECHNIQUE, chr(39)*2)} AS mitre_technique FROM categorised")
-cte("evaluated", "SELECT c.flow_id, ROUND(c.attack_probability, 4) AS attack_probability, l.is_attack FROM correlated c JOIN flow_labels l USING (flow_id)")
+cte("evaluated", "SELECT c.flow_id, c.attack_probability, l.is_attack FROM correlated c JOIN flow_labels l USING (flow_id)")
 cte("byip", "SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ip_address ORDER BY hostname) AS rn FROM hosts) WHERE rn = 1")
 cte("enriched", "SELECT c.*, s.hostname AS src_hostname, d.hostname AS dst_hostname, COALESCE(s.is_honeypot, FALSE) OR COALESCE(d.is_honeypot, FALSE) AS is_honeypot, CASE WHEN s.hostname IS NOT NULL THEN COALESCE(s.criticality, 'LOW') END AS src_criticality, CASE WHEN d.hostname IS NOT NULL THEN COALESCE(d.criticality, 'LOW') END AS dst_criticality, COALESCE(d.hostname, s.hostname, c.dst_ip) AS affected_asset FROM correlated c LEFT JOIN byip s ON c.src_ip = s.ip_address LEFT JOIN byip d ON c.dst_ip = d.ip_address")
 cte("tiered", f"SELECT *, {ladder('attack_probability', K.RESPONSE_LADDER, 'LOW')} AS severity_label FROM enriched")
@@ -281,7 +281,6 @@ live_ctes("livescored", "flows_ja3")
 live_ctes("streamscored", "raw_ja3")
 oracle("classify_live_attack", "SELECT flow_id, attack_name, live_severity, ROUND(correlation_score, 6) AS correlation_score FROM livescored")
 oracle("stream_score_flows", "SELECT flow_id, attack_name, live_severity, ROUND(correlation_score, 6) AS correlation_score FROM streamscored")
-oracle("stream_sink_alerts", "SELECT flow_id, src_ip AS ip, attack_name, live_severity AS severity, EPOCH_US(start_time) AS alert_us, ROUND(correlation_score, 2) AS correlation_score FROM streamscored WHERE attack_name IS NOT NULL")
 oracle("stream_counters", "SELECT COUNT(*) AS total, COUNT(*) - COUNT(attack_name) AS benign, COUNT(attack_name) AS threats FROM streamscored")
 cte("candidates", "SELECT src_ip, attack_name, EPOCH_US(DATE_TRUNC('second', start_time)) AS alert_us, MIN(live_severity) AS severity FROM livescored WHERE attack_name IS NOT NULL GROUP BY 1, 2, 3")
 oracle("recent_alerts", "SELECT src_ip, attack_name, severity, alert_us FROM candidates ORDER BY alert_us DESC, src_ip, attack_name LIMIT 50")
@@ -300,14 +299,17 @@ def cooldown(source: str) -> str:
 
 oracle("alert_cooldown_batch", cooldown("candidates"))
 cte("rawcandidates", "SELECT src_ip, attack_name, EPOCH_US(DATE_TRUNC('second', start_time)) AS alert_us, MIN(live_severity) AS severity FROM streamscored WHERE attack_name IS NOT NULL GROUP BY 1, 2, 3")
-oracle("stream_alert_cooldown", cooldown("rawcandidates"))
+cte("streamend", "SELECT MAX(EPOCH_US(DATE_TRUNC('second', start_time))) - 600000000 AS passed_us FROM streamscored")
+oracle("stream_alert_cooldown", f"SELECT * FROM ({cooldown('rawcandidates')}) WHERE alert_us <= (SELECT passed_us FROM streamend)")
+cte("strongest", "SELECT * FROM (SELECT src_ip AS ip, attack_name AS name, EPOCH_US(DATE_TRUNC('second', start_time)) AS at_us, correlation_score, " + FSCORE + " AS flow_score, (src_port*3) % 100/100e0 AS behavior_score, src_port % 100/100e0 AS packet_score FROM streamscored WHERE attack_name IS NOT NULL) QUALIFY ROW_NUMBER() OVER (PARTITION BY ip, name, at_us ORDER BY correlation_score DESC, flow_score DESC, behavior_score DESC, packet_score DESC) = 1")
+oracle("stream_sink_alerts", f"SELECT alert_us, ip, attack_name, severity, ROUND(correlation_score, 2) AS correlation_score, ROUND(flow_score, 2) AS flow_score, ROUND(behavior_score, 2) AS behavior_score, ROUND(packet_score, 2) AS packet_score FROM ({cooldown('rawcandidates')}) c JOIN strongest s ON c.src_ip = s.ip AND c.attack_name = s.name AND c.alert_us = s.at_us WHERE alert_us <= (SELECT passed_us FROM streamend)")
 LOOP = "('127.0.0.1', 'localhost', '::1')"
 cte("blocked", f"SELECT src_ip, MIN(start_time) AS block_time FROM livescored WHERE attack_name IS NOT NULL AND src_ip NOT IN {LOOP} GROUP BY 1")
 cte("rawblocked", f"SELECT src_ip, MIN(start_time) AS block_time FROM streamscored WHERE attack_name IS NOT NULL AND src_ip NOT IN {LOOP} GROUP BY 1")
 oracle("blocked_sources", "SELECT src_ip, EPOCH_US(block_time) AS block_us FROM blocked")
 oracle("stream_blocklist", "SELECT f.src_ip, COUNT(*) AS n_passed FROM flows f LEFT JOIN rawblocked b ON f.src_ip = b.src_ip WHERE b.src_ip IS NULL OR f.start_time <= b.block_time GROUP BY 1")
 oracle("unblock_ip", "SELECT b.src_ip, EPOCH_US(b.block_time) AS block_us FROM blocked b LEFT JOIN (SELECT f.src_ip, MAX(f.start_time) AS u FROM flows f JOIN flow_labels l USING (flow_id) WHERE NOT l.is_attack AND f.packets_recv = 0 GROUP BY 1) r ON b.src_ip = r.src_ip WHERE r.u IS NULL OR r.u < b.block_time")
-oracle("stream_rate_window", f"SELECT src_ip, s AS start_us, s + 120000000 AS end_us, COUNT(*) AS n_queries FROM (SELECT src_ip, (EPOCH_US(start_time)//10000000)*10000000 - k*10000000 AS s FROM netflow, RANGE(0, 12) r(k) WHERE {SWIFT_SQL}) GROUP BY 1, 2")
+oracle("stream_rate_window", f"SELECT src_ip, s AS start_us, s + 120000000 AS end_us, COUNT(*) AS n_queries FROM (SELECT src_ip, (EPOCH_US(start_time)//10000000)*10000000 - k*10000000 AS s FROM netflow, RANGE(0, 12) r(k) WHERE {SWIFT_SQL}) GROUP BY 1, 2 HAVING s + 120000000 <= (SELECT MAX(EPOCH_US(start_time))//1000*1000 - 600000000 FROM netflow WHERE {SWIFT_SQL})")
 oracle("stream_source_flows", f"SELECT flow_id, src_ip, dst_ip, EPOCH_US(start_time) AS start_us, CAST(packets_sent AS DOUBLE) AS packets_sent, bytes_sent, dst_port, COALESCE(is_internal_src, FALSE) AS is_internal_src, ja3_hash, CASE WHEN src_port % 7 = 0 THEN 0.05e0 ELSE src_port % 100/100e0 END AS packet_score, CASE WHEN src_port % 7 = 0 THEN 0.05e0 ELSE src_port*3 % 100/100e0 END AS behavior_score FROM flows_ja3 WHERE src_port % 53 <> 0 AND src_port % 59 <> 0 AND bytes_sent IS NOT NULL")
 
 # ── user rules ──
@@ -494,3 +496,21 @@ oracle("disjoint_features", "SELECT feature, CAST(SUM(a) AS BIGINT) AS attack_va
 
 # ── stored statistics and the composed run ──
 oracle("train_stats_artifacts", "SELECT 'rate' AS artifact, CAST(1 AS BIGINT) AS n_rows, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std FROM ratestats UNION ALL SELECT 'source', COUNT(*), ROUND(AVG(flow_count), 6), ROUND(STDDEV_SAMP(flow_count), 6) FROM srcstats UNION ALL SELECT 'baseline', COUNT(DISTINCT ja3_hash), NULL, NULL FROM labelled WHERE flow_label = 'NORMAL'")
+
+# ── formula scores through calibration, split, and the composed run ──
+oracle("importance_share", "SELECT SPLIT_PART(feature, '_', 1) AS family, ROUND(SUM(importance), 6) AS share FROM (SELECT feature, ABS(ROUND(AVG(value) FILTER (is_attack), 4) - ROUND(AVG(value) FILTER (NOT is_attack), 4)) AS importance FROM lvalues GROUP BY 1) GROUP BY 1")
+cte("rawaddr", "SELECT *, -((win_total_events*57 + zeek_total_conns*23 + win_failed_logons*3) % 211 + 1)/212e0 AS raw FROM addresses")
+cte("calibrated", "SELECT *, 1e0 - CASE WHEN (SELECT MAX(raw) > MIN(raw) FROM rawaddr) THEN (raw - (SELECT MIN(raw) FROM rawaddr))/(SELECT MAX(raw) - MIN(raw) FROM rawaddr) ELSE 0e0 END AS threat_score, CAST(raw < (SELECT QUANTILE_CONT(raw, 0.05) FROM rawaddr) AS INT) AS is_anomaly FROM rawaddr")
+oracle("packet_calibration", "SELECT source_ip, ROUND(threat_score, 6) AS threat_score, is_anomaly FROM calibrated")
+oracle("top_threat_ips", f"SELECT source_ip, ROUND(threat_score, 6) AS threat_score, ind_high_fail_ratio, ind_high_upload_ratio, ind_high_port_spread, win_failed_logons, zeek_total_conns FROM calibrated JOIN ({ORACLES['quantile_indicators'][ORACLES['quantile_indicators'].rindex('SELECT source_ip, CAST(win_fail'):]}) USING (source_ip) WHERE is_anomaly = 1 ORDER BY threat_score DESC, source_ip LIMIT 20")
+cte("rawuser", "SELECT ueba_id, -((ueba_id*37) % 997 + 1)/1000e0 AS raw FROM ueba")
+cte("rawends", "SELECT QUANTILE_CONT(raw, 0.01) AS low, QUANTILE_CONT(raw, 0.99) AS high FROM rawuser")
+oracle("user_calibration", f"SELECT ueba_id, ROUND({clip('(high - raw)/CASE WHEN high - low = 0 THEN 1e0 ELSE high - low END')}, 4) AS ml_score FROM rawuser, rawends")
+cte("splitrows", "SELECT flow_id, CAST(is_attack AS INT) AS label, CAST('0x'||SUBSTR(MD5(flow_id||'/42'), 1, 4) AS INT) AS b FROM flow_labels")
+cte("splitcuts", "SELECT label, MAX(b) AS cut FROM (SELECT label, b, SUM(n) OVER (PARTITION BY label ORDER BY b) - n AS before, SUM(n) OVER (PARTITION BY label) AS total FROM (SELECT label, b, COUNT(*) AS n FROM splitrows GROUP BY 1, 2)) WHERE before + 0.5 < total*0.2e0 GROUP BY 1")
+oracle("stratified_split", "SELECT flow_id, label, COALESCE(b <= cut, FALSE) AS is_test FROM splitrows LEFT JOIN splitcuts USING (label)")
+cte("run_bscore", "SELECT source_ip AS src_ip, MAX(score) AS behavior_score FROM results WHERE source_ip IS NOT NULL GROUP BY 1")
+RUN = ("joined", "fused", "amplified", "windowed", "boosted", "categorised", "correlated", "enriched", "tiered", "evaluated", "sweep", "swept")
+for step in RUN:  # the fusion steps once more, over the behavior agent's own scores
+    CTES[f"run_{step}"] = re.sub(rf"\b({'|'.join(RUN)}|bscore)\b", r"run_\1", CTES[step])
+oracle("full_run_decisions", FINAL.format(t=tuned("0.1e0").replace("swept", "run_swept"), src="run_tiered"))

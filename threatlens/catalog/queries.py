@@ -34,6 +34,10 @@ from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+#: State partitions of the cooldown stream. A stream keeps the number for life, so it is set by the expected
+#: load and never by the machine of the first start.
+STATE_PARTITIONS = 16
+
 
 class Tables:
     """The security tables of one data folder, with the shared intermediate results."""
@@ -92,9 +96,8 @@ class Tables:
 
     @cached_property
     def evaluated(self) -> DataFrame:
-        """Labelled flows with the fused probability at four decimals."""
-        rounded = self.correlated.select("flow_id", X.round_even("attack_probability", 4).alias("attack_probability"))
-        return settle(ev.join_labels(rounded, self.flow_labels), "evaluated")
+        """Labelled flows with the fused probability (six decimals)."""
+        return ev.join_labels(self.correlated.select("flow_id", "attack_probability"), self.flow_labels)
 
     @cached_property
     def seeds(self) -> DataFrame:
@@ -232,41 +235,43 @@ def live_log_lines(t) -> DataFrame:
     return t.flows_ja3.select(F.when(F.col("src_port") % 59 == 0, short).otherwise(line).alias("value"))
 
 
-def live_log(t) -> DataFrame:
-    path = fresh_folder(t.spark, "live-log")
-    live_log_lines(t).write.text(path)
-    return live.read_live_log(t.spark, path, header=False)
-
-
 @query
 def stream_source_flows(t):
-    table = live.run_to_table(live_log(t), "live-flows")
+    path = fresh_folder(t.spark, "live-log")
+    live_log_lines(t).write.text(path)
+    table = live.run_to_table(lambda spark: live.read_live_log(spark, path, header=False), t.spark, "live-flows")
     return table.select(
         "flow_id", "src_ip", "dst_ip", us("start_time", "start_us"), "packets_sent", "bytes_sent", "dst_port",
         "is_internal_src", "ja3_hash", "packet_score", "behavior_score",
     )
 
 
-def net_stream(t) -> DataFrame:
+def net_stream(t, spark: SparkSession | None = None) -> DataFrame:
     """Flow records arriving as a stream of Parquet files."""
-    lineitem = t.spark.read.parquet(f"{t.dir}/lineitem.parquet").schema
-    files = t.spark.readStream.schema(lineitem).option("pathGlobFilter", "lineitem.parquet").parquet(t.dir)
-    return fixtures.over(t.spark, "netflow", lineitem=files)
+    spark = spark or t.spark
+    lineitem = spark.read.parquet(f"{t.dir}/lineitem.parquet").schema
+    files = spark.readStream.schema(lineitem).option("pathGlobFilter", "lineitem.parquet").parquet(t.dir)
+    return fixtures.over(spark, "netflow", lineitem=files)
 
 
-def live_stream(t) -> DataFrame:
-    """Streaming flows with fingerprint (stream-static join), stand-in scores and classification."""
-    return live.score_live(stand_in_live(ff.join_ja3_mode(net_stream(t), t.zeek)))
+def live_stream(t, spark: SparkSession | None = None) -> DataFrame:
+    """Streaming flows with fingerprint (joined from a stored table), stand-in scores and classification."""
+    spark = spark or t.spark
+    path = fresh_folder(t.spark, "modes")
+    ff.ja3_modes(t.zeek).write.parquet(path)
+    return live.score_live(stand_in_live(ff.join_ja3_mode(net_stream(t, spark), t.zeek, spark.read.parquet(path))))
 
 
 @query
 def stream_sink_alerts(t):
-    alerts = live_stream(t).where("attack_name is not null").select(
-        "flow_id", F.col("src_ip").alias("ip"), "attack_name", F.col("live_severity").alias("severity"),
-        F.unix_micros("start_time").alias("alert_us"),
-        X.round_even("correlation_score", 2).alias("correlation_score"),
-    )
-    return live.run_to_table(alerts, "alerts", fmt="json")
+    """The alert log: time, source, attack, severity and all scores, after the cooldown."""
+    def log(spark):
+        return live.cooled_stream(live_stream(t, spark)).select(
+            us("alert_time", "alert_us"), F.col("src_ip").alias("ip"), "attack_name", "severity",
+            *[X.round_even(c, 2).alias(c) for c in live.ALERT_SCORES],
+        )
+
+    return live.run_to_table(log, t.spark, "alerts", fmt="json", partitions=STATE_PARTITIONS)
 
 
 @query
@@ -777,12 +782,38 @@ def top_candidate_per_asset(t):
 
 @query
 def top_threat_ips(t):
+    marked = ipf.quantile_indicators(calibrated_addresses(t))
+    return ipf.top_threat_ips(marked).select(
+        "source_ip", r6("threat_score"), "ind_high_fail_ratio", "ind_high_upload_ratio", "ind_high_port_spread",
+        "win_failed_logons", "zeek_total_conns",
+    )
+
+
+@query
+def packet_model_top_ips(t):
     return ipf.top_threat_ips(packet_agent.run(t.windows_events, t.zeek)).select(
         "source_ip", "threat_score", "ind_high_fail_ratio", "ind_high_upload_ratio", "ind_high_port_spread",
         "win_failed_logons", "zeek_total_conns",
     )
 
 
+def calibrated_addresses(t) -> DataFrame:
+    """Address features with a stand-in raw score through the packet agent's calibration."""
+    raw = -(F.pmod(F.col("win_total_events") * 57 + F.col("zeek_total_conns") * 23 + F.col("win_failed_logons") * 3, F.lit(211)) + 1) / F.lit(212.0)
+    return iforest.packet_calibration(t.address_features.withColumn("raw_score", raw))
+
+
+@query
+def packet_calibration(t):
+    return calibrated_addresses(t).select("source_ip", r6("threat_score"), "is_anomaly")
+
+
+@query
+def user_calibration(t):
+    raw = -(F.pmod(F.col("ueba_id") * 37, F.lit(997)) + 1) / F.lit(1000.0)
+    return iforest.user_calibration(t.ueba.select("ueba_id", raw.alias("raw_score"))).select("ueba_id", "ml_score")
+
+
 @query
 def top_ja3_ips(t):
     return ipf.top_ja3_ips(ipf.ja3_ip_signal(flagged_zeek(t))).select(
@@ -889,12 +920,16 @@ def feature_auroc(t):
     return ev.feature_auroc(labelled_features(t), EVALUATED_FEATURES).select("feature", r6("auroc"))
 
 
-@query
-def class_means(t):
+def class_means_of(t) -> DataFrame:
     out = ev.class_means(labelled_features(t), EVALUATED_FEATURES)
     return out.select("feature", X.round_even("attack_mean", 4).alias("attack_mean"), X.round_even("normal_mean", 4).alias("normal_mean"))
 
 
+@query
+def class_means(t):
+    return class_means_of(t)
+
+
 @query
 def disjoint_features(t):
     # The label itself, as a feature, is the one that must be found disjoint.
@@ -906,6 +941,14 @@ def disjoint_features(t):
 
 @query
 def importance_share(t):
+    # Stand-in importance: how far apart a feature's class means lie.
+    means = class_means_of(t)
+    apart = means.select("feature", F.abs(F.col("attack_mean") - F.col("normal_mean")).alias("importance"))
+    return ev.importance_share(apart).select("family", r6("share"))
+
+
+@query
+def forest_importance_share(t):
     model, _ = session_forest(t)
     return ev.importance_share(trees.importances(model, K.PACKET_FEATURES, t.spark))
 
@@ -1013,16 +1056,18 @@ def full_run_decisions(t):
 
 @query
 def stream_score_flows(t):
-    scored = live_stream(t).select("flow_id", r6("correlation_score"), "attack_name", "live_severity")
-    return live.run_to_table(scored, "scored")
+    def scored(spark):
+        return live_stream(t, spark).select("flow_id", r6("correlation_score"), "attack_name", "live_severity")
+
+    return live.run_to_table(scored, t.spark, "scored")
 
 
 @query
 def stream_alert_cooldown(t):
-    # One state partition per core, or fewer if the session asks for fewer.
-    wanted = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = min(wanted, t.spark.sparkContext.defaultParallelism)
-    return live.run_to_table(live.cooled_stream(live_stream(t)), "cooled", partitions=partitions).select(
+    def cooled(spark):
+        return live.cooled_stream(live_stream(t, spark))
+
+    return live.run_to_table(cooled, t.spark, "cooled", partitions=STATE_PARTITIONS).select(
         "src_ip", "attack_name", "severity", us("alert_time", "alert_us")
     )
 
@@ -1063,7 +1108,9 @@ def stream_counters(t):
 
 @query
 def stream_rate_window(t):
-    rates = live.rate_windows(net_stream(t))
-    return live.run_complete(rates, "rates").select(
+    def rates(spark):
+        return live.rate_windows(net_stream(t, spark))
+
+    return live.run_to_table(rates, t.spark, "rates", partitions=STATE_PARTITIONS).select(
         "src_ip", us("window_start", "start_us"), us("window_end", "end_us"), "n_queries"
     )

@@ -61,23 +61,17 @@ def build_tree(points: np.ndarray, rng: np.random.Generator, limit: int) -> list
 def tree_samples(
     df: DataFrame, id_col: str, features: list[str], n_rows: int, n_trees: int, sample_size: int, seed: int
 ) -> DataFrame:
-    """(tree, h, features): about twice the wanted sample per tree, chosen by id hashes.
+    """(tree, h, features): about twice the wanted sample per tree, chosen by hashes of (id, tree).
 
-    Many rows: each row serves at most one tree. Few rows: every row is drawn anew for each tree.
+    Trees draw independently at every table size; a row is repeated only for the trees it falls into.
     """
-    wanted = n_trees * sample_size * OVERSAMPLE
+    share = int(HASH_RANGE * min(1.0, sample_size * OVERSAMPLE / max(n_rows, 1)))
     base = df.select(F.col(id_col).cast("string").alias("id"), *features)
-    if n_rows > wanted:
-        share = int(HASH_RANGE * wanted / n_rows)
-        kept = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASH_RANGE)) < share)
-        tree = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n_trees)).cast("int")
-        drawn = kept.withColumn("tree", tree)
-    else:
-        share = int(HASH_RANGE * min(1.0, sample_size * OVERSAMPLE / max(n_rows, 1)))
-        every = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        pick = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(HASH_RANGE))
-        drawn = every.where(pick < share)
-    return drawn.withColumn("h", F.xxhash64("tree", "id", F.lit(seed + 2)))
+    trees = F.filter(
+        F.sequence(F.lit(0), F.lit(n_trees - 1)),
+        lambda t: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(HASH_RANGE)) < share,
+    )
+    return base.withColumn("tree", F.explode(trees)).withColumn("h", F.xxhash64("tree", "id", F.lit(seed + 2)))
 
 
 @dataclass

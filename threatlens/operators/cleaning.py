@@ -1,27 +1,51 @@
 """Cleaning, deduplication and imputation.
 
 "First row per key" is a minimum over a struct, not a window: partial minima are taken before the
-shuffle, so a key with very many copies costs one row per task.
+shuffle, so a key with very many copies costs one row per task. Where keys are all but unique only the
+repeated ones are exchanged at all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_bool, is_blank
+from ..session import settle
+
+
+def _same_key(df: DataFrame, repeated: DataFrame, keys: list[str]):
+    return reduce(and_, [df[k].eqNullSafe(repeated[f"_key_{k}"]) for k in keys])
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], repeated: DataFrame | None = None) -> DataFrame:
     """The first row per key in the given order, remaining columns breaking ties (nulls first)."""
     rest = [c for c in df.columns if c not in keys and c not in order]
+    df = df if repeated is None else df.join(repeated, _same_key(df, repeated, keys), "left_semi")
     first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+def first_where_repeated(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``first_per_key`` for keys that are nearly unique: whole rows of other keys are not exchanged.
+
+    The repeated keys are found from the key columns alone and stored, so their measured size decides how they
+    are joined; without any, the table is returned as it is.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = settle(counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys]), "repeated-keys")
+    if repeated.isEmpty():
+        return df
+    once = df.join(repeated, _same_key(df, repeated, keys), "left_anti")
+    return once.unionByName(first_per_key(df, keys, order, repeated))
+
+
 def dedupe_flows(flows: DataFrame) -> DataFrame:
     """One row per flow_id: the earliest, then the smallest by the other columns."""
-    return first_per_key(flows, ["flow_id"], ["start_time"])
+    return first_where_repeated(flows, ["flow_id"], ["start_time"])
 
 
 def dedupe_windows_events(events: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from .ordered import cumulative_by_value
 
 
 def join_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scored flows that have a label (one label per flow)."""
-    known = labels.select("flow_id", "is_attack").where(F.col("is_attack").isNotNull())
-    return scored.join(known.dropDuplicates(["flow_id", "is_attack"]), "flow_id", "inner")
+    """Scored flows that have a label; a flow with contradictory labels counts as an attack."""
+    known = labels.where(F.col("is_attack").isNotNull()).groupBy("flow_id").agg(F.max("is_attack").alias("is_attack"))
+    return scored.join(known, "flow_id", "inner")
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -265,11 +265,17 @@ def feature_auroc(df: DataFrame, features: list[str], label: str = "is_attack")
 
 
 def class_means(df: DataFrame, features: list[str], label: str = "is_attack") -> DataFrame:
-    long = _unpivot(df, features, label)
-    return long.groupBy("feature").agg(
-        F.avg(F.when(F.col("label"), F.col("value"))).alias("attack_mean"),
-        F.avg(F.when(~F.col("label"), F.col("value"))).alias("normal_mean"),
-    )
+    """Mean of every feature per class: one aggregate over the rows as they are, turned round afterwards."""
+    hit = F.col(label)
+    means = F.array(*[
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.avg(F.when(hit, F.col(c).cast("double"))).alias("attack_mean"),
+            F.avg(F.when(~hit, F.col(c).cast("double"))).alias("normal_mean"),
+        )
+        for c in features
+    ])
+    return df.agg(means.alias("means")).select(F.explode("means").alias("m")).select("m.*")
 
 
 def disjoint_features(df: DataFrame, features: list[str], label: str = "is_attack") -> DataFrame:

@@ -17,7 +17,7 @@ def is_swift_sql():
     return (F.col("segment") == "SWIFT") & (F.col("dst_port") == K.SWIFT_SQL_PORT)
 
 
-def join_ja3_mode(flows: DataFrame, zeek: DataFrame) -> DataFrame:
+def ja3_modes(zeek: DataFrame) -> DataFrame:
     """Most frequent fingerprint of each (source, destination) pair; ties take the smallest.
 
     Counting per hash first keeps a busy pair spread; the winner is a partial minimum.
@@ -27,10 +27,15 @@ def join_ja3_mode(flows: DataFrame, zeek: DataFrame) -> DataFrame:
         .groupBy(F.col("id_orig_h").alias("src_ip"), F.col("id_resp_h").alias("dst_ip"), "ja3_hash")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    modal = counted.groupBy("src_ip", "dst_ip").agg(
+    return counted.groupBy("src_ip", "dst_ip").agg(
         F.min(F.struct((-F.col("n")).alias("neg"), "ja3_hash")).alias("m")
     ).select("src_ip", "dst_ip", F.col("m.ja3_hash").alias("ja3_hash"))
-    return flows.join(modal, ["src_ip", "dst_ip"], "left").withColumn(
+
+
+def join_ja3_mode(flows: DataFrame, zeek: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """Flows with the modal fingerprint of their pair; ``modes`` is its stored table where there is one."""
+    modes = ja3_modes(zeek) if modes is None else modes
+    return flows.join(modes, ["src_ip", "dst_ip"], "left").withColumn(
         "ja3_hash", F.coalesce("ja3_hash", F.lit("UNKNOWN"))
     )
 
@@ -137,7 +142,10 @@ def swift_rate_stats(counted: DataFrame) -> DataFrame:
 
 
 def swift_rate_columns(flows: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Adds z-score and alarm of the two-minute count; flows that are no SWIFT queries get 0."""
+    """Adds z-score and alarm of the two-minute count.
+
+    Flows that are no SWIFT queries get 0 and take no part in the join.
+    """
     counted = settle(swift_rolling_counts(flows), "swift-rate")
     stats = swift_rate_stats(counted) if stats is None else stats
     rated = counted.withColumn("s", stats.select(F.struct("mean", "std")).scalar()).select(
@@ -145,9 +153,12 @@ def swift_rate_columns(flows: DataFrame, stats: DataFrame | None = None) -> Data
         ((F.col("count_2min") - F.col("s.mean")) / F.col("s.std")).alias("swift_query_zscore"),
         (F.col("count_2min") > 400).cast("int").alias("swift_rate_exceeded"),
     )
-    return flows.join(rated, "flow_id", "left").fillna(
-        0, ["swift_query_zscore", "swift_rate_exceeded"]
+    swift = F.coalesce(is_swift_sql() & F.col("start_time").isNotNull(), F.lit(False))
+    others = flows.where(~swift).withColumns(
+        {"swift_query_zscore": F.lit(0.0), "swift_rate_exceeded": F.lit(0)}
     )
+    found = flows.where(swift).join(rated, "flow_id", "left").fillna(0, ["swift_query_zscore", "swift_rate_exceeded"])
+    return found.unionByName(others)
 
 
 def flow_feature_vector(

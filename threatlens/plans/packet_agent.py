@@ -47,7 +47,7 @@ def labelled_sessions(windows: DataFrame, zeek: DataFrame) -> DataFrame:
 
 
 def score_sessions(
-    sessions: DataFrame, n_trees: int = 300, depth: int = 15, test_share: float = 0.30, seed: int = 42
+    sessions: DataFrame, n_trees: int = 300, depth: int = trees.MAX_DEPTH, test_share: float = 0.30, seed: int = 42
 ):
     """Random forest over sessions: (model, all sessions with score and both flags).
 

@@ -34,6 +34,18 @@ def build_session(app_name: str = "threatlens", master: str | None = None, **con
     return ship(builder.getOrCreate())
 
 
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application for one stateful stream: RocksDB state, its number of partitions."""
+    own = spark.newSession()
+    for key, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+        "spark.sql.shuffle.partitions": partitions or spark.conf.get("spark.sql.shuffle.partitions"),
+    }.items():
+        own.conf.set(key, str(value))
+    return own
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +17,17 @@ from ..functions.expressions import gated_fusion
 from ..operators.flow_features import is_swift_sql
 from ..operators.live_rules import classify_live
 from ..operators.sessions import session_numbers
-from ..session import ROCKSDB_PROVIDER, fresh_folder
+from ..session import fresh_folder, stream_session
 from ..sources.readers import LIVE_SCHEMA
 
 # The driver-side runner of stateful streams does not see shipped files, so the processor travels whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ALERT_SCHEMA = "src_ip string, attack_name string, severity string, alert_time timestamp"
+#: Scores of an alert, strongest evidence first.
+ALERT_SCORES = ("correlation_score", "flow_score", "behavior_score", "packet_score")
+ALERT_SCHEMA = "src_ip string, attack_name string, severity string, alert_time timestamp, " + ", ".join(
+    f"{c} double" for c in ALERT_SCORES
+)
 
 
 def read_live_log(
@@ -70,66 +74,79 @@ def score_live(flows: DataFrame) -> DataFrame:
     return classify_live(flows.withColumn("correlation_score", fused))
 
 
+def _candidates(scored: DataFrame) -> DataFrame:
+    """One candidate per (source, attack, alert_time): severity and the scores of the strongest flow."""
+    scores = F.struct(*ALERT_SCORES)
+    return (
+        scored.where("attack_name is not null and alert_time is not null")
+        .groupBy("src_ip", "attack_name", "alert_time")
+        .agg(F.min("live_severity").alias("severity"), F.max(scores).alias("s"))
+        .select("src_ip", "attack_name", "severity", "alert_time", *[f"s.{c}" for c in ALERT_SCORES])
+    )
+
+
 def alert_candidates(scored: DataFrame) -> DataFrame:
     """One candidate per (source, attack, second): the log's time resolution.
 
     Batch form; the candidates of a key are bounded by its seconds, not by its flows.
     """
-    return (
-        scored.where("attack_name is not null and start_time is not null")
-        .groupBy("src_ip", "attack_name", F.date_trunc("second", "start_time").alias("alert_time"))
-        .agg(F.min("live_severity").alias("severity"))
-    )
+    return _candidates(scored.withColumn("alert_time", F.date_trunc("second", "start_time")))
 
 
 class Cooldown(StatefulProcessor):
-    """Emits a candidate when more than ``span`` microseconds have passed since the last emitted one."""
+    """Emits a candidate when more than ``span`` microseconds have passed since the last emitted one.
+
+    Candidates come once the watermark has passed them, so those of one batch are later than all before; the
+    last emission is forgotten when the watermark has left its cooldown.
+    """
 
     def __init__(self, span: int):
         self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        # Rows come in no order: one batch is sorted by event time before it is walked.
-        batch = pd.concat(list(rows)).sort_values(["alert_time", "severity"])
-        micros = batch["alert_time"].astype("datetime64[us]").astype("int64")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("alert_time")
+        micros = batch["alert_time"].astype("datetime64[us]").astype("int64").to_numpy()
         last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for at in micros:
-            emit = last is None or at - last > self.span
-            kept.append(emit)
-            last = at if emit else last
-        self.last.update((int(last),))
-        out = batch[kept]
-        if len(out):
-            yield out[["src_ip", "attack_name", "severity", "alert_time"]]
+        kept = emitted(micros, self.span, last)
+        if len(kept):
+            last = int(micros[kept[-1]])
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.span) // 1000 + 1)
+            yield batch.iloc[kept][[c.split()[0] for c in ALERT_SCHEMA.split(", ")]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.span < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.last.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
+def emitted(micros: np.ndarray, span: int, last: int | None = None) -> list[int]:
+    """Places of the instants (ascending) that are emitted: jumps from one to the first beyond its cooldown."""
+    kept, at = [], 0 if last is None else int(np.searchsorted(micros, last + span, "right"))
+    while at < len(micros):
+        kept.append(at)
+        at = int(np.searchsorted(micros, micros[at] + span, "right"))
+    return kept
+
+
 def cooled_stream(scored: DataFrame, delay: str = "10 minutes", seconds: int = K.ALERT_COOLDOWN_SEC) -> DataFrame:
-    """Streaming alerts with cooldown.
+    """Streaming alerts with cooldown, emitted when the watermark has passed them.
 
-    Repeated candidates of one second are dropped first, keyed by second as well, so a busy source
-    reaches the stateful step with at most one row per second.
+    Flows may come out of order by up to ``delay``. They are first brought together per second, which keeps a
+    busy source spread and its state bounded by the delay; then each (source, attack) is walked in time order.
+    Needs a RocksDB state store (``stream_session``).
     """
-    spark = scored.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    candidates = (
-        scored.where("attack_name is not null")
-        .select(
-            "src_ip", "attack_name", F.col("live_severity").alias("severity"),
-            F.date_trunc("second", "start_time").alias("alert_time"),
-        )
-        .withWatermark("alert_time", delay)
-        .dropDuplicatesWithinWatermark(["src_ip", "attack_name", "alert_time"])
-    )
-    return candidates.groupBy("src_ip", "attack_name").transformWithStateInPandas(
+    timed = scored.withColumn("alert_time", F.date_trunc("second", "start_time")).withWatermark("alert_time", delay)
+    return _candidates(timed).groupBy("src_ip", "attack_name").transformWithStateInPandas(
         statefulProcessor=Cooldown(seconds * K.SECOND), outputStructType=ALERT_SCHEMA,
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="EventTime",
     )
 
 
@@ -143,26 +160,30 @@ def cooled_batch(candidates: DataFrame, seconds: int = K.ALERT_COOLDOWN_SEC) ->
         {"us": F.unix_micros("alert_time"), "pair": F.concat_ws("\u0001", "src_ip", "attack_name")}
     )
     stretches = session_numbers(timed, "pair", "us", seconds * K.SECOND)
+    columns = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
     ordered = (
         timed.join(stretches, ["pair", "us"])
         .repartition("pair", "session_seq")
         .sortWithinPartitions("pair", "session_seq", "us")
-        .select("pair", "session_seq", "us", "src_ip", "attack_name", "severity", "alert_time")
+        .select("pair", "session_seq", "us", *columns)
     )
 
     span = seconds * K.SECOND
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A stretch arrives in order and may span batches, so only its last emission is kept.
-        stretch, last = None, 0
+        stretch, last = None, None
         for rows in batches:
+            names = pd.MultiIndex.from_frame(rows[["pair", "session_seq"]])
+            micros, edges = rows["us"].to_numpy(), np.flatnonzero(names[1:] != names[:-1]) + 1
             kept = []
-            for pair, seq, at in zip(rows["pair"], rows["session_seq"], rows["us"]):
-                emit = (pair, seq) != stretch or at - last > span
-                stretch = (pair, seq)
-                kept.append(emit)
-                last = at if emit else last
-            yield rows.loc[kept, ["src_ip", "attack_name", "severity", "alert_time"]]
+            for a, b in zip([0, *edges], [*edges, len(rows)]):
+                last = last if names[a] == stretch else None
+                stretch = names[a]
+                found = emitted(micros[a:b], span, last)
+                last = int(micros[a + found[-1]]) if found else last
+                kept += [a + i for i in found]
+            yield rows.iloc[kept][columns]
 
     return ordered.mapInPandas(walk, ALERT_SCHEMA)
 
@@ -177,7 +198,11 @@ def counters(scored: DataFrame) -> DataFrame:
 
 
 def rate_windows(flows: DataFrame, delay: str = "10 minutes", size: str = "2 minutes", step: str = "10 seconds") -> DataFrame:
-    """SWIFT database flows per source in sliding event-time windows; late rows are dropped."""
+    """SWIFT database flows per source in sliding event-time windows.
+
+    For append mode: a window is emitted once, when the watermark has passed its end, and leaves the state then;
+    rows that come later than ``delay`` are dropped.
+    """
     return (
         flows.where(is_swift_sql())
         .withWatermark("start_time", delay)
@@ -192,36 +217,28 @@ def rate_windows(flows: DataFrame, delay: str = "10 minutes", size: str = "2 min
 # ── sinks ─────────────────────────────────────────────────────────────────────────────────────
 
 
-@contextmanager
-def state_partitions(spark: SparkSession, count: int | None):
-    """Starts streams with ``count`` state partitions; a stream keeps them for its whole life."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    if count:
-        spark.conf.set(name, count)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def run_to_table(
-    stream: DataFrame, label: str, mode: str = "append", fmt: str = "parquet", partitions: int | None = None
+    stream: Callable[[SparkSession], DataFrame], spark: SparkSession, label: str, fmt: str = "parquet",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Runs a stream over all available input into a new table below the shared folder; reads it back."""
-    spark = stream.sparkSession
+    """Runs a stream over all available input into a new table below the shared folder; reads it back.
+
+    ``stream`` builds the stream in a session of its own, whose settings (state store, number of state
+    partitions) no other query sees.
+    """
+    own = stream_session(spark, partitions)
+    df = stream(own)
     out, state = fresh_folder(spark, label), fresh_folder(spark, f"{label}-state")
-    with state_partitions(spark, partitions):
-        query = (
-            stream.writeStream.format(fmt).outputMode(mode)
-            .option("checkpointLocation", state).trigger(availableNow=True).start(out)
-        )
-        query.awaitTermination()
-    return spark.read.schema(stream.schema).format(fmt).load(out)
+    query = (
+        df.writeStream.format(fmt).outputMode("append")
+        .option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    return spark.read.schema(df.schema).format(fmt).load(out)
 
 
 def run_complete(stream: DataFrame, label: str) -> DataFrame:
-    """Runs a complete-mode aggregate; every trigger replaces the table of its result."""
+    """Runs a complete-mode aggregate of bounded size; every trigger replaces the table of its result."""
     spark = stream.sparkSession
     out, state = fresh_folder(spark, label), fresh_folder(spark, f"{label}-state")
 
