@@ -1,4 +1,4 @@
-"""Blocked windows against brute force on random data with a hot key, ties and block borders."""
+"""Range-partitioned windows against brute force on random data with a hot key, ties and borders."""
 
 import random
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threatlens.operators import ordered, sessions
 from threatlens.streaming import live
 
-BLOCK = 1000
+PARTS = 7
 
 
 def events(n=400, seed=1):
@@ -37,12 +37,12 @@ def test_rolling_counts_follow_row_order(spark):
     widths = {"n": 700, "m": 50}
     got = {
         r["id"]: (r["n"], r["m"])
-        for r in ordered.rolling_counts(frame(spark, rows), ["k"], "at", "id", widths, block=BLOCK).collect()
+        for r in ordered.rolling_counts(frame(spark, rows), ["k"], "at", "id", widths, parts=PARTS).collect()
     }
     closed = {
         r["id"]: r["n"]
         for r in ordered.rolling_counts(
-            frame(spark, rows), ["k"], "at", "id", {"n": 700}, include_left=True, block=BLOCK
+            frame(spark, rows), ["k"], "at", "id", {"n": 700}, include_left=True, parts=PARTS
         ).collect()
     }
     assert len(got) == len(rows)
@@ -57,7 +57,7 @@ def test_rolling_counts_follow_row_order(spark):
 def test_prefix_sums(spark):
     rows = events(seed=2)
     out = ordered.prefix_sums(
-        frame(spark, rows), ["k"], "at", "id", {"s": F.col("v"), "c": F.lit(1)}, block=BLOCK
+        frame(spark, rows), ["k"], "at", "id", {"s": F.col("v"), "c": F.lit(1)}, parts=PARTS
     ).collect()
     got = {r["id"]: (r["s"], r["c"]) for r in out}
     for row in rows:
@@ -67,7 +67,7 @@ def test_prefix_sums(spark):
 
 def test_rolling_max_level(spark):
     rows = events(seed=3)
-    out = ordered.rolling_max_level(frame(spark, rows), "k", "at", "v", 3, 700, "m", block=BLOCK).collect()
+    out = ordered.rolling_max_level(frame(spark, rows), "k", "at", "v", 3, 700, "m", parts=PARTS).collect()
     got = {r["id"]: r["m"] for r in out}
     for row in rows:
         assert got[row[1]] == max(
@@ -77,9 +77,9 @@ def test_rolling_max_level(spark):
 
 def test_order_of_input_does_not_matter(spark):
     rows = events(seed=4)
-    a = ordered.rolling_counts(frame(spark, rows), ["k"], "at", "id", {"n": 700}, block=BLOCK)
+    a = ordered.rolling_counts(frame(spark, rows), ["k"], "at", "id", {"n": 700}, parts=PARTS)
     b = ordered.rolling_counts(
-        frame(spark, rows[::-1]).repartition(7, "v"), ["k"], "at", "id", {"n": 700}, block=BLOCK
+        frame(spark, rows[::-1]).repartition(7, "v"), ["k"], "at", "id", {"n": 700}, parts=PARTS
     )
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
@@ -89,7 +89,7 @@ def test_session_numbers(spark):
     gap = 120
     got = {
         (r["k"], r["at"]): r["session_seq"]
-        for r in sessions.session_numbers(frame(spark, rows), "k", "at", gap, BLOCK).collect()
+        for r in sessions.session_numbers(frame(spark, rows), "k", "at", gap, PARTS).collect()
     }
     for key in {r[0] for r in rows}:
         number, last = 0, None
@@ -111,7 +111,7 @@ def test_cumulative_and_quantiles(spark):
         assert abs(got[("x", q)] - np.percentile(values, 100 * q)) < 1e-9
         assert abs(got[("y", q)] - np.percentile(values * 2, 100 * q)) < 1e-9
     counts = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    cum = ordered.cumulative_by_value(counts, "x", ["n"], blocks=16, following=["n"]).orderBy(F.desc("x")).toPandas()
+    cum = ordered.cumulative_by_value(counts, "x", ["n"], parts=PARTS, following=["n"]).orderBy(F.desc("x")).toPandas()
     assert (cum["cum_n"].to_numpy() == cum["n"].cumsum().to_numpy()).all()
     assert (cum["next_n"].to_numpy()[:-1] == cum["n"].to_numpy()[1:]).all() and pd.isna(cum["next_n"].iloc[-1])
 
@@ -122,7 +122,8 @@ def test_cooldown_batch(spark):
     seconds = {("a", "x"): [0, 10, 11, 21, 22, 33], ("b", "x"): sorted({rng.randrange(400) for _ in range(150)})}
     rows = [(ip, name, "HIGH", start + s) for (ip, name), ss in seconds.items() for s in ss]
     df = spark.createDataFrame(rows, "src_ip string, attack_name string, severity string, s long").select(
-        "src_ip", "attack_name", "severity", F.timestamp_seconds("s").alias("alert_time")
+        "src_ip", "attack_name", "severity", F.timestamp_seconds("s").alias("alert_time"),
+        *[F.lit(0.5).alias(c) for c in live.ALERT_SCORES],
     )
     got = sorted((r["src_ip"], int(r["t"]) - start) for r in live.cooled_batch(df).withColumn("t", F.unix_seconds("alert_time")).collect())
     want = []
@@ -146,3 +147,18 @@ def test_settle_and_release(spark):
     assert os.path.isdir(folder)
     session.release(spark)
     assert not os.path.exists(folder)
+
+
+def test_crowded_key_is_spread(spark):
+    """All rows of one key within one hour, and one far outlier: partitions stay even."""
+    rows = [("hot", f"id{i}", i * 1000, 1) for i in range(4000)] + [("hot", "far", 10**15, 1), ("b", "b", 5, 1)]
+    df = frame(spark, rows)
+    parts = ordered.ranged(df.select("k", "at"), [F.col("k"), F.col("at")], 8)
+    assert parts.groupBy("k", ordered.PART).count().agg(F.max("count")).first()[0] < 1500
+    got = {r["id"]: r["n"] for r in ordered.rolling_counts(df, ["k"], "at", "id", {"n": 5000}, parts=8).collect()}
+    assert got["id3999"] == 5 and got["far"] == 1 and got["id2"] == 3
+    values = spark.createDataFrame([(float(i) / 1e6, 1) for i in range(4000)] + [(1e300, 1)], "x double, n long")
+    parts = ordered.ranged(values, [F.col("x")], 8)
+    assert parts.groupBy(ordered.PART).count().agg(F.max("count")).first()[0] < 1500
+    cum = ordered.cumulative_by_value(values, "x", ["n"], descending=False, parts=8)
+    assert cum.where("x = 1e300").first()["cum_n"] == 4001

@@ -36,7 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: State partitions of the cooldown stream. A stream keeps the number for life, so it is set by the expected
 #: load and never by the machine of the first start.
-STATE_PARTITIONS = 16
+STATE_PARTITIONS = 8
 
 
 class Tables:

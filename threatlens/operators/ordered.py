@@ -1,12 +1,15 @@
 """Ordered (running and sliding) computations that survive hot keys.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task. Here the time line of
-a key is cut into blocks and each block is a window partition of its own; what an earlier block
-contributes is passed on as one small row. Rows that share key and instant are first counted in
-cells (key, instant, slice of the id), so a single busy instant is spread as well.
-
-Order within a key is (instant, slice, id), where the slice is the first two hex digits of the
-id's MD5. All keys must be non-null.
+A plain ``Window.partitionBy(key)`` puts every row of a key into one task. Here the rows are dealt into
+range partitions by (key, order), which Spark balances by sampling the rows themselves, so a partition is
+as large as any other however the times of a key or the values of a column crowd. Each key's part of a
+range partition is a window partition of its own. A border between two partitions cuts one key at most, so
+what earlier partitions contribute is a table of at most one row per partition, and it is broadcast.
+
+Rows that share key and instant are first counted in cells (key, instant, slice of the id), so a single
+busy instant is spread as well. Order within a key is (instant, slice, id), where the slice is the first
+two hex digits of the id's MD5. All keys must be non-null. ``parts`` sets the number of range partitions;
+the session's number of shuffle partitions is the default.
 """
 
 from __future__ import annotations
@@ -14,51 +17,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import HOUR
 from ..session import settle
 
 SLICE = "_slice"
+PART = "_part"
 
 
 def tie_slice(tie: str) -> Column:
     return F.substring(F.md5(F.col(tie).cast("string")), 1, 2)
 
 
-def _block(at, width: int) -> Column:
-    return F.floor(F.col(at) / F.lit(width)) if isinstance(at, str) else F.floor(at / F.lit(width))
+def ranged(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """The rows dealt into range partitions, numbered in order by ``_part``; stored."""
+    dealt = df.repartitionByRange(*([parts] if parts else []), *order)
+    return settle(dealt.withColumn(PART, F.spark_partition_id()), "ranged")
+
+
+def _over(keys: list[str], *order: Column):
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
+def running(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None,
+    least_ahead: dict[str, Column] | None = None,
+    inclusive: bool = True,
+    descending: bool = False,
+    parts: int | None = None,
+) -> DataFrame:
+    """Adds running sums and maxima of the key's rows up to (``inclusive``) or before each row in order, and
+    the least value of the rows from it on (``least_ahead``). Sums without rows are 0, the others null."""
+    sums, maxima, least_ahead = sums or {}, maxima or {}, least_ahead or {}
+    ahead = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    back = [F.col(c).asc() if descending else F.col(c).desc() for c in order]
+    values = {**sums, **maxima, **least_ahead}
+    dealt = df.withColumns({f"_v_{n}": c for n, c in values.items()})
+    dealt = ranged(dealt, [*[F.col(k) for k in keys], *ahead], parts)
+
+    part = [*keys, PART]
+    upto = 0 if inclusive else -1
+    before = _over(part, *ahead).rowsBetween(Window.unboundedPreceding, upto)
+    # Running over the reversed order keeps the look ahead linear.
+    after = _over(part, *back).rowsBetween(Window.unboundedPreceding, upto)
+    own = {f"_i_{n}": F.sum(f"_v_{n}").over(before) for n in sums}
+    own |= {f"_i_{n}": F.max(f"_v_{n}").over(before) for n in maxima}
+    own |= {f"_i_{n}": F.min(f"_v_{n}").over(after) for n in least_ahead}
+
+    whole = dealt.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxima],
+        *[F.min(f"_v_{n}").alias(f"_t_{n}") for n in least_ahead],
+    )
+    earlier = _over(keys, F.col(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    later = _over(keys, F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    others = whole.select(
+        *part, cut.alias("_cut"),
+        *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in sums],
+        *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in maxima],
+        *[F.min(f"_t_{n}").over(later).alias(f"_o_{n}") for n in least_ahead],
+    ).where("_cut > 1").drop("_cut")
+    zero = F.lit(0)
+    out = {n: F.coalesce(f"_o_{n}", zero) + F.coalesce(f"_i_{n}", zero) for n in sums}
+    out |= {n: F.greatest(f"_o_{n}", f"_i_{n}") for n in maxima}
+    out |= {n: F.least(f"_o_{n}", f"_i_{n}") for n in least_ahead}
+    return dealt.withColumns(own).join(F.broadcast(others), part, "left").select(
+        *[dealt[c] for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()]
+    )
 
 
 def prefix_sums(
-    df: DataFrame, keys: list[str], at: str, tie: str, values: dict[str, Column], block: int = HOUR
+    df: DataFrame, keys: list[str], at: str, tie: str, values: dict[str, Column], parts: int | None = None
 ) -> DataFrame:
     """Adds, per value, its sum over the rows of the key strictly before the row (0 if none)."""
     names = list(values)
-    rows = df.withColumn(SLICE, tie_slice(tie))
-    for n in names:
-        rows = rows.withColumn(f"_v_{n}", values[n])
+    rows = df.withColumn(SLICE, tie_slice(tie)).withColumns({f"_v_{n}": values[n] for n in names})
     cell_key = [*keys, at, SLICE]
-
     cells = rows.groupBy(*cell_key).agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
-    cells = cells.withColumn("_blk", _block(at, block))
-    in_block = (
-        Window.partitionBy(*keys, "_blk").orderBy(at, SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    over_blocks = (
-        Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    blocks = cells.groupBy(*keys, "_blk").agg(*[F.sum(f"_c_{n}").alias(f"_b_{n}") for n in names])
-    blocks = blocks.select(
-        *keys, "_blk",
-        *[F.coalesce(F.sum(f"_b_{n}").over(over_blocks), F.lit(0)).alias(f"_pb_{n}") for n in names],
-    )
-    cells = cells.join(blocks, [*keys, "_blk"]).select(
-        *cell_key,
-        *[
-            (F.col(f"_pb_{n}") + F.coalesce(F.sum(f"_c_{n}").over(in_block), F.lit(0))).alias(f"_pc_{n}")
-            for n in names
-        ],
-    )
+    cells = running(
+        cells, keys, [at, SLICE], {f"_pc_{n}": F.col(f"_c_{n}") for n in names}, inclusive=False, parts=parts
+    ).select(*cell_key, *[f"_pc_{n}" for n in names])
     in_cell = (
         Window.partitionBy(*cell_key).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -77,7 +119,7 @@ def rolling_counts(
     tie: str,
     widths: dict[str, int],
     include_left: bool = False,
-    block: int = HOUR,
+    parts: int | None = None,
 ) -> DataFrame:
     """Adds, per width, how many rows of the key up to and including this one lie in (t-w, t].
 
@@ -87,41 +129,22 @@ def rolling_counts(
     linear in the rows whatever the width holds.
     """
     spans = {n: w + (1 if include_left else 0) for n, w in widths.items()}
-    block = max([block, *spans.values()])
     names = list(spans)
     rows = df.withColumn(SLICE, tie_slice(tie))
     cell_key = [*keys, at, SLICE]
     cells = rows.groupBy(*cell_key).agg(F.count(F.lit(1)).alias("_n"))
 
-    def move(pos: Column, kind: int, sign: int, only: str | None = None, when: Column | None = None):
-        body = F.struct(
-            F.floor(pos / F.lit(block)).alias("blk"),
-            pos.alias("pos"),
-            F.lit(kind).alias("kind"),
-            *[
-                (F.col("_n") * F.lit(sign if only in (None, n) else 0)).alias(f"d_{n}")
-                for n in names
-            ],
-        )
-        return F.when(when, body) if when is not None else body
+    def move(pos: Column, kind: int, sign: int, only: str | None = None):
+        deltas = [(F.col("_n") * F.lit(sign if only in (None, n) else 0)).alias(f"d_{n}") for n in names]
+        return F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), *deltas)
 
-    here = F.col(at)
-    moves = [move(here, 2, 1)]
-    for n in names:
-        leave = here + F.lit(spans[n])
-        next_start = (F.floor(here / F.lit(block)) + 1) * F.lit(block)
-        moves.append(move(leave, 1, -1, n))
-        moves.append(move(next_start, 0, 1, n, leave >= next_start))
-    events = cells.withColumn("_m", F.explode(F.array_compact(F.array(*moves)))).select(
-        *cell_key, "_n", "_m.*"
+    # At one instant departures come before arrivals.
+    moves = [move(F.col(at), 2, 1), *[move(F.col(at) + F.lit(spans[n]), 1, -1, n) for n in names]]
+    events = cells.withColumn("_m", F.explode(F.array(*moves))).select(*cell_key, "_n", "_m.*")
+    balance = running(
+        events, keys, ["pos", "kind", at, SLICE], {f"_s_{n}": F.col(f"d_{n}") for n in names}, parts=parts
     )
-    balance = (
-        Window.partitionBy(*keys, "blk").orderBy("pos", "kind", at, SLICE)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before = events.select(
-        *cell_key, "_n", "kind", *[F.sum(f"d_{n}").over(balance).alias(f"_s_{n}") for n in names]
-    ).where("kind = 2").select(
+    before = balance.where("kind = 2").select(
         *cell_key, *[(F.col(f"_s_{n}") - F.col("_n")).alias(f"_s_{n}") for n in names]
     )
     place = F.row_number().over(Window.partitionBy(*cell_key).orderBy(tie))
@@ -132,29 +155,20 @@ def rolling_counts(
 
 
 def rolling_max_level(
-    df: DataFrame, key: str, at: str, level: str, top: int, width: int, name: str, block: int = HOUR
+    df: DataFrame, key: str, at: str, level: str, top: int, width: int, name: str, parts: int | None = None
 ) -> DataFrame:
     """Adds the largest ``level`` (0..top) of the key in (t-w, t], rows of the same instant included.
 
     Per instant only the largest level is kept. The rolling maximum is the greatest level whose
-    latest instant is still inside the window, so one running pass per block suffices.
+    latest instant is still inside the window, so one running pass suffices. ``df`` is read twice.
     """
-    block = max(block, width)
-    instants = df.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.max(level).alias("_lvl"))
-    blk = F.floor(F.col(at) / F.lit(block))
-    reaches_next = F.col(at) + F.lit(width) > (blk + 1) * F.lit(block)
-    copies = F.when(reaches_next, F.array(blk, blk + 1)).otherwise(F.array(blk))
-    spread = instants.withColumn("_own", blk).withColumn("_blk", F.explode(copies))
-    running = (
-        Window.partitionBy(key, "_blk").orderBy(at)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    instants = df.where(F.col(at).isNotNull() & F.col(key).isNotNull()).groupBy(key, at).agg(F.max(level).alias("_lvl"))
+    latest = {f"_at_{k}": F.when(F.col("_lvl") >= k, F.col(at)) for k in range(1, top + 1)}
+    found = running(instants, [key], [at], maxima=latest, parts=parts)
     largest = F.lit(0)
     for k in range(1, top + 1):
-        latest = F.max(F.when(F.col("_lvl") >= k, F.col(at))).over(running)
-        largest = F.when(latest > F.col(at) - F.lit(width), F.lit(k)).otherwise(largest)
-    found = spread.withColumn(name, largest).where("_own = _blk").select(key, at, name)
-    return df.join(found, [key, at], "left")
+        largest = F.when(F.col(f"_at_{k}") > F.col(at) - F.lit(width), F.lit(k)).otherwise(largest)
+    return df.join(found.select(key, at, largest.alias(name)), [key, at], "left")
 
 
 def cumulative_by_value(
@@ -162,59 +176,28 @@ def cumulative_by_value(
     value: str,
     sums: list[str],
     groups: list[str] | None = None,
-    blocks: int = 1024,
     descending: bool = True,
     following: list[str] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running totals ``cum_*`` of ``sums`` in value order, for a table with one row per value.
 
-    Values are cut into blocks by a monotone function of the value; totals run inside each block
-    and over the at most ``blocks`` block totals per group, so no task sees the whole order.
     ``following`` adds ``next_*``: the column of the next value (null for the last one).
     """
-    following = following or []
-    groups = groups or []
-    scaled = F.signum(F.col(value)) * F.log1p(F.abs(F.col(value)))
-    t = counts.withColumn("_sv", scaled.cast("double"))
-    ends = [F.min("_sv").alias("_lo"), F.max("_sv").alias("_hi")]
-    if groups:
-        t = t.join(t.groupBy(*groups).agg(*ends), groups)
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        t = t.withColumn("_ends", t.agg(F.struct(*ends).alias("b")).scalar())
-        lo, hi = F.col("_ends._lo"), F.col("_ends._hi")
-    part = F.when(hi > lo, F.floor((F.col("_sv") - lo) / (hi - lo) * F.lit(blocks - 1))).otherwise(
-        F.lit(0)
-    )
-    t = t.withColumn("_blk", part.cast("long"))
-
-    def order(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
-
-    inside = (
-        Window.partitionBy(*groups, "_blk").orderBy(order(value))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # At most ``blocks`` rows per group reach this window.
-    across = (
-        Window.partitionBy(*groups).orderBy(order("_blk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ends_at = F.max if descending else F.min
-    head = ends_at(F.struct(value, *following)).alias("_head")
-    totals = t.groupBy(*groups, "_blk").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums], head)
-    next_block = Window.partitionBy(*groups).orderBy(order("_blk"))
-    offsets = totals.select(
-        *groups, "_blk",
-        *[F.coalesce(F.sum(f"_t_{s}").over(across), F.lit(0)).alias(f"_o_{s}") for s in sums],
-        *[F.lead(f"_head.{c}").over(next_block).alias(f"_f_{c}") for c in following],
-    )
-    next_row = Window.partitionBy(*groups, "_blk").orderBy(order(value))
-    return t.join(offsets, [*groups, "_blk"]).select(
-        *counts.columns,
-        *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(f"cum_{s}") for s in sums],
-        *[F.coalesce(F.lead(c).over(next_row), f"_f_{c}").alias(f"next_{c}") for c in following],
-    )
+    following, groups = following or [], groups or []
+    # The row after a row is the first one in the reversed order: values are distinct.
+    nearer = F.negative(value) if descending else F.col(value)
+    cum = running(
+        counts, groups, [value], {f"cum_{s}": F.col(s) for s in sums}, descending=descending, parts=parts
+    )
+    if not following:
+        return cum
+    ahead = running(
+        counts.select(*groups, value, *following), groups, [value],
+        least_ahead={"_next": F.struct(nearer.alias("v"), *following)}, inclusive=False,
+        descending=descending, parts=parts,
+    ).select(*groups, value, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in following])
+    return cum.join(ahead, [*groups, value])
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], *qs: float) -> DataFrame:

@@ -15,40 +15,43 @@ from .ip_features import (
     zeek_aggregates,
     zeek_ratios,
 )
+from .ordered import PART, ranged, running
 
 GAP = 15 * K.MINUTE
 
 
 def session_numbers(
-    instants: DataFrame, key: str, at: str = "us", gap: int = GAP, block: int = K.HOUR
+    instants: DataFrame, key: str, at: str = "us", gap: int = GAP, parts: int | None = None
 ) -> DataFrame:
     """Session number of each distinct (key, instant): a gap above ``gap`` opens the next session.
 
-    The time line of a key is cut into blocks. The instant before a block's first one and the number
-    of sessions opened earlier come from the block table, which has one row per key and block.
+    Instants are dealt into range partitions (see ``ordered``). The instant before the first one of a key in
+    a partition and the number of sessions opened earlier come from a table of one row per key and partition.
     """
-    cells = instants.select(key, at).distinct().withColumn("_blk", F.floor(F.col(at) / F.lit(block)))
-    inside = Window.partitionBy(key, "_blk").orderBy(at)
+    cells = ranged(instants.select(key, at).distinct(), [F.col(key), F.col(at)], parts)
+    inside = Window.partitionBy(key, PART).orderBy(at)
     cells = cells.withColumn("_prev", F.lag(at).over(inside))
     opens = flag(F.col(at) - F.col("_prev") > F.lit(gap))
     cells = cells.withColumn("_open", opens)
 
-    over_blocks = Window.partitionBy(key).orderBy("_blk")
-    blocks = cells.groupBy(key, "_blk").agg(
+    over_parts = Window.partitionBy(key).orderBy(PART)
+    blocks = cells.groupBy(key, PART).agg(
         F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_open").alias("_opened")
-    ).withColumn("_before", F.lag("_last").over(over_blocks))
+    ).withColumn("_before", F.lag("_last").over(over_parts))
     first_opens = flag(F.col("_before").isNull() | (F.col("_first") - F.col("_before") > F.lit(gap)))
     blocks = blocks.withColumn("_first_opens", first_opens)
     earlier = F.coalesce(
         F.sum(F.col("_opened") + F.col("_first_opens")).over(
-            over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+            over_parts.rowsBetween(Window.unboundedPreceding, -1)
         ),
         F.lit(0),
     )
-    blocks = blocks.select(key, "_blk", (earlier + F.col("_first_opens")).alias("_base"))
-    running = F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return cells.join(blocks, [key, "_blk"]).select(
-        key, at, (F.col("_base") + running).cast("long").alias("session_seq")
+    base = (earlier + F.col("_first_opens")).alias("_base")
+    # A key whole in one partition starts at 1; the others are at most one per border.
+    blocks = blocks.withColumn("_base", base).where("_base <> 1").select(key, PART, "_base")
+    opened = F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return cells.withColumn("_run", opened).join(F.broadcast(blocks), [key, PART], "left").select(
+        key, at, (F.coalesce("_base", F.lit(1)) + F.col("_run")).cast("long").alias("session_seq")
     )
 
 
@@ -88,32 +91,21 @@ def zeek_sessions(zeek: DataFrame, busy: DataFrame, gap: int = GAP) -> DataFrame
 
 
 def nearest_start(
-    left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, tolerance: int = GAP
+    left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, tolerance: int = GAP,
+    parts: int | None = None,
 ) -> DataFrame:
     """For each left (key, instant) the nearest right instant within tolerance; a tie goes backward.
 
-    Both sides are merged on one time line per key and block. A right instant is copied into a
-    neighbouring block when it is within tolerance of the border, so no block needs another one.
+    Both sides are merged on one time line per key: the last right instant up to a left one and the first
+    one after it are a running maximum and a minimum ahead.
     """
-    block = max(K.HOUR, tolerance)
-    span = F.lit(block)
     lefts = left.select(key, F.col(left_at).alias("us")).distinct().withColumn("_side", F.lit(1))
     rights = right.select(key, F.col(right_at).alias("us")).distinct().withColumn("_side", F.lit(0))
-    lefts = lefts.withColumn("_blk", F.floor(F.col("us") / span))
-    reach = F.sequence(
-        F.floor((F.col("us") - F.lit(tolerance)) / span), F.floor((F.col("us") + F.lit(tolerance)) / span)
-    )
-    rights = rights.withColumn("_blk", F.explode(reach))
-    line = lefts.unionByName(rights)
+    line = lefts.unionByName(rights).where(F.col(key).isNotNull() & F.col("us").isNotNull())
     own = F.when(F.col("_side") == 0, F.col("us"))
-    w = Window.partitionBy(key, "_blk").orderBy("us", "_side")
-    back = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Running backwards over the reversed order keeps both passes linear.
-    w_rev = Window.partitionBy(key, "_blk").orderBy(F.desc("us"), F.desc("_side"))
-    ahead = F.last(own, ignorenulls=True).over(
-        w_rev.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    near = line.withColumns({"_back": back, "_ahead": ahead}).where("_side = 1")
+    near = running(
+        line, [key], ["us", "_side"], maxima={"_back": own}, least_ahead={"_ahead": own}, parts=parts
+    ).where("_side = 1")
     behind, before = F.col("us") - F.col("_back"), F.col("_ahead") - F.col("us")
     pick = (
         F.when(F.col("_ahead").isNull() | (behind <= before), F.col("_back"))
