@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ from threatlens.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
-        spark__driver__memory="4g",
+        spark__driver__memory="4g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="threatlens-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from threatlens.catalog.queries import QUERIES as CATALOG
 from threatlens.models import iforest, scaler, trees
 from threatlens.streaming import live
 
@@ -83,10 +84,15 @@ CHECKED = [
     "dedupe_flows", "join_ja3_mode", "swift_rolling_rate", "ueba_rules", "windows_event_rules", "sessionize",
     "asof_nearest_sessions", "co_occurrence_boost", "classify_category", "metrics_at_fpr", "feature_auroc",
     "killchain_paths", "stream_source_flows", "stream_alert_cooldown", "stream_counters", "stream_rate_window",
+    "stratified_split", "top_threat_ips", "user_calibration", "importance_share", "full_run_decisions",
 ]
 
 
-@pytest.mark.parametrize("name", CHECKED)
+#: ALL_TWINS=1 runs every query next to its SQL.
+TWINS = sorted(set(CATALOG) & set(contract.oracle_sql())) if os.environ.get("ALL_TWINS") else CHECKED
+
+
+@pytest.mark.parametrize("name", TWINS)
 def test_query_matches_sql(spark, name):
     df = contract.queries()[name](spark, SF)
     names, _, want = compare.oracle_rows(compare.connect(SF), contract.oracle_sql()[name])
@@ -103,3 +109,69 @@ def test_live_parsing_defaults_and_malformed(spark):
     df = spark.createDataFrame([good, no_score, bad_port], LIVE_SCHEMA)
     got = live.parse_live(df).select("packet_score", "behavior_score", "is_internal_src", "is_internal_dst").collect()
     assert [tuple(r) for r in got] == [(0.3, 0.4, True, False), (0.05, 0.05, True, False)]
+
+
+def test_tree_draws_do_not_depend_on_table_size(spark):
+    """Two sizes with the same share of rows per tree: a row is in the same trees."""
+    small = spark.range(4000).select("id", F.rand(1).alias("a"))
+    large = spark.range(8000).select("id", F.rand(1).alias("a"))
+    picks = [
+        {(r["id"], r["tree"]) for r in iforest.tree_samples(df, "id", ["a"], n, 6, size, 3).collect()}
+        for df, n, size in ((small, 4000, 64), (large, 8000, 128))
+    ]
+    assert picks[0] == {p for p in picks[1] if int(p[0]) < 4000}
+
+
+def test_train_or_load(spark, monkeypatch):
+    from threatlens.catalog.queries import Tables
+    from threatlens.plans import flow_agent
+    from threatlens.session import fresh_folder
+
+    flows = Tables(spark, SF).stored
+    path = fresh_folder(spark, "artifacts-test")
+    first = flow_agent.grade(flows, flow_agent.train_or_load(spark, path, flows, rounds=2, depth=3)).toPandas()
+    monkeypatch.setattr(flow_agent, "train", None)  # a second call trains nothing
+    again = flow_agent.grade(flows, flow_agent.train_or_load(spark, path, flows, rounds=2, depth=3)).toPandas()
+    key = ["flow_id"]
+    pd.testing.assert_frame_equal(first.sort_values(key, ignore_index=True), again.sort_values(key, ignore_index=True))
+    with pytest.raises(TypeError):
+        flow_agent.train_or_load(spark, path, flows, retrain=True)
+
+
+def test_known_fingerprint_names_a_beacon(spark):
+    from threatlens.catalog.queries import Tables
+    from threatlens.operators import fusion as fu
+
+    t = Tables(spark, SF)
+    hit = t.flows.select("src_ip").distinct().withColumn("ind_ja3_c2_match", F.lit(1))
+    kinds = fu.correlate(t.flows, t.flow_scores, t.packet_scores, t.behavior_scores, ja3_signal=hit)
+    assert {r[0] for r in kinds.select("predicted_category").distinct().collect()} == {"C2_BEACON"}
+
+
+def test_contradictory_labels_count_once(spark):
+    from threatlens.operators import evaluation as ev
+
+    labels = spark.createDataFrame([("a", True), ("a", False), ("b", False), ("c", None)], "flow_id string, is_attack boolean")
+    scored = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 0.5)], "flow_id string, s double")
+    assert sorted((r.flow_id, r.is_attack) for r in ev.join_labels(scored, labels).collect()) == [("a", True), ("b", False)]
+
+
+def test_first_where_repeated(spark):
+    from threatlens.operators import cleaning
+
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("a", 1, "x"), ("b", 5, "z"), (None, 3, "n"), (None, 2, "m")]
+    df = spark.createDataFrame(rows, "k string, at int, v string")
+    got = sorted(map(tuple, cleaning.first_where_repeated(df, ["k"], ["at"]).collect()), key=str)
+    assert got == sorted([("a", 1, "x"), ("b", 5, "z"), (None, 2, "m")], key=str)
+    assert sorted(map(tuple, cleaning.first_per_key(df, ["k"], ["at"]).collect()), key=str) == got
+    assert cleaning.first_where_repeated(df.where("k = 'b'"), ["k"], ["at"]).count() == 1
+
+
+def test_composed_run(spark):
+    from threatlens.catalog.queries import Tables
+    from threatlens.plans import full_run
+
+    t = Tables(spark, SF)
+    tables = full_run.Tables(t.netflow, t.zeek, t.windows_events, t.ueba, t.hosts, t.flow_labels, t.tickets)
+    out = full_run.run(tables, with_ja3=True, rounds=2, depth=3)
+    assert out.responded.count() == t.flows.count() and out.threshold.first()[0] is not None

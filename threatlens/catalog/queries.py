@@ -1043,6 +1043,28 @@ def grade_flows(t):
     return flow_agent.grade(t.stored, trained_anomaly(t))
 
 
+def graded_apart(t) -> DataFrame:
+    """Flows of odd source ports, graded by both models trained on those of even ones, stored and reloaded."""
+    even = F.col("src_port") % 2 == 0
+    path = fresh_folder(t.spark, "artifacts")
+    art = flow_agent.train_or_load(t.spark, path, settle(t.stored.where(even), "even"), rounds=10, depth=4)
+    return flow_agent.grade(settle(t.stored.where(~even), "odd"), art)
+
+
+@query
+def grade_other_table(t):
+    return graded_apart(t)
+
+
+@query
+def threat_report(t):
+    graded = settle(graded_apart(t), "graded")
+    whole = flow_agent.count_threats(graded).select(
+        F.lit("all").alias("severity"), F.lit("all").alias("attack_type"), F.col("n_threats").alias("n_flows"),
+    )
+    return flow_agent.threat_report(graded).unionByName(whole, allowMissingColumns=True)
+
+
 @query
 def full_run_decisions(t):
     """Agents' stand-in scores through fusion and response to the final decisions."""
@@ -1082,9 +1104,9 @@ def alert_cooldown_batch(t):
 @query
 def stream_blocklist(t):
     path, state = fresh_folder(t.spark, "blocked"), fresh_folder(t.spark, "blocked-state")
-    live.maintain_blocklist(live_stream(t), path, state).awaitTermination()
-    blocked = t.spark.read.schema(live.BLOCK_SCHEMA).parquet(path)
-    passed = live.passed_traffic(t.flows, blocked)
+    accepted = fresh_folder(t.spark, "accepted")
+    live.maintain_blocklist(live_stream(t), path, state, accepted).awaitTermination()
+    passed = t.spark.read.parquet(accepted)
     return passed.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n_passed"))
 
 

@@ -217,7 +217,6 @@ PACKET_FEATURES = [
 FUSED_LADDER = [(0.85, "CRITICAL"), (0.70, "HIGH"), (0.50, "MEDIUM")]
 RESPONSE_LADDER = [(0.90, "CRITICAL"), (0.75, "HIGH"), (0.60, "MEDIUM")]
 RESPONSE_TIERS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
-FUSED_TIERS = ["CRITICAL", "HIGH", "MEDIUM", "NORMAL"]
 
 # Live alerting.
 LIVE_THRESHOLD = 0.86

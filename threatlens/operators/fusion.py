@@ -120,8 +120,15 @@ def correlate(
     packet: DataFrame,
     behavior: DataFrame,
     seeds: DataFrame | None = None,
+    ja3_signal: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole fusion step: join, fuse, amplify, boost, override, classify."""
+    """The whole fusion step: join, fuse, amplify, boost, override, classify.
+
+    ``ja3_signal`` (src_ip, ind_ja3_c2_match), one row per address, lets a known fingerprint name a beacon;
+    without it only the port does.
+    """
+    if ja3_signal is not None:
+        flows = flows.join(ja3_signal.select("src_ip", "ind_ja3_c2_match"), "src_ip", "left")
     out = co_occurrence_boost(
         amplify_by_segment(fuse(join_agent_scores(flows, flow_scores, packet, behavior)))
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +27,13 @@ def chain_candidates(flows: DataFrame, hosts: DataFrame, chain: list[str]) -> Da
     """
     named = hosts.groupBy("hostname").agg(F.max("ip_address").alias("ip"))
     nodes = flows.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
-    known, raw = [], []
-    for hop, pattern in enumerate(chain):
-        known.append(named.where(_matches("hostname", pattern)).select(F.lit(hop).alias("hop"), "ip"))
-        raw.append(nodes.where(_matches("ip", pattern)).select(F.lit(hop).alias("hop"), "ip"))
-    by_name = reduce(DataFrame.unionByName, known).distinct()
-    by_node = reduce(DataFrame.unionByName, raw).distinct()
+
+    def placed(names: DataFrame, column: str) -> DataFrame:
+        hops = F.array_compact(F.array(*[F.when(_matches(column, p), F.lit(i)) for i, p in enumerate(chain)]))
+        return names.select(F.explode(hops).alias("hop"), "ip").distinct()
+
+    by_name = placed(named, "hostname")
+    by_node = placed(nodes, "ip")  # one pass over the flows for all patterns
     fallback = by_node.join(by_name.select("hop").distinct(), "hop", "left_anti")
     return by_name.unionByName(fallback)
 
@@ -43,7 +42,8 @@ def killchain_paths(flows: DataFrame, hosts: DataFrame, chain: list[str] | None
     """Complete paths along the chain with the latest flow of every hop.
 
     Flows are cut down to candidate ends before they are reduced to distinct edges, and edges are
-    reduced before any path is built, so the joins see one row per address pair and hop.
+    reduced before any path is built, so the joins see one row per address pair and hop. Every path is
+    listed: where patterns let many hosts stand at several hops, the paths are the product of them.
     """
     chain = chain or K.KILL_CHAIN
     inside = internal_flows(flows).select("flow_id", "src_ip", "dst_ip", "start_time")

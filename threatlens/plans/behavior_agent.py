@@ -18,8 +18,8 @@ def clean_windows(events: DataFrame) -> DataFrame:
     return impute_local_ip(dedupe_windows_events(events))
 
 
-def user_model_scores(events: DataFrame, contamination: float = 0.02) -> DataFrame:
-    """(ueba_id, ml_score) of the calibrated anomaly model. The contamination does not change scores."""
+def user_model_scores(events: DataFrame) -> DataFrame:
+    """(ueba_id, ml_score) of the calibrated anomaly model."""
     features = settle(ur.ueba_features(events), "user-features")
     model = iforest.fit(features, "ueba_id", K.USER_FEATURES)
     return iforest.user_calibration(iforest.score(features, model)).select("ueba_id", "ml_score")

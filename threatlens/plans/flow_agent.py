@@ -14,7 +14,7 @@ from ..models import iforest, trees
 from ..operators import flow_features as ff
 from ..operators.cleaning import dedupe_flows
 from ..operators.live_rules import cti_overrides
-from ..session import settle
+from ..session import folder_exists, settle
 from ..sources.readers import clean_netflow
 
 
@@ -76,6 +76,20 @@ def train(flows: DataFrame, kind: str = "both", **gbt) -> FlowArtifacts:
     return FlowArtifacts(*training_stats(flows), anomaly, classifier)
 
 
+def train_or_load(
+    spark: SparkSession, path: str, flows: DataFrame, kind: str = "both", retrain: bool = False, **gbt
+) -> FlowArtifacts:
+    """Artifacts stored below ``path``; trained and stored first if none of that kind are there, or on demand.
+
+    The mark that a set is complete is written last, so a broken off training is not taken for one.
+    """
+    mark = f"{path}/complete-{kind}"
+    if retrain or not folder_exists(spark, mark):
+        train(flows, kind, **gbt).save(spark, path)
+        spark.range(1).write.mode("overwrite").parquet(mark)
+    return FlowArtifacts.load(spark, path, with_classifier=kind == "both")
+
+
 def score(
     flows: DataFrame, art: FlowArtifacts, classifier_weight: float = 0.7, anomaly_weight: float = 0.3
 ) -> DataFrame:
@@ -106,6 +120,14 @@ def grade(flows: DataFrame, art: FlowArtifacts) -> DataFrame:
     return cti_overrides(score(flows, art)).select(*GRADED_COLUMNS)
 
 
+def threat_report(graded: DataFrame) -> DataFrame:
+    """Threats (see ``count_threats``) by severity and kind of attack, and their highest probability."""
+    return graded.where(F.coalesce(F.col("severity") != "NORMAL", F.lit(False))).groupBy("severity", "attack_type").agg(
+        F.count(F.lit(1)).alias("n_flows"), F.countDistinct("src_ip").alias("n_sources"),
+        F.max("attack_probability").alias("max_probability"),
+    )
+
+
 def count_threats(graded: DataFrame) -> DataFrame:
     """Flows above NORMAL; a flow in no severity bin is not a threat."""
     threat = F.coalesce(F.col("severity") != "NORMAL", F.lit(False))

@@ -41,10 +41,11 @@ class Outputs:
 def fuse_and_respond(
     flows: DataFrame, t: Tables, flow_scores: DataFrame, packet: DataFrame, behavior_results: DataFrame,
     seeds: DataFrame | None = None, max_fpr: float = 0.10, top_n: int = 500,
+    ja3_signal: DataFrame | None = None,
 ) -> Outputs:
     """From the agents' scores to decisions. ``flows`` has one row per flow_id."""
     behavior = behavior_agent.behavior_scores(behavior_results)
-    correlation = fu.correlate(flows, flow_scores, packet, behavior, seeds)
+    correlation = fu.correlate(flows, flow_scores, packet, behavior, seeds, ja3_signal)
     scored = settle(
         correlation.select(
             "flow_id", "attack_probability", "severity", "agents_fired", "boost_applied",
@@ -61,11 +62,13 @@ def fuse_and_respond(
     )
 
 
-def run(t: Tables, seeds: DataFrame | None = None, **gbt) -> Outputs:
-    """Trains and scores all agents, then fuses and responds."""
+def run(t: Tables, seeds: DataFrame | None = None, with_ja3: bool = False, **gbt) -> Outputs:
+    """Trains and scores all agents, then fuses and responds; ``with_ja3`` takes up known fingerprints."""
     flows = flow_agent.prepare_flows(t.netflow, t.zeek, t.labels)
     art = flow_agent.train(flows, "both", **gbt)
     scores = flow_agent.flow_scores(flow_agent.score(flows, art))
-    packet = packet_agent.packet_scores(packet_agent.run(t.windows, t.zeek))
+    addresses = settle(packet_agent.run(t.windows, t.zeek), "addresses-scored")
+    packet = packet_agent.packet_scores(addresses)
+    signal = packet_agent.ja3_signal(addresses) if with_ja3 else None
     behavior = settle(behavior_agent.results(t.ueba, t.windows, t.hosts), "behavior")
-    return fuse_and_respond(flows, t, scores, packet, behavior, seeds)
+    return fuse_and_respond(flows, t, scores, packet, behavior, seeds, ja3_signal=signal)

@@ -35,6 +35,11 @@ def packet_scores(result: DataFrame) -> DataFrame:
     return result.select(F.col("source_ip").alias("src_ip"), F.col("threat_score").alias("packet_score"))
 
 
+def ja3_signal(result: DataFrame) -> DataFrame:
+    """Addresses with their known-fingerprint mark, for fusion."""
+    return result.select(F.col("source_ip").alias("src_ip"), "ind_ja3_c2_match")
+
+
 def labelled_sessions(windows: DataFrame, zeek: DataFrame) -> DataFrame:
     busy = ipf.busy_hours(windows)
     aligned = ss.align_sessions(ss.windows_sessions(windows, busy), ss.zeek_sessions(zeek, busy))

@@ -105,6 +105,11 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the intermediate tables this application stored; call it when its results are written."""
     hadoop = spark._jvm.org.apache.hadoop.fs

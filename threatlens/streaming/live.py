@@ -17,7 +17,7 @@ from ..functions.expressions import gated_fusion
 from ..operators.flow_features import is_swift_sql
 from ..operators.live_rules import classify_live
 from ..operators.sessions import session_numbers
-from ..session import fresh_folder, stream_session
+from ..session import fresh_folder, settle, stream_session
 from ..sources.readers import LIVE_SCHEMA
 
 # The driver-side runner of stateful streams does not see shipped files, so the processor travels whole.
@@ -255,27 +255,27 @@ def run_complete(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def write_alerts(alerts: DataFrame, path: str, checkpoint: str):
-    """Appends alerts as JSON lines; returns the running query."""
-    return (
-        alerts.writeStream.format("json").outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    )
-
-
 BLOCK_SCHEMA = "src_ip string, block_time timestamp"
 
 
-def maintain_blocklist(scored: DataFrame, path: str, checkpoint: str):
+def maintain_blocklist(scored: DataFrame, path: str, checkpoint: str, accepted: str | None = None):
     """Adds each attacking source once, loopback excluded; returns the running query.
 
-    Every micro-batch owns one folder of the list and overwrites it when it is run again.
+    With ``accepted`` the flows that are not rejected are written there: those of sources that neither an
+    earlier batch nor an earlier flow of their own batch has blocked. Every micro-batch owns one folder of
+    the list and of the accepted flows and overwrites it when it is run again.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        stored = settle(batch, "live-batch") if accepted else batch
         known = spark.read.schema(f"{BLOCK_SCHEMA}, batch long").parquet(path).where(F.col("batch") != batch_id)
-        first = block_times(batch).join(known.select("src_ip"), "src_ip", "left_anti")
+        known = known.select("src_ip", "block_time")
+        first = block_times(stored).join(known.select("src_ip"), "src_ip", "left_anti")
         first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if accepted:
+            added = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/batch={batch_id}")
+            passed = passed_traffic(stored, known.unionByName(added))
+            passed.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
 
     scored.sparkSession.createDataFrame([], BLOCK_SCHEMA).write.mode("ignore").parquet(f"{path}/batch=-1")
     return (
@@ -298,11 +298,6 @@ def passed_traffic(flows: DataFrame, blocked: DataFrame) -> DataFrame:
     return flows.join(blocked, "src_ip", "left").where(~late).drop("block_time")
 
 
-def reject_blocked(stream: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Stream against a block list: flows of listed sources are dropped."""
-    return stream.join(blocked.select("src_ip"), "src_ip", "left_anti")
-
-
 def current_blocklist(blocked: DataFrame, unblocked: DataFrame) -> DataFrame:
     """Blocked sources without a later release."""
     released = unblocked.groupBy("src_ip").agg(F.max("unblock_time").alias("unblock_time"))
