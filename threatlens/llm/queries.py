@@ -92,6 +92,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "block_ok")
 
 
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, sha1(html) AS hex FROM p),
+g AS (
+  SELECT page_id, html, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INT, 5))::INT) AS parts FROM h
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+         lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to, TRUE AS block_ok
+FROM g WINDOW w AS (PARTITION BY html)
+"""
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "tokens")
@@ -105,6 +120,32 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op4_lsh_forest"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT x, y, k = a.n AND k = b.n AS same FROM common JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id
+  WHERE 5 * k >= 4 * (a.n + b.n - k)
+),
+reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+names AS (SELECT x, min(y) AS least FROM reached GROUP BY x),
+counts AS (SELECT x, count(*) AS n_links, min(y) FILTER (WHERE same) AS first_same FROM links GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(n.least, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links,
+       least(doc_id, coalesce(first_same, doc_id)) AS copy_of
+FROM documents LEFT JOIN names n ON doc_id = n.x LEFT JOIN counts c ON doc_id = c.x
+"""
+
+
 @query
 def op5_stream_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")

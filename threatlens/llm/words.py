@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .tokens import slices
 
 #: Words kept in memory, twice: the recent ones and those before them.
-MEMORY = 400_000
+MEMORY = 300_000
 #: Control characters, exotic white space, combining marks, a capital whose small form holds such a mark,
 #: and what opens a special token.
 _ODD = (
