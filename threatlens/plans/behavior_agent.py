@@ -10,7 +10,7 @@ from ..models import iforest
 from ..operators import behavior as bh
 from ..operators import user_rules as ur
 from ..operators import windows_rules as wr
-from ..operators.cleaning import dedupe_windows_events, impute_local_ip
+from ..operators.cleaning import dedupe_windows_events, host_context, impute_local_ip
 from ..session import settle
 
 
@@ -31,6 +31,7 @@ def results(
     """All results in one layout. Without given model scores the anomaly model is trained first."""
     ml_scores = user_model_scores(ueba) if ml_scores is None else ml_scores
     windows = settle(clean_windows(windows), "windows")
+    hosts = settle(host_context(hosts), "hosts")  # its own context, so every rule reads the stored rows
     return bh.union_results(
         ur.score_ueba(ueba, hosts, ml_scores),
         wr.windows_results(wr.windows_event_rules(windows, hosts)),
