@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from threatlens.llm import exact_dedup
+from threatlens.llm import common, exact_dedup
 
 SCHEMA = "doc_id long, text string, kept string, digest int, n_bytes int"
 LONG = "x" * 64
@@ -37,7 +37,9 @@ def test_verdicts(spark, digest_all):
     assert len(got) == len({(r.doc_id, r.text_sha256) for r in got})
 
 
-def test_rows_that_stay(spark):
+@pytest.mark.parametrize("rows_sent", [1 << 19, 0])
+def test_rows_that_stay(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(common, "SENT_ROWS", rows_sent)
     docs = spark.createDataFrame(ROWS, SCHEMA)
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns

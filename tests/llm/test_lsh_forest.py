@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from threatlens.llm import lsh_forest
+from threatlens.llm import common, lsh_forest
 from threatlens.llm.components import components
 
 SCHEMA = "doc_id long, text string, node long, class_id string, label int"
@@ -60,7 +60,7 @@ def test_documents(spark):
 
 
 def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "SENT_ROWS", 0)  # the way beyond the broadcast
+    monkeypatch.setattr(common, "SENT_ROWS", 0)  # the way beyond the broadcast
     long = "one two three four five six seven " * 20_000
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "a  b"), (6, "a b c"), (7, long), (8, long + " end"), (9, "q r s t u v"), (9, "q r s t u v")]
     docs = spark.createDataFrame([(i, t, 1, "", 0) for i, t in rows] + [(None, "a b", 1, "", 0)], SCHEMA)

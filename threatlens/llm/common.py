@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_folder, prepare, settle
 
-__all__ = ["fold", "fresh_folder", "list_column", "open_store", "prepare", "settle", "table", "with_offsets"]
+__all__ = ["fold", "fresh_folder", "list_column", "open_store", "prepare", "sent", "settle", "table", "with_offsets"]
 
+#: Rows up to which a stored narrow table (some 100 bytes a row in memory) is sent to all executors; beyond, it
+#: is joined by exchange.
+SENT_ROWS = 1 << 19
 #: Bytes of variable-length data after which a task hands a batch on.
 BATCH_BYTES = 4 << 20
 
@@ -30,6 +33,11 @@ def fold(id_col: str) -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5).cast("int")
 
 
+def sent(rows: DataFrame, width: int = 1) -> DataFrame:
+    """A stored narrow table, broadcast while its counted rows, ``width`` times as wide as usual, allow."""
+    return F.broadcast(rows) if rows.count() * width <= SENT_ROWS else rows
+
+
 def list_column(parts: list[bytes]) -> pa.ListArray:
     """A list<int32> column of one list for each run of little-endian int32 values."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)

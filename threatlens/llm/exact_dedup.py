@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import sent, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters of the normalised text that the prefix hash covers.
@@ -85,20 +85,21 @@ def exact_dedup(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; null and repeated rows as in ``exact_dedup``.
 
-    Of rows that repeat id and text one stays, whichever its other columns are.
+    Of rows that repeat id and text one stays, whichever its other columns are. The verdicts on what does not
+    stay as it is are sent to all executors while their counted rows allow; beyond, texts are joined by digest.
     """
     hashed = _hashed(docs, id_col, text_col, digest_all=False)
     verdict = settle(
-        _copies(hashed).filter("group_size > 1").select(
+        _copies(hashed).filter("rows > 1 or not doc_id <=> keep_id").select(
             F.col("doc_id").alias("_dd_id"), F.col("digest").alias("_dd_digest"),
             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_dd_kept"), F.col("rows").alias("_dd_rows"),
         ), "dedup-verdict",
     )
     digest = F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256))
     same = docs[id_col].eqNullSafe(F.col("_dd_id")) & (digest == F.col("_dd_digest"))
-    marked = docs.join(verdict, same, "left")
-    once = marked.filter("_dd_rows is null or (_dd_kept and _dd_rows = 1)").select(*[docs[c] for c in docs.columns])
-    if verdict.filter("_dd_kept and _dd_rows > 1").isEmpty():
+    once = docs.join(sent(verdict), same, "left_anti")
+    repeated = settle(verdict.filter("_dd_kept"), "dedup-repeated")
+    if repeated.isEmpty():
         return once
-    again = marked.filter("_dd_kept and _dd_rows > 1").dropDuplicates(["_dd_id", "_dd_digest"])
+    again = docs.join(sent(repeated), same).dropDuplicates(["_dd_id", "_dd_digest"])
     return once.unionByName(again.select(*[docs[c] for c in docs.columns]))

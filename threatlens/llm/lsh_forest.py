@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import sent, settle
 from .components import components
 from .tokens import slices, words
 
@@ -30,8 +30,6 @@ RECALL = 0.999
 BLOCK = 512
 #: Shared shingles that are compared at once.
 COLUMNS = 1 << 13
-#: Rows up to which a narrow table of ids is sent to all executors (about 16 bytes each); beyond, it is joined.
-SENT_ROWS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RECORD = "doc_id long, hi long, lo long, n int, label binary"
 _SET = "node long, size long, label binary, shingles binary"
@@ -233,11 +231,6 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _sent(rows: DataFrame) -> DataFrame:
-    """A stored narrow table, broadcast while its counted rows allow."""
-    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
-
-
 def _grid(groups: DataFrame) -> DataFrame:
     """Adds the blocks (lo, hi) of a group's grid that a node takes part in; ``members`` counts the group."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -284,9 +277,9 @@ def _links(docs: DataFrame, records: DataFrame, depth: int, threshold: float) ->
         groups.select("node").dropDuplicates().join(records, "node").select("node", "hi", "lo", "size", "label"),
         "compared",
     )
-    texts = docs.join(_sent(chosen), F.col("doc_id") == F.col("node")).drop("doc_id")
+    texts = docs.join(sent(chosen, 4), F.col("doc_id") == F.col("node")).drop("doc_id")
     sets = texts.mapInArrow(_sets, _SET)
-    rows = sets.join(_sent(settle(_grid(groups), "grid")), "node")
+    rows = sets.join(sent(settle(_grid(groups), "grid")), "node")
     dealt = rows.repartition("grp", "tree", "lo", "hi").sortWithinPartitions("grp", "tree", "lo", "hi")
     return settle(dealt.mapInArrow(_verify(depth, threshold), _FOUND), "links")
 
@@ -346,4 +339,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay, with their columns: of each class the id that names it; rows without id."""
     verdict = jaccard_join(docs, id_col, text_col)
     gone = settle(verdict.filter("doc_id <> class_id").select(F.col("doc_id").alias("_near_id")), "near-copies")
-    return docs.join(_sent(gone), docs[id_col] == F.col("_near_id"), "left_anti")
+    return docs.join(sent(gone), docs[id_col] == F.col("_near_id"), "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(texts: pa.StringArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.StringArray]]:
@@ -20,6 +20,7 @@ def slices(texts: pa.StringArray, size: int = SLICE_BYTES) -> Iterator[tuple[int
     for first, last in zip([0, *cuts], [*cuts, len(texts)], strict=True):
         if last > first:
             yield int(first), texts.slice(first, last - first)
+    pa.default_memory_pool().release_unused()
 
 
 def words(texts: pa.StringArray, code: Callable[[str], int], dtype) -> tuple[np.ndarray, np.ndarray]:
