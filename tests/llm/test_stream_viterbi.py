@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,12 +62,13 @@ def test_window_is_bounded(encoder):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(max_size=80) | st.text(alphabet="ab ▁\n\t日", max_size=80))
+@given(st.text(max_size=80) | st.text(alphabet="ab ▁\n\t日\x01", max_size=80) | st.text(alphabet="ab \n", max_size=20))
 def test_round_trip(encoder, text):
     import numpy as np
 
     ids = np.frombuffer(encoder.encode(text), dtype=np.int32)
     assert encoder.decode(ids.tolist()) == text
+    assert encoder.encode_all(pa.array([text, "plain text\nof lines", text])) == [encoder.encode(t) for t in (text, "plain text\nof lines", text)]
     if "▁" not in text and text:
         assert ids.tolist() == whole(encoder.pieces, " ".join(["", text]).replace(" ", "▁"))
 

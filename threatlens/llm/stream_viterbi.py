@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import list_column
+from .tokens import slices
 from .words import Memo
 
 #: The mark that stands for a space at the start of a piece.
@@ -22,8 +26,12 @@ SPACE = "▁"
 MEMORY, KEPT = 400_000, 48
 #: Log probability of a byte piece relative to the rarest piece.
 BYTE_COST = 4.0
-#: Ids that a task hands on at once.
-BATCH_IDS = 1 << 20
+#: Signs before which words may be cut, if the pieces allow it.
+SIGNS = ".,;:!?%*$&#|"
+#: Documents that are decoded at once.
+DECODED = 512
+#: Marks a word that no space stands before.
+BARE = "\x01"
 
 
 class Pieces:
@@ -56,6 +64,9 @@ class Pieces:
         crossing = re.compile(f"[^{SPACE}]{SPACE}|.\n|\n.", re.DOTALL)
         #: No piece goes on over the start of a word, so each word is a stretch of its own.
         self.words_apart = not any(crossing.search(p) for p in self.scores)
+        #: Signs that no piece has after a letter: a word can be cut before them.
+        joined = {b for p in self.scores for a, b in itertools.pairwise(p) if a.isalpha()}
+        self.cuts = "".join(sorted(set(SIGNS) - joined))
 
 
 class Viterbi:
@@ -76,7 +87,7 @@ class Viterbi:
     def feed(self, text: str) -> list[int]:
         """Ids that are certain after these characters."""
         for first in range(0, len(text), 4 * self.pieces.longest):
-            self._extend(text[first : first + 4 * self.pieces.longest])
+            self.extend(text[first : first + 4 * self.pieces.longest])
             self._commit()
         out, self.ids = self.ids, []
         return out
@@ -87,7 +98,7 @@ class Viterbi:
         self.text, self.best, self.back = "", [0.0], [(0, ())]
         return out
 
-    def _extend(self, more: str) -> None:
+    def extend(self, more: str) -> None:
         scores, longest, best, back = self.pieces.scores, self.pieces.longest, self.best, self.back
         first = len(self.text)
         text = self.text = self.text + more
@@ -135,9 +146,15 @@ class Encoder:
         self.pieces = pieces
         self.memo = Memo(self._stretch, MEMORY)
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall if pieces.words_apart else lambda t: [t]
+        sizes = np.array([len(r) for r in pieces.raw], dtype=np.int64)
+        self.sizes, self.places = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(pieces.raw), dtype=np.uint8)
 
     def _stretch(self, text: str) -> bytes:
         search = Viterbi(self.pieces)
+        if len(text) <= KEPT:  # a window's worth: nothing to commit early
+            search.extend(text)
+            return array("i", search.finish()).tobytes()
         return array("i", search.feed(text) + search.finish()).tobytes()
 
     def _part(self, text: str) -> bytes:
@@ -154,8 +171,46 @@ class Encoder:
         parts = [f" {first}", *rest]
         return mark.join([b"".join(map(self._part, self.words(p.replace(" ", SPACE)))) for p in parts])
 
+    def encode_all(self, texts: pa.StringArray) -> list[bytes]:
+        """``encode`` of each text; the distinct words of plain texts are found by Arrow."""
+        odd = pc.match_substring_regex(texts, f"^ |  |{BARE}|{SPACE}|^$").to_numpy(zero_copy_only=False)
+        if not self.pieces.words_apart or odd.all():
+            return [self.encode(t) for t in texts.to_pylist()]
+        plain = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", f" {BARE}\n {BARE}")
+        if self.pieces.cuts:
+            signs = re.escape(self.pieces.cuts)
+            plain = pc.replace_substring_regex(plain, rf"(\p{{L}})([{signs}])", rf"\1 {BARE}\2")
+        cut = pc.split_pattern(pc.binary_join_element_wise("", plain, " "), " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        words = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        codes = words.indices.to_numpy().copy()
+        bounds -= bounds[0]
+        known = [self._part(w[1:] if w[:1] == BARE else SPACE + w) for w in words.dictionary.to_pylist()]
+        codes[bounds[:-1]] = len(known)  # nothing stands before the first space
+        known.append(b"")
+        sizes = np.array([*map(len, known)], dtype=np.int64) // 4
+        ids = _gather(np.frombuffer(b"".join(known), dtype=np.int32), np.cumsum(sizes) - sizes, sizes, codes)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[bounds]
+        found = iter([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        return [self.encode(t.as_py()) if o else next(found) for t, o in zip(texts, odd, strict=True)]
+
+    def decode_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """UTF-8 of the texts whose ids lie between the bounds."""
+        data = _gather(self.bytes, self.places, self.sizes, ids)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[bounds]
+        return [data[a + 1 : b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def decode(self, ids) -> str:
-        return b"".join(map(self.pieces.raw.__getitem__, ids)).decode()[1:]
+        return self.decode_bytes(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))[0].decode()
+
+
+def _gather(flat: np.ndarray, places: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that the codes name, one after the other."""
+    lengths = sizes[codes]
+    ends = np.cumsum(lengths)
+    at = np.repeat(places[codes] - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -172,13 +227,9 @@ def _encode(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(model_file)
         for batch in batches:
-            keys, texts, rows, first, held = batch.column("doc_id"), batch.column("text"), [], 0, 0
-            for at in range(len(keys)):
-                rows.append(words.encode(texts[at].as_py() or ""))
-                held += len(rows[-1]) // 4
-                if held > BATCH_IDS or at == len(keys) - 1:
-                    yield pa.record_batch([keys.slice(first, len(rows)), list_column(rows)], names=["doc_id", "ids"])
-                    rows, first, held = [], at + 1, 0
+            for first, texts in slices(batch.column("text")):
+                keys = batch.column("doc_id").slice(first, len(texts))
+                yield pa.record_batch([keys, list_column(words.encode_all(texts))], names=["doc_id", "ids"])
 
     return run
 
@@ -201,9 +252,13 @@ def _digest(model_file: str):
             ids = batch.column("ids")
             flat, bounds = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
             rows = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                text = words.decode(flat[a:b].tolist())
-                rows.append((int(b - a), zlib.crc32(flat[a:b].tobytes()), len(text), hashlib.sha256(text.encode()).hexdigest()))
+            for first in range(0, len(ids), DECODED):
+                some = bounds[first : first + DECODED + 1]
+                part = flat[some[0] : some[-1]]
+                texts = words.decode_bytes(part, some - some[0])
+                for a, b, text in zip(some[:-1], some[1:], texts, strict=True):
+                    chars = len(text.decode())
+                    rows.append((int(b - a), zlib.crc32(flat[a:b].tobytes()), chars, hashlib.sha256(text).hexdigest()))
             columns = [*zip(*rows, strict=True)] or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.record_batch(
