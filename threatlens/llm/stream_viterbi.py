@@ -23,7 +23,7 @@ from .words import Memo
 #: The mark that stands for a space at the start of a piece.
 SPACE = "▁"
 #: Words kept in memory, twice, and the length up to which a word is kept.
-MEMORY, KEPT = 400_000, 48
+MEMORY, KEPT = 200_000, 48
 #: Log probability of a byte piece relative to the rarest piece.
 BYTE_COST = 4.0
 #: Signs before which words may be cut, if the pieces allow it.

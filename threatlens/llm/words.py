@@ -20,7 +20,9 @@ import pyarrow.compute as pc
 from .tokens import slices
 
 #: Words kept in memory, twice: the recent ones and those before them.
-MEMORY = 300_000
+MEMORY = 100_000
+#: Bytes of text that are cut and gathered at once.
+CUT_BYTES = 2 << 20
 #: Control characters, exotic white space, combining marks, a capital whose small form holds such a mark,
 #: and what opens a special token.
 _ODD = (
@@ -86,7 +88,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, lengths, ids) for slices of the rows; lengths has one entry per row, null is empty."""
-        for first, rows in slices(texts):
+        for first, rows in slices(texts, CUT_BYTES):
             yield first, *self._slice(rows)
 
     def _slice(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
