@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import sent, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Stands for a variable field.
@@ -69,8 +69,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the smallest id that has them.
     """
     lines = _lines(docs, id_col, text_col)
-    leaves = settle(_recurring(lines, "leaf"), "line-leaves")
-    lines = settle(lines.join(leaves.select("leaf"), "leaf", "left_semi"), "lines")
+    leaves = settle(_recurring(lines, "leaf").select("leaf"), "line-leaves")
+    lines = settle(lines.join(sent(leaves), "leaf", "left_semi"), "lines")
     known = lines.join(_templates(lines), ["leaf", "masked"]).select("doc_id", "text_key", "line_no", "template")
     known = settle(known, "line-templates")
     found = known.join(_recurring(known, "template"), "template")
@@ -86,7 +86,8 @@ def drop_recurring_lines(
     A null text is empty: one empty line. Short and empty lines always stay. Rows without id take part as
     documents that are never first and do not count towards recurrence. Rows that repeat id and text are
     treated alike; each keeps its row. An empty table gives no rows. A document's dropped lines meet as one
-    list of numbers, which is no longer than its text.
+    list of numbers, which is no longer than its text. The hashes of recurring leaves and those lists are sent to
+    all executors while their counted rows allow, so texts are not exchanged; beyond, they are joined.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     # a string of 0 and 1 per line up to the last dropped one, built in one pass over the numbers
@@ -98,9 +99,10 @@ def drop_recurring_lines(
         F.sort_array(F.collect_set("line_no")).alias("_lt_drop")
     )
     drops = drops.select(F.col("doc_id").alias("_lt_id"), F.col("text_key").alias("_lt_key"), "_lt_drop")
+    drops = settle(drops, "line-drops")
     same = docs[id_col].eqNullSafe(F.col("_lt_id")) & (F.xxhash64(text) == F.col("_lt_key"))
     keep = [docs[c] for c in docs.columns if c not in (out_col, "n_lines", "n_dropped")]
-    joined = docs.join(drops, same, "left").select(
+    joined = docs.join(sent(drops, 4), same, "left").select(
         *keep, F.split(text, "\n").alias("_lt_lines"), F.coalesce(F.size("_lt_drop"), F.lit(0)).alias("n_dropped"),
         F.split(F.array_join(gaps, ""), "").alias("_lt_flags"),
     )
