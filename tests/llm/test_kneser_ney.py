@@ -106,3 +106,53 @@ def test_probabilities_add_up_to_one(spark):
         score, _, _ = model.log10(np.full(len(known), left), known, hot)
         assert (10**score).sum() == pytest.approx(1)
     assert docs.select(F.length("text")).count() == 30
+
+
+def brute_scores(rows, order):
+    """Scores of texts by the recursion over n-grams as tuples of words."""
+    lists = [[0] * (order - 1) + tokens(t) for _, t in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
+    grams = [[tuple(x[k : k + order]) for k in range(len(x) - order + 1)] for x in lists]
+    counts = {order: Counter(g for x, h in zip(grams, held, strict=True) if not h for g in x)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    words = len(counts[1])
+    by = {n: kneser_ney.discounts([Counter(c.values())[k] for k in range(1, 5)]) for n, c in counts.items()}
+
+    def prob(g):
+        if not g:
+            return 1 / (words + 1)
+        n, low = len(g), prob(g[1:])
+        after = totals[n].get(g[:-1])
+        if not after:
+            return low
+        c = counts[n][g]
+        return ((c - by[n][min(c, 3) - 1] if c else 0) + after[1] * low) / after[0]
+
+    totals = {n: {} for n in counts}
+    for n, c in counts.items():
+        for g, k in c.items():
+            total, spare = totals[n].get(g[:-1], (0, 0.0))
+            totals[n][g[:-1]] = (total + k, spare + by[n][min(k, 3) - 1])
+    return [sum(math.log10(prob(g)) for g in x) for x in grams], prob, counts
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_contexts(spark, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "HOT", 20)
+    rows = [(i, " ".join(f"the w{i * j % 7} of v{(i + j) % 5}" for j in range(i % 9))) for i in range(60)] + [(None, None), (60, "unseen the w1")]
+    docs = spark.createDataFrame([(i, t, "", 1, 1) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in kneser_ney.score_texts(docs, order=order).collect())
+    want, prob, counts = brute_scores(rows, order)
+    assert got == sorted((str(i), round(s, 6)) for (i, _), s in zip(rows, want, strict=True))
+    for left in [g[:-1] for g in list(counts[order])[:5]] + [("the",) * (order - 1)]:
+        assert sum(prob((*left, w)) for (w,) in counts[1]) + prob((*left, "never seen")) == pytest.approx(1)
+
+
+def test_query_uses_two_words_of_context(spark, tmp_path):
+    from threatlens.llm import queries
+
+    rows = [(i, f"{a} b {c}") for i, (a, c) in enumerate([("p", "x"), ("q", "y")] * 40)] + [(80, "p b x"), (81, "p b y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r.doc_id: r.score for r in queries.op10_kneser_ney(spark, str(tmp_path)).collect()}
+    assert scores[80] > scores[81] + 1

@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped.
+"""Interpolated modified Kneser-Ney model of any order from two: counted in Spark, stored as sorted hash arrays, memory-mapped.
 
 Words stand for their 64-bit hashes. Tasks send sorted arrays of what they counted, one row per shard, and a
 shard's task merges the arrays it gets; no row is made per token or n-gram.
@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,18 @@ from .tokens import slices, words
 
 #: Tokens of the corpus for each shard of the model; shards grow with the corpus.
 SHARD_TOKENS = 2 << 20
-#: A word that makes up more than one token in so many has its bigrams dealt by both words.
+#: Words of the longest n-grams, in production.
+ORDER = 3
+#: A word that makes up more than one token in so many has the n-grams of contexts that end in it dealt by all words.
 HOT = 4096
 #: The begin and end of a text; words hold no white space, so none hashes like these on purpose.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" begin ", b" end "))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUN = "shard int, body binary"
-#: Arrays of each kind of file: hashes are unsigned, numbers signed.
+#: Arrays of each kind of file, whatever the number of words in its name: hashes are unsigned, numbers signed.
 LAYOUT = {
     "words": (np.uint64, np.int64),
-    "pairs": (np.uint64, np.uint64, np.int64),
+    "grams": (np.uint64, np.uint64, np.int64),
     "left": (np.uint64, np.int64, np.int64, np.int64, np.int64),
     "right": (np.uint64, np.int64),
 }
@@ -61,13 +64,25 @@ def token_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return counts + 1, tokens
 
 
-def _left_words(counts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    left = np.empty_like(tokens)
-    left[1:] = tokens[:-1]
-    left[np.cumsum(counts) - counts] = BEGIN
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of words in order; one word is its own."""
+    return reduce(pair_hash, words)
+
+
+def _left_words(counts: np.ndarray, tokens: np.ndarray, back: int) -> np.ndarray:
+    """The token ``back`` places before each one; before a text stand begins."""
+    within = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+    has = np.flatnonzero(within >= back)
+    left = np.full_like(tokens, BEGIN)
+    left[has] = tokens[has - back]
     return left
 
 
+def _grams(counts: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of the n-gram that ends at each token, in order."""
+    return [*(_left_words(counts, tokens, back) for back in range(order - 1, 0, -1)), tokens]
+
+
 def _summed(keys: list[np.ndarray], *values: np.ndarray) -> list[np.ndarray]:
     """Rows of equal keys added up, in key order."""
     order = np.lexsort(keys[::-1])
@@ -102,6 +117,26 @@ def _arrays(body: bytes) -> list[np.ndarray]:
     ]
 
 
+def _nested(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Sorted distinct rows: of each column but the last one value per run, and the runs of the next column in it."""
+    starts = np.arange(len(counts))
+    arrays = [columns[-1], _small(counts)]
+    for k in range(len(columns) - 2, -1, -1):
+        new = np.any([np.diff(c, prepend=~c[:1]) != 0 for c in columns[: k + 1]], axis=0)
+        outer = np.flatnonzero(new)
+        arrays = [columns[k][outer], _small(np.diff(np.searchsorted(starts, np.append(outer, len(counts))))), *arrays]
+        starts = outer
+    return _body(*arrays)
+
+
+def _flat(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns and counts of what ``_nested`` packed."""
+    columns: list[np.ndarray] = []
+    for values, runs in zip(arrays[:-2:2], arrays[1:-2:2], strict=True):
+        columns = [np.repeat(c, runs) for c in [*columns, values]]
+    return [*columns, arrays[-2], arrays[-1].astype(np.int64)]
+
+
 def _row(shard: int, body: bytes) -> pa.RecordBatch:
     return pa.record_batch([pa.array([shard], pa.int32()), pa.array([body])], names=["shard", "body"])
 
@@ -167,26 +202,35 @@ def _count_words(n_shards: int):
     return run
 
 
-def _count_pairs(n_shards: int, hot):
+def _deal_grams(words: list[np.ndarray], counts: np.ndarray, n_shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of distinct n-grams to odd shards: by the last word of the context, where that is hot by all words."""
+    columns = [*words[-2::-1], words[-1]]
+    order = np.lexsort(columns[::-1])
+    columns, counts = [c[order] for c in columns], counts[order]
+    shards = _shard_of(columns[0], n_shards)
+    if len(words) > 1:
+        often = np.isin(columns[0], hot)
+        shards[often] = _shard_of(gram_hash([*(c[often] for c in columns[-2::-1]), columns[-1][often]]), n_shards)
+    for shard, (*part, n) in _by_shard(shards, n_shards, [*columns, counts]):
+        yield _row(2 * shard + 1, _nested(part, n))
+
+
+def _count_grams(n_shards: int, hot, order: int):
+    flush = 3 * FLUSH // (order + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
 
         def sent():
-            left, right, counts = counter.merge()
-            shards = _shard_of(left, n_shards)
-            often = np.isin(left, hot.value)
-            shards[often] = _shard_of(pair_hash(left[often], right[often]), n_shards)
-            for shard, (a, b, c) in _by_shard(shards, n_shards, [left, right, counts]):
-                starts = np.flatnonzero(np.diff(a, prepend=~a[0]))
-                yield _row(shard, _body(a[starts], _small(np.diff(starts, append=len(a))), b, _small(c)))
+            *grams, counts = counter.merge()
             counter.done = []
+            yield from _deal_grams(grams, counts, n_shards, hot.value)
 
         for batch in batches:
             for _, rows in slices(batch.column("text")):
                 sizes, tokens = token_hashes(rows)
-                left = _left_words(sizes, tokens)
-                counter.add(*_summed([left, tokens], np.ones(len(tokens), dtype=np.int64)))
-                if counter.done and len(counter.done[0]) > FLUSH:
+                counter.add(*_summed(_grams(sizes, tokens, order), np.ones(len(tokens), dtype=np.int64)))
+                if counter.done and len(counter.done[0]) > flush:
                     yield from sent()
         if counter.done or counter.new:
             yield from sent()
@@ -243,47 +287,43 @@ def _merge_words(folder: str):
     return run
 
 
-def _merge_pairs(folder: str, n_shards: int):
-    """Stores a shard's bigrams; sends on each left word's totals and each right word's distinct left words."""
+def _merge_grams(folder: str, n_shards: int, hot, size: int):
+    """Stores the n-grams of ``size`` words (odd shards) and the totals of contexts of as many words (even ones).
+
+    Sends on each context's totals, and each n-gram without its first word with its number of distinct first
+    words: the counts of the next shorter n-grams.
+    """
+
+    def contexts(words: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        types = [(counts == 1), (counts == 2), (counts > 2)]
+        keys, *sums = _summed([gram_hash(words[:-1])], counts, *(x.astype(np.int64) for x in types))
+        for to, columns in _by_shard(_shard_of(keys, n_shards), n_shards, [keys, *sums]):
+            yield _row(2 * to, _body(columns[0], *map(_small, columns[1:])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _shards(batches):
-            left = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-            right = np.concatenate([p[2] for p in parts])
-            counts = np.concatenate([p[3].astype(np.int64) for p in parts])
-            left, right, counts = _summed([left, right], counts)
-            hashes = pair_hash(left, right)
+            if shard % 2 == 0:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                merged = _summed([columns[0]], *(c.astype(np.int64) for c in columns[1:]))
+                _store(folder, f"left{size}-{shard // 2:07d}", *merged)
+                continue
+            columns = [np.concatenate(c) for c in zip(*map(_flat, parts), strict=True)]
+            parts.clear()
+            *columns, counts = _summed(columns[:-1], columns[-1])
+            words = [*columns[-2::-1], columns[-1]]
+            kinds = [int((counts == k).sum()) for k in range(1, 5)]
+            yield _row(-1, _body(np.array([*kinds, len(counts), (counts > 2).sum()], dtype=np.int64)))
+            if size == 1:
+                _store(folder, f"right-{shard // 2:07d}", words[0], counts)
+                continue
+            hashes = gram_hash(words)
             order = np.argsort(hashes)
             once = counts[order] == 1
             many = order[~once]
-            _store(folder, f"pairs-{shard:07d}", hashes[order[once]], hashes[many], counts[many])
-            kinds = [int((counts == k).sum()) for k in range(1, 5)]
-            yield _row(-1, _body(np.array([*kinds, len(counts)], dtype=np.int64)))
-            ones = [(counts == 1), (counts == 2), (counts > 2)]
-            keys, total, *types = _summed([left], counts, *(x.astype(np.int64) for x in ones))
-            for to, columns in _by_shard(_shard_of(keys, n_shards), n_shards, [keys, total, *types]):
-                yield _row(2 * to, _body(columns[0], *map(_small, columns[1:])))
-            keys, lefts = _summed([right], np.ones(len(right), dtype=np.int64))
-            for to, columns in _by_shard(_shard_of(keys, n_shards), n_shards, [keys, lefts]):
-                yield _row(2 * to + 1, _body(columns[0], _small(columns[1])))
-
-    return run
-
-
-def _merge_sides(folder: str):
-    """Left words' totals (even shards) and right words' numbers of left words (odd ones)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, parts in _shards(batches):
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            merged = _summed([columns[0]], *(c.astype(np.int64) for c in columns[1:]))
-            kinds = np.zeros(5, dtype=np.int64)
-            if shard % 2:
-                _store(folder, f"right-{shard // 2:07d}", *merged)
-                kinds[:] = [*((merged[1] == k).sum() for k in range(1, 5)), (merged[1] > 2).sum()]
-            else:
-                _store(folder, f"left-{shard // 2:07d}", *merged)
-            yield _row(shard % 2, _body(kinds))
+            _store(folder, f"grams{size}-{shard // 2:07d}", hashes[order[once]], hashes[many], counts[many])
+            yield from contexts(words, counts)
+            *shorter, lefts = _summed(words[1:], np.ones(len(counts), dtype=np.int64))
+            yield from _deal_grams(shorter, lefts, n_shards, hot.value)
 
     return run
 
@@ -312,9 +352,10 @@ class Model:
     n_shards: int
     tokens: int
     vocabulary: int
+    order: int
     pair_types: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    #: Discounts of n-grams by their number of words, from one.
+    by: dict[int, np.ndarray]
     word_mass: float
     files: dict = field(default_factory=dict, repr=False)
 
@@ -342,31 +383,38 @@ class Model:
                 o[rows[found]] = v[at[found]]
         return out
 
-    def pair_counts(self, left: np.ndarray, right: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        hashes, shards = pair_hash(left, right), _shard_of(left, self.n_shards)
-        often = np.isin(left, hot)
+    def gram_counts(self, words: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+        hashes, shards = gram_hash(words), _shard_of(words[-2], self.n_shards)
+        often = np.isin(words[-2], hot)
         shards[often] = _shard_of(hashes[often], self.n_shards)
-        out = np.zeros(len(left), dtype=np.int64)
-        for rows, (once, many, counts) in self._each("pairs", hashes, shards):
+        out = np.zeros(len(hashes), dtype=np.int64)
+        for rows, (once, many, counts) in self._each(f"grams{len(words)}", hashes, shards):
             _, found = _find(once, hashes[rows])
             out[rows[found]] = 1
             at, found = _find(many, hashes[rows])
             out[rows[found]] = counts[at[found]]
         return out
 
-    def log10(self, left: np.ndarray, right: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability, right word's training count, log10 base probability) of distinct bigrams."""
+    def log10(
+        self, left: np.ndarray | list[np.ndarray], right: np.ndarray, hot: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, right word's training count, log10 base probability) of distinct n-grams.
+
+        ``left`` holds the context's words in order, as many as the order needs, or is the one word of bigrams.
+        """
+        words = [*(left if isinstance(left, list) else [left]), right]
         (count,) = self.look_up("words", right, 1)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
         (lefts,) = self.look_up("right", right, 1)
         uniform = 1 / (self.vocabulary + 1)
-        types = max(self.pair_types, 1)
-        word = _taken(lefts, self.word_discounts) / types + self.word_mass * uniform
-        total, one, two, more = self.look_up("left", left, 4)
-        pair = _taken(self.pair_counts(left, right, hot), self.pair_discounts)
-        spare = np.stack([one, two, more], axis=1) @ self.pair_discounts
-        known = np.maximum(total, 1)
-        return np.log10(np.where(total > 0, pair / known + spare / known * word, word)), count, base
+        chance = _taken(lefts, self.by[1]) / max(self.pair_types, 1) + self.word_mass * uniform
+        for size in range(2, self.order + 1):
+            total, one, two, more = self.look_up(f"left{size - 1}", gram_hash(words[-size:-1]), 4)
+            taken = _taken(self.gram_counts(words[-size:], hot), self.by[size])
+            spare = np.stack([one, two, more], axis=1) @ self.by[size]
+            known = np.maximum(total, 1)
+            chance = np.where(total > 0, taken / known + spare / known * chance, chance)
+        return np.log10(chance), count, base
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,19 +441,23 @@ def _mapped(folder: str, name: str) -> list[np.ndarray]:
         return []
     data = np.memmap(path, dtype=np.uint8, mode="r")
     sizes, at, out = data[:64].view(np.int64), 64, []
-    for k, kind in enumerate(LAYOUT[name.split("-")[0]]):
+    for k, kind in enumerate(LAYOUT[name.split("-")[0].rstrip("0123456789")]):
         out.append(data[at : at + 8 * int(sizes[k])].view(kind))
         at += 8 * int(sizes[k])
     return out
 
 
-def train(docs: DataFrame, folder: str) -> tuple[Model, np.ndarray]:
+def train(docs: DataFrame, folder: str, order: int = 2) -> tuple[Model, np.ndarray]:
     """Counts the column ``text`` of all rows and stores the arrays below ``folder``; also the hot words.
 
-    Three exchanges: words, bigrams, and the bigrams' sides. Their rows are arrays, so their number follows
-    tasks times shards. A bigram goes by its left word, and by both words where the left one is hot (at most
-    HOT words are), so no shard holds more than a bounded share. The driver sees totals and the hot words.
+    One exchange for words, one for n-grams of ``order`` words, and one for each shorter length, whose counts
+    are numbers of distinct first words of the next longer one. Their rows are arrays, so their number follows
+    tasks times shards. An n-gram goes by the last word of its context, and by all its words where that one is
+    hot (at most HOT words are), so no shard holds more than a bounded share. The driver sees totals and the
+    hot words.
     """
+    if order < 2:
+        raise ValueError("order must be at least 2")
     spark = docs.sparkSession
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
@@ -428,22 +480,20 @@ def train(docs: DataFrame, folder: str) -> tuple[Model, np.ndarray]:
         dtype=np.int64,
     ).astype(np.uint64)
     shared = spark.sparkContext.broadcast(hot)
-    sides = settle(dealt(texts.mapInArrow(_count_pairs(n_shards, shared), _RUN)).mapInArrow(
-        _merge_pairs(folder, n_shards), _RUN), "kn-sides")
-    pair_kinds = _kinds(sides.filter("shard < 0"))
-    right = settle(dealt(sides.filter("shard >= 0")).mapInArrow(_merge_sides(folder), _RUN), "kn-right")
-    word_kinds = _kinds(right.filter("shard = 1"))
-    by = discounts(word_kinds)
-    mass = (by[0] * word_kinds[0] + by[1] * word_kinds[1] + by[2] * word_kinds[4]) / max(pair_kinds[4], 1)
-    if pair_kinds[4] == 0:
-        mass = 1.0
-    model = Model(folder, n_shards, tokens, vocabulary, int(pair_kinds[4]), discounts(pair_kinds), by, float(mass))
-    return model, hot
+    rows, kinds = texts.mapInArrow(_count_grams(n_shards, shared, order), _RUN), {}
+    for size in range(order, 0, -1):
+        merged = settle(dealt(rows).mapInArrow(_merge_grams(folder, n_shards, shared, size), _RUN), f"kn-{size}")
+        kinds[size] = _kinds(merged.filter("shard < 0"))
+        rows = merged.filter("shard >= 0")
+    by = {size: discounts(k) for size, k in kinds.items()}
+    types, word_kinds = int(kinds[2][4]), kinds[1]
+    mass = (by[1][0] * word_kinds[0] + by[1][1] * word_kinds[1] + by[1][2] * word_kinds[5]) / types if types else 1.0
+    return Model(folder, n_shards, tokens, vocabulary, order, types, by, float(mass)), hot
 
 
 def _kinds(rows: DataFrame) -> np.ndarray:
     """Sum of the shards' counts of counts: one small row per shard."""
-    return sum((_arrays(r["body"])[0] for r in rows.select("body").toLocalIterator()), np.zeros(5, dtype=np.int64))
+    return sum((_arrays(r["body"])[0] for r in rows.select("body").toLocalIterator()), np.zeros(6, dtype=np.int64))
 
 
 def _score(model: Model, hot):
@@ -451,14 +501,15 @@ def _score(model: Model, hot):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
                 sizes, tokens = token_hashes(rows)
-                left = _left_words(sizes, tokens)
-                order = np.lexsort((tokens, left))
-                a, b = left[order], tokens[order]
+                grams = _grams(sizes, tokens, model.order)
+                order = np.lexsort(grams[::-1])
+                grams = [g[order] for g in grams]
                 new = np.ones(len(order), dtype=bool)
-                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
                 place = np.empty(len(order), dtype=np.int64)
                 place[order] = np.cumsum(new) - 1
-                score, count, base = model.log10(a[new], b[new], hot.value)
+                *left, right = (g[new] for g in grams)
+                score, count, base = model.log10(left, right, hot.value)
                 starts = np.cumsum(sizes) - sizes
                 columns = [
                     pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64)[place], starts)),
@@ -474,13 +525,15 @@ def _score(model: Model, hot):
 
 
 def score_texts(
-    docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = 2
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     The model learns from the rows where ``training`` holds (crc32 of the id as text, modulo 5, is not 1). The
-    probability of a word is its discounted bigram count over the left word's total, plus the mass taken times
-    the discounted share of bigram types that end in it, plus what that leaves over the vocabulary and one
+    probability of a word after the ``order`` - 1 words before it, begins before a text, is its discounted count
+    there over the context's total, plus the mass taken times its probability after one word less; counts of
+    shorter n-grams are their numbers of distinct words before. After no words it is the discounted share of
+    bigram types that end in the word, plus what that leaves over the vocabulary and one
     unknown word. A null or empty text is one end token. A null id counts as the empty text in the remainder;
     rows that repeat an id are scored, and learned from, each. Other columns are not looked at. An empty table
     gives no rows; without training rows every token has the same probability.
@@ -488,7 +541,7 @@ def score_texts(
     folder = fresh_folder(docs.sparkSession, "kneser-ney")
     held = fold(id_col) == 1 if training is None else ~training
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    model, hot = train(rows.filter(~F.col("held_out")).select("text"), folder)
+    model, hot = train(rows.filter(~F.col("held_out")).select("text"), folder, order)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)[id_col]
     scored = rows.select("doc_id", "text").mapInArrow(

@@ -206,4 +206,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.score_texts(table(spark, sf_dir, "documents"))
+    return kneser_ney.score_texts(table(spark, sf_dir, "documents"), order=kneser_ney.ORDER)
