@@ -97,3 +97,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 90, 90: 90, 95: 90, **dict.fromkeys(range(200, 230), 200)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_at_the_threshold_do_not_depend_on_other_links(spark):
+    """Pairs at 0.8 beside a group whose many closer links used to fill the estimate of the recall."""
+    middle = [[f"p{k}w{i}" for i in range(20)] for k in range(2500)]
+    rows = [(2 * k + side, " ".join([f"a{side}", *words, f"z{side}"])) for k, words in enumerate(middle) for side in (0, 1)]
+    base = [f"g{i}" for i in range(400)]
+    rows += [(10_000 + k, " ".join([f"x{k}", *base])) for k in range(120)]
+    docs = spark.createDataFrame([(i, t, 1, "", 0) for i, t in rows], SCHEMA).repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in lsh_forest.jaccard_join(docs).collect()}
+    assert [i for i in range(5000) if got[i] != (i - i % 2, 1)] == []
+    assert all(got[10_000 + k] == (10_000, 119) for k in range(120))
+
+
+def test_depth_follows_the_threshold():
+    for threshold in (0.5, 0.7, 0.8, 0.9):
+        depth = lsh_forest.depth_for(threshold, lsh_forest.RECALL)
+        assert lsh_forest.chance(threshold, depth) >= lsh_forest.RECALL
+    assert lsh_forest.chance(lsh_forest.THRESHOLD, lsh_forest.depth_for(lsh_forest.THRESHOLD, lsh_forest.RECALL)) > 1 - 1e-7

@@ -1,8 +1,8 @@
 """Jaccard join of documents on word shingles: a MinHash LSH forest, then exact verification.
 
 Each tree of the forest is a prefix trie over the documents' labels, a run of MinHash values. Two documents
-are candidates when some tree has them below one trie node at the current depth. The depth starts long and
-is shortened until the estimated recall reaches its target.
+are candidates when some tree has them below one trie node at one depth: the longest at which a pair at the
+threshold is all but certain to be found, whatever else is in the corpus.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from .tokens import slices, words
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees of the forest, hashes of a label, and bytes that a label keeps of each.
-TREES, LABEL, BYTES = 20, 7, 2
-#: Matched prefixes start so long, and are shortened no further than the shortest: there a pair at the
-#: threshold is missed once in 30,000.
-LONGEST, SHORTEST = 6, 4
-RECALL = 0.999
+TREES, LABEL, BYTES = 35, 4, 2
+#: Lengths of matched prefixes to choose from. At 0.8 the longest is taken, which misses a pair once in 10^8.
+LONGEST, SHORTEST = 4, 1
+#: Chance that a pair at the threshold has to be found with.
+RECALL = 0.999999
 #: Documents that are compared with each other at once; larger groups become a grid of blocks.
 BLOCK = 512
 #: Shared shingles that are compared at once.
@@ -118,6 +118,11 @@ def chance(similarity, depth: int):
     return 1 - (1 - np.asarray(similarity, dtype=float) ** depth) ** TREES
 
 
+def depth_for(threshold: float, recall: float) -> int:
+    """The longest prefix at which a pair at the threshold is found with that chance; the shortest if none is."""
+    return next((d for d in range(LONGEST, SHORTEST, -1) if chance(threshold, d) >= recall), SHORTEST)
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all left and right sets."""
     sets = [*left, *right]
@@ -193,9 +198,7 @@ def _compare(rows: list[tuple], tree: int, cross: bool, depth: int, threshold: f
     links = np.bincount(pairs.ravel(), weight[pairs[:, ::-1].ravel()], len(rows))
     root = _roots(len(rows), pairs)
     out = [(0, int(nodes[k]), None, float(links[k])) for k in np.flatnonzero(links)]
-    out += [(1, int(nodes[k]), int(nodes[root[k]]), 0.0) for k in np.flatnonzero(root != np.arange(len(rows)))]
-    expected = float((1 / chance(common[i, j] / union[i, j], depth)).sum())
-    return [*out, (2, len(i), None, expected)]
+    return out + [(1, int(nodes[k]), int(nodes[root[k]]), 0.0) for k in np.flatnonzero(root != np.arange(len(rows)))]
 
 
 def _verify(depth: int, threshold: float):
@@ -297,8 +300,8 @@ def jaccard_join(
     one row, and candidates are never listed as pairs: a group is compared inside a task, block by block, and
     gives its documents' numbers of links and a spanning forest.
 
-    The forest's depth is shortened until the links found, weighted by the inverse chance of finding them,
-    say that ``recall`` of all links are there, or until pairs at the threshold are all but certain to be found.
+    The forest's depth follows from the threshold alone: each pair at or above it is found with a chance of at
+    least ``recall``, however many other links there are (at thresholds below 0.33 no depth gives the default).
 
     A null text is empty; texts without words link with nothing and are a class of their own. A row without id
     is returned with null class and no links. Rows that repeat an id give one row; the one whose shingles hash
@@ -313,11 +316,7 @@ def jaccard_join(
     classes = settle(classes, "shingle-classes")
     speaks = records.join(classes, key).filter("doc_id = node")
     speaks = settle(speaks.select("node", *key, "size", "label").dropDuplicates(["node"]), "shingle-nodes")
-    for depth in range(LONGEST, SHORTEST - 1, -1):
-        found = _links(docs, speaks, depth, threshold)
-        pairs = found.filter("kind = 2").agg(F.sum("a").alias("n"), F.sum("w").alias("expected")).first()
-        if not pairs["n"] or depth == SHORTEST or pairs["n"] / pairs["expected"] >= recall:
-            break
+    found = _links(docs, speaks, depth_for(threshold, recall), threshold)
     joined = components(found.filter("kind = 1").select("a", "b"))
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("w").cast("long").alias("near"))
     nodes = classes.join(joined, "node", "left").join(counts, "node", "left").select(
