@@ -175,3 +175,22 @@ def test_composed_run(spark):
     tables = full_run.Tables(t.netflow, t.zeek, t.windows_events, t.ueba, t.hosts, t.flow_labels, t.tickets)
     out = full_run.run(tables, with_ja3=True, rounds=2, depth=3)
     assert out.responded.count() == t.flows.count() and out.threshold.first()[0] is not None
+
+
+def test_threats_of_the_whole_table_are_graded(spark, monkeypatch):
+    from threatlens.catalog import queries as Q
+    from threatlens.plans import flow_agent
+
+    t, train, asked = Q.Tables(spark, SF), flow_agent.train, []
+
+    def short(flows, kind="both", **gbt):
+        asked.append((gbt, {r[0] for r in flows.select("flow_id").collect()}))
+        return train(flows, kind, rounds=2, depth=3)
+
+    monkeypatch.setattr(flow_agent, "train", short)
+    graded = Q.graded_apart(t)
+    ids = sorted(r[0] for r in t.stored.select("flow_id").collect())
+    assert sorted(r[0] for r in graded.select("flow_id").collect()) == ids
+    assert [gbt for gbt, _ in asked] == [{}, {}]
+    (_, one), (_, other) = asked
+    assert one.isdisjoint(other) and one | other == set(ids) and one and other

@@ -1044,11 +1044,15 @@ def grade_flows(t):
 
 
 def graded_apart(t) -> DataFrame:
-    """Flows of odd source ports, graded by both models trained on those of even ones, stored and reloaded."""
-    even = F.col("src_port") % 2 == 0
-    path = fresh_folder(t.spark, "artifacts")
-    art = flow_agent.train_or_load(t.spark, path, settle(t.stored.where(even), "even"), rounds=10, depth=4)
-    return flow_agent.grade(settle(t.stored.where(~even), "odd"), art)
+    """All flows: of two halves by the hash of flow_id, each is graded by both models trained on the other one,
+    stored and reloaded."""
+    half = F.pmod(F.xxhash64("flow_id"), F.lit(2))
+    halves = [settle(t.stored.where(half == k), f"half-{k}") for k in (0, 1)]
+    graded = []
+    for known, rest in (halves, halves[::-1]):
+        art = flow_agent.train_or_load(t.spark, fresh_folder(t.spark, "artifacts"), known)
+        graded.append(flow_agent.grade(rest, art))
+    return graded[0].unionByName(graded[1])
 
 
 @query
