@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     cost_packing,
     exact_dedup,
+    fill_in_middle,
     kneser_ney,
     line_templates,
     lsh_forest,
@@ -207,3 +208,43 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_texts(table(spark, sf_dir, "documents"), order=kneser_ney.ORDER)
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+),
+h AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || substr(hex, 1, 8))::BIGINT % (len(units) + 1) AS one,
+         ('0x' || substr(hex, 9, 8))::BIGINT % (len(units) + 1) AS other,
+         ('0x' || substr(hex, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(hex, 25, 8))::BIGINT % 100 AS h4 FROM d
+),
+cuts AS (
+  SELECT doc_id, text, n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 50
+           THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(one, other)], '') AS p,
+         array_to_string(units[least(one, other) + 1:greatest(one, other)], '') AS m,
+         array_to_string(units[greatest(one, other) + 1:], '') AS s
+  FROM h
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+         ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cuts
+"""
