@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
@@ -14,6 +14,7 @@ from . import (
     kneser_ney,
     line_templates,
     lsh_forest,
+    periodic_runs,
     quality,
     stream_viterbi,
     token_files,
@@ -210,6 +211,43 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_texts(table(spark, sf_dir, "documents"), order=kneser_ney.ORDER)
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by crc32 of the id, all words from one on repeat a period.
+
+    A null id counts as the empty text, whose crc32 is 0.
+    """
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda word: word != "")
+
+    def periodic(w: Column) -> Column:
+        n, g = F.size(w), F.floor(F.col("_h") / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.when(
+            n > 0, F.concat_ws(" ", F.transform(
+                F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p)))),
+        )
+
+    # A list of one value binds the words, so that they are cut once and not for each place.
+    planted = F.transform(F.array(words), periodic)[0]
+    rows = docs.select("doc_id", "text", hashed.alias("_h"))
+    return rows.select("doc_id", F.when(F.col("_h") % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.concat(periodic_runs.listing(F.col("runs")), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
