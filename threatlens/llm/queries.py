@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     cost_packing,
+    decision_list,
     exact_dedup,
     fill_in_middle,
     kneser_ney,
@@ -248,6 +249,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
