@@ -63,14 +63,6 @@ def test_stratified_split_shares(spark):
         assert abs(r["s"] - 0.2) < 0.01
 
 
-def test_boosted_trees_learn(spark):
-    df = planted(spark).withColumn("label", (F.col("a") + F.col("b") > 0.5).cast("int"))
-    model = trees.fit_gbt(df, "id", ["a", "b", "c"], rounds=8, depth=3, rate=0.3)
-    out = trees.probability(df, model, ["a", "b", "c"], "p").toPandas()
-    assert out["p"].between(0, 1).all()
-    assert out.loc[out["label"] == 1, "p"].mean() > out.loc[out["label"] == 0, "p"].mean() + 0.3
-
-
 def test_entry_gives_rows(spark):
     out = contract.entry(spark)
     assert out.count() > 0 and "predicted_category" in out.columns

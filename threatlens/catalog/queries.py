@@ -950,7 +950,7 @@ def importance_share(t):
 @query
 def forest_importance_share(t):
     model, _ = session_forest(t)
-    return ev.importance_share(trees.importances(model, K.PACKET_FEATURES, t.spark))
+    return ev.importance_share(model.importances())
 
 
 # ── models ────────────────────────────────────────────────────────────────────────────────────
@@ -989,7 +989,7 @@ def gbt_classifier(t):
     features = settle(ff.flow_feature_vector(t.stored, keep=["flow_label"]), "features")
     data = features.withColumn("label", (F.col("flow_label") != "NORMAL").cast("int"))
     model = trees.fit_gbt(data, "flow_id", K.CLASSIFIER_FEATURES)
-    return trees.probability(data, model, K.CLASSIFIER_FEATURES, "classifier_score").select(
+    return trees.probability(data, model, "classifier_score").select(
         "flow_id", "label", "classifier_score"
     )
 

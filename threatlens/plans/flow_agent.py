@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.expressions import ensemble, flow_severity
 from ..models import iforest, trees
+from ..models.boosting import BoostedTrees
 from ..operators import flow_features as ff
 from ..operators.cleaning import dedupe_flows
 from ..operators.live_rules import cti_overrides
@@ -26,21 +26,21 @@ class FlowArtifacts:
     rate_stats: DataFrame
     src_stats: DataFrame
     anomaly: iforest.IsolationForestModel
-    classifier: GBTClassificationModel | None = None
+    classifier: BoostedTrees | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
         for name in ("baseline", "rate_stats", "src_stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         self.anomaly.save(spark, f"{path}/anomaly")
         if self.classifier is not None:
-            self.classifier.write().overwrite().save(f"{path}/classifier")
+            self.classifier.save(spark, f"{path}/classifier")
 
     @staticmethod
     def load(spark: SparkSession, path: str, with_classifier: bool = True) -> "FlowArtifacts":
         return FlowArtifacts(
             *[spark.read.parquet(f"{path}/{n}") for n in ("baseline", "rate_stats", "src_stats")],
             iforest.IsolationForestModel.load(spark, f"{path}/anomaly"),
-            GBTClassificationModel.load(f"{path}/classifier") if with_classifier else None,
+            BoostedTrees.load(spark, f"{path}/classifier") if with_classifier else None,
         )
 
 
@@ -98,7 +98,7 @@ def score(
     scored = iforest.score(features, art.anomaly)
     scored = scored.withColumn("anomaly_score", iforest.flow_calibration())
     if art.classifier is not None:
-        scored = trees.probability(scored, art.classifier, K.CLASSIFIER_FEATURES, "classifier_score")
+        scored = trees.probability(scored, art.classifier, "classifier_score")
         blend = ensemble("classifier_score", "anomaly_score", classifier_weight, anomaly_weight)
     else:
         blend = F.col("anomaly_score")

@@ -52,7 +52,7 @@ def labelled_sessions(windows: DataFrame, zeek: DataFrame) -> DataFrame:
 
 
 def score_sessions(
-    sessions: DataFrame, n_trees: int = 300, depth: int = trees.MAX_DEPTH, test_share: float = 0.30, seed: int = 42
+    sessions: DataFrame, n_trees: int = 300, test_share: float = 0.30, seed: int = 42
 ):
     """Random forest over sessions: (model, all sessions with score and both flags).
 
@@ -63,9 +63,9 @@ def score_sessions(
         "split",
     )
     model = trees.fit_rf(
-        split.where("not is_test"), K.PACKET_FEATURES, "session_label", n_trees, 2, depth, seed
+        split.where("not is_test"), "session_key", K.PACKET_FEATURES, "session_label", n_trees, 2, seed
     )
-    scored = settle(trees.probability(split, model, K.PACKET_FEATURES, "rf_threat_score"), "rf-scores")
+    scored = settle(trees.probability(split, model, "rf_threat_score"), "rf-scores")
     best = best_f1_threshold(scored.where("is_test"), "rf_threat_score", "session_label")
     cut = best.select("threshold").scalar()
     return model, scored.withColumns(

@@ -110,8 +110,12 @@ def folder_exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that ``fresh_folder`` named, when nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the intermediate tables this application stored; call it when its results are written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(_session_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, _session_folder(spark))
