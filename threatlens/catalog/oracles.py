@@ -309,6 +309,7 @@ cte("rawblocked", f"SELECT src_ip, MIN(start_time) AS block_time FROM streamscor
 oracle("blocked_sources", "SELECT src_ip, EPOCH_US(block_time) AS block_us FROM blocked")
 oracle("stream_blocklist", "SELECT f.src_ip, COUNT(*) AS n_passed FROM netflow f LEFT JOIN rawblocked b ON f.src_ip = b.src_ip WHERE b.src_ip IS NULL OR f.start_time <= b.block_time GROUP BY 1")
 oracle("unblock_ip", "SELECT b.src_ip, EPOCH_US(b.block_time) AS block_us FROM blocked b LEFT JOIN (SELECT f.src_ip, MAX(f.start_time) AS u FROM flows f JOIN flow_labels l USING (flow_id) WHERE NOT l.is_attack AND f.packets_recv = 0 GROUP BY 1) r ON b.src_ip = r.src_ip WHERE r.u IS NULL OR r.u < b.block_time")
+oracle("stream_arrival_rate", f"SELECT src_ip, us AS start_us, n AS n_arrivals, CAST(SUM(n) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 119999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS count_2min FROM (SELECT src_ip, EPOCH_US(start_time) AS us, COUNT(*) AS n FROM netflow WHERE {SWIFT_SQL} GROUP BY 1, 2) QUALIFY us <= (SELECT MAX(EPOCH_US(start_time))//1000*1000 - 600000000 FROM netflow WHERE {SWIFT_SQL})")
 oracle("stream_rate_window", f"SELECT src_ip, s AS start_us, s + 120000000 AS end_us, COUNT(*) AS n_queries FROM (SELECT src_ip, (EPOCH_US(start_time)//10000000)*10000000 - k*10000000 AS s FROM netflow, RANGE(0, 12) r(k) WHERE {SWIFT_SQL}) GROUP BY 1, 2 HAVING s + 120000000 <= (SELECT MAX(EPOCH_US(start_time))//1000*1000 - 600000000 FROM netflow WHERE {SWIFT_SQL})")
 oracle("stream_source_flows", f"SELECT flow_id, src_ip, dst_ip, EPOCH_US(start_time) AS start_us, CAST(packets_sent AS DOUBLE) AS packets_sent, bytes_sent, dst_port, COALESCE(is_internal_src, FALSE) AS is_internal_src, ja3_hash, CASE WHEN src_port % 7 = 0 THEN 0.05e0 ELSE src_port % 100/100e0 END AS packet_score, CASE WHEN src_port % 7 = 0 THEN 0.05e0 ELSE src_port*3 % 100/100e0 END AS behavior_score FROM flows_ja3 WHERE src_port % 53 <> 0 AND src_port % 59 <> 0 AND bytes_sent IS NOT NULL")
 

@@ -728,7 +728,7 @@ def user_profiles(t):
 
 @query
 def swift_rolling_rate(t):
-    rated = ff.swift_rate_columns(t.flows)
+    rated = ff.swift_rate_columns(settle(t.flows, "flows"))
     return rated.select("flow_id", r6("swift_query_zscore"), "swift_rate_exceeded")
 
 
@@ -1132,6 +1132,16 @@ def stream_counters(t):
     return live.run_complete(live.counters(live_stream(t)), "counters")
 
 
+@query
+def stream_arrival_rate(t):
+    def rates(spark):
+        return live.arrival_rates(net_stream(t, spark))
+
+    return live.run_to_table(rates, t.spark, "arrivals", partitions=STATE_PARTITIONS).select(
+        "src_ip", us("start_time", "start_us"), "n_arrivals", "count_2min"
+    )
+
+
 @query
 def stream_rate_window(t):
     def rates(spark):

@@ -18,7 +18,9 @@ from ..operators.flow_features import is_swift_sql
 from ..operators.live_rules import classify_live
 from ..operators.sessions import session_numbers
 from ..session import fresh_folder, settle, stream_session
+from ..sources.growing import follow_lines
 from ..sources.readers import LIVE_SCHEMA
+from .keyed_list import KeyedList
 
 # The driver-side runner of stateful streams does not see shipped files, so the processor travels whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,17 +32,9 @@ ALERT_SCHEMA = "src_ip string, attack_name string, severity string, alert_time t
 )
 
 
-def read_live_log(
-    spark: SparkSession, path: str, files_per_batch: int = 100, header: bool = True
-) -> DataFrame:
-    """Follows a folder of appended flow logs; lines that do not parse are skipped."""
-    raw = (
-        spark.readStream.schema(LIVE_SCHEMA + ", _corrupt_record string")
-        .option("header", header).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("maxFilesPerTrigger", files_per_batch).csv(path)
-    )
-    return parse_live(raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
+def read_live_log(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Follows a flow log, or a folder of them, while records are appended; lines that do not parse are skipped."""
+    return parse_live(follow_lines(spark, path, LIVE_SCHEMA, header))
 
 
 def parse_live(raw: DataFrame) -> DataFrame:
@@ -199,6 +193,70 @@ def counters(scored: DataFrame) -> DataFrame:
     )
 
 
+class TrailingCount(StatefulProcessor):
+    """Counts the arrivals of a source in (t - ``span``, t] at each of its instants, in microseconds.
+
+    Instants come once the watermark has passed them, so those of one batch are later than all before. The state
+    maps the instants of the last ``span`` to their arrivals; a timer clears it when the watermark has left them.
+    """
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.arrivals = handle.getMapState("arrivals", "us long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("start_time")
+        kept = sorted((us[0], n[0]) for us, n in self.arrivals.iterator()) if self.arrivals.exists() else []
+        fresh = batch["start_time"].astype("datetime64[us]").astype("int64").to_numpy()
+        at = np.concatenate([np.array([us for us, _ in kept], dtype=np.int64), fresh])
+        n = np.concatenate([np.array([n for _, n in kept], dtype=np.int64), batch["n"].to_numpy()])
+        upto = np.cumsum(n)
+        gone = np.searchsorted(at, at - self.span, side="right")
+        trailing = upto - np.where(gone > 0, upto[gone - 1], 0)
+        yield pd.DataFrame({
+            "src_ip": key[0], "start_time": batch["start_time"].to_numpy(), "n_arrivals": batch["n"].to_numpy(),
+            "count_2min": trailing[len(kept):],
+        })
+        last = int(at[-1])
+        for us, _ in kept:
+            if us <= last - self.span:
+                self.arrivals.removeKey((us,))
+        for us, count in zip(fresh, batch["n"], strict=True):
+            if us > last - self.span:
+                self.arrivals.updateValue((int(us),), (int(count),))
+        self.handle.registerTimer((last + self.span) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.arrivals.exists():
+            latest = max(us[0] for us in self.arrivals.keys())
+            if latest + self.span < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+                self.arrivals.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def arrival_rates(flows: DataFrame, delay: str = "10 minutes", seconds: int = 120) -> DataFrame:
+    """Per source and instant its SWIFT database flows: n_arrivals, and count_2min in (t - 2 minutes, t].
+
+    Exact at every arrival, as ``swift_rolling_counts`` is: the k-th flow of an instant has count_2min - n_arrivals + k.
+    Flows may come out of order by up to ``delay``; an instant is emitted when the watermark has passed it. Flows are
+    first brought together per (source, instant), so a busy source's flows are spread, and its state holds instants.
+    Needs a RocksDB state store (``stream_session``).
+    """
+    swift = flows.where(is_swift_sql()).withWatermark("start_time", delay)
+    instants = swift.groupBy("src_ip", "start_time").agg(F.count(F.lit(1)).alias("n"))
+    return instants.groupBy("src_ip").transformWithStateInPandas(
+        statefulProcessor=TrailingCount(seconds * K.SECOND),
+        outputStructType="src_ip string, start_time timestamp, n_arrivals long, count_2min long",
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
 def rate_windows(flows: DataFrame, delay: str = "10 minutes", size: str = "2 minutes", step: str = "10 seconds") -> DataFrame:
     """SWIFT database flows per source in sliding event-time windows.
 
@@ -255,35 +313,36 @@ def run_complete(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-BLOCK_SCHEMA = "src_ip string, block_time timestamp"
-
-
 def maintain_blocklist(scored: DataFrame, path: str, checkpoint: str, accepted: str | None = None):
-    """Adds each attacking source once, loopback excluded; returns the running query.
+    """Adds each attacking source once, loopback excluded, to the ``KeyedList`` at ``path``; returns the running query.
 
     With ``accepted`` the flows that are not rejected are written there: those of sources that neither an
-    earlier batch nor an earlier flow of their own batch has blocked. Every micro-batch owns one folder of
-    the list and of the accepted flows and overwrites it when it is run again.
+    earlier batch nor an earlier flow of their own batch has blocked. Every micro-batch owns one folder of the
+    accepted flows and overwrites it when it is run again; the list takes a batch's rows once.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = settle(batch, "live-batch") if accepted else batch
-        known = spark.read.schema(f"{BLOCK_SCHEMA}, batch long").parquet(path).where(F.col("batch") != batch_id)
-        known = known.select("src_ip", "block_time")
-        first = block_times(stored).join(known.select("src_ip"), "src_ip", "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        blocked = KeyedList(batch.sparkSession, path)
+        stored = settle(batch, "live-batch")
+        before = blocked.members(before=batch_id).select("src_ip", F.col("time").alias("block_time"))
+        first = settle(block_times(stored).join(before.select("src_ip"), "src_ip", "left_anti"), "live-blocked")
         if accepted:
-            added = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/batch={batch_id}")
-            passed = passed_traffic(stored, known.unionByName(added))
+            passed = passed_traffic(stored, before.unionByName(first))
             passed.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
+        blocked.add(batch_id, first.select("src_ip", F.col("block_time").alias("time"), F.lit(True).alias("present")))
 
-    scored.sparkSession.createDataFrame([], BLOCK_SCHEMA).write.mode("ignore").parquet(f"{path}/batch=-1")
     return (
         scored.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
+def unblock(spark: SparkSession, path: str, released: DataFrame) -> None:
+    """Takes sources (src_ip, unblock_time) off the kept list; a later attack adds them again."""
+    KeyedList(spark, path).add(
+        None, released.groupBy("src_ip").agg(F.max("unblock_time").alias("time")).withColumn("present", F.lit(False))
+    )
+
+
 def block_times(scored: DataFrame) -> DataFrame:
     """First attack time per source; loopback addresses are never blocked."""
     return (
