@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from threatlens.operators import ordered, sessions
@@ -116,6 +117,27 @@ def test_cumulative_and_quantiles(spark):
     assert (cum["next_n"].to_numpy()[:-1] == cum["n"].to_numpy()[1:]).all() and pd.isna(cum["next_n"].iloc[-1])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_order_statistics_by_narrowing(spark, seed):
+    """Small sketches and few values taken as they are, so that several rounds are needed; ties and nulls."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=4000), np.full(900, 0.25), rng.integers(0, 5, 1100).astype(float)])
+    rng.shuffle(x)
+    frame = pd.DataFrame({"c0": x, "c1": np.where(rng.random(len(x)) < 0.3, np.nan, np.exp(9 * x))})
+    values = spark.createDataFrame(frame).select("c0", F.nanvl("c1", F.lit(None)).alias("c1")).repartition(6)
+    ranks = {"c0": {0, 17, 3000, 5999, *rng.integers(0, 6000, 5).tolist()}, "c1": {0, 100, 2000}}
+    counts = {"c0": 6000, "c1": int(frame["c1"].notna().sum())}
+    got = ordered.order_statistics(values, ranks, counts, parts=20, few=30)
+    for name, wanted in ranks.items():
+        held = np.sort(frame[name].dropna().to_numpy())
+        assert {r: got[name, r] for r in wanted} == {r: held[r] for r in wanted}
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None, float("nan"))], "x double, y double")
+    assert ordered.exact_quantiles(df, ["x", "y"], 0.5).count() == 0
+
+
 def test_cooldown_batch(spark):
     rng = random.Random(7)
     start = 1704067200
@@ -162,3 +184,20 @@ def test_crowded_key_is_spread(spark):
     assert parts.groupBy(ordered.PART).count().agg(F.max("count")).first()[0] < 1500
     cum = ordered.cumulative_by_value(values, "x", ["n"], descending=False, parts=8)
     assert cum.where("x = 1e300").first()["cum_n"] == 4001
+
+
+def test_edges_off_every_path_leave(spark):
+    """Many dead ends on both sides: what is left is exactly the edges of whole paths."""
+    import itertools
+
+    from threatlens.operators.killchain import edges_on_paths
+
+    rng = random.Random(4)
+    edges = {(h, f"{h}-{rng.randrange(9)}", f"{h + 1}-{rng.randrange(9)}") for h in range(3) for _ in range(14)}
+    edges |= {(h, f"{h}-dead{i}", f"{h + 1}-dead{i + h + 1}") for h in range(3) for i in range(0, 60, 7)}
+    whole = [
+        p for p in itertools.product(*[[e for e in edges if e[0] == h] for h in range(3)])
+        if all(a[2] == b[1] for a, b in zip(p, p[1:], strict=False))
+    ]
+    got = edges_on_paths(spark.createDataFrame(sorted(edges), "hop int, src_ip string, dst_ip string"), 3)
+    assert {tuple(r) for r in got.collect()} == {e for p in whole for e in p} and whole

@@ -8,6 +8,7 @@ only on tree count and sample size, so it is shipped to the executors as a broad
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,6 @@ from .scaler import as_dict, fit_scaler, scaled
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, path double"
 OVERSAMPLE = 2
-HASH_RANGE = 2**31
 
 
 def average_path(n: int) -> float:
@@ -63,15 +63,22 @@ def tree_samples(
 ) -> DataFrame:
     """(tree, h, features): about twice the wanted sample per tree, chosen by hashes of (id, tree).
 
-    Trees draw independently at every table size; a row is repeated only for the trees it falls into.
+    A row falls into each tree by the same chance. One draw gives the number of its trees, and only the few rows that
+    fall into any draw which: those whose hash with the row is least. What a row draws depends on its id and on the
+    chance alone, at every table size.
     """
-    share = int(HASH_RANGE * min(1.0, sample_size * OVERSAMPLE / max(n_rows, 1)))
+    chance = min(1.0, sample_size * OVERSAMPLE / max(n_rows, 1))
     base = df.select(F.col(id_col).cast("string").alias("id"), *features)
-    trees = F.filter(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(HASH_RANGE)) < share,
+    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    upto = np.cumsum([comb(n_trees, k) * chance ** k * (1.0 - chance) ** (n_trees - k) for k in range(n_trees)])
+    n_drawn = F.size(F.filter(F.array(*map(F.lit, upto.tolist())), lambda border: border <= u))
+    drawn = base.where(u >= F.lit(float(upto[0]))).withColumn("n_drawn", n_drawn)
+    numbers = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    order = F.array_sort(F.transform(numbers, lambda t: F.struct(F.xxhash64("id", t, F.lit(seed + 1)).alias("h"), t.alias("t"))))
+    trees = F.transform(F.slice(order, 1, F.col("n_drawn")), lambda pair: pair["t"])
+    return drawn.withColumn("tree", F.explode(trees)).drop("n_drawn").withColumn(
+        "h", F.xxhash64("tree", "id", F.lit(seed + 2))
     )
-    return base.withColumn("tree", F.explode(trees)).withColumn("h", F.xxhash64("tree", "id", F.lit(seed + 2)))
 
 
 @dataclass

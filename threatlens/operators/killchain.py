@@ -38,12 +38,31 @@ def chain_candidates(flows: DataFrame, hosts: DataFrame, chain: list[str]) -> Da
     return by_name.unionByName(fallback)
 
 
+def edges_on_paths(edges: DataFrame, n_hops: int) -> DataFrame:
+    """The stored edges (hop, src_ip, dst_ip, ...) that lie on a path over all hops.
+
+    Two passes of semi-joins: from the first hop on, edges stay that an edge of the hop before leads to; from the
+    last hop back, those that lead to an edge which stays.
+    """
+    for hops, own, other in ((range(n_hops), "src_ip", "dst_ip"), (reversed(range(n_hops)), "dst_ip", "src_ip")):
+        reached, left = None, None
+        for hop in hops:
+            step = edges.where(F.col("hop") == hop)
+            if reached is not None:
+                step = step.join(reached.withColumnRenamed(other, own), own, "left_semi").select(*edges.columns)
+            reached = step.select(other).distinct()
+            left = step if left is None else left.unionByName(step)
+        edges = settle(left, "edges-on-paths")
+    return edges
+
+
 def killchain_paths(flows: DataFrame, hosts: DataFrame, chain: list[str] | None = None) -> DataFrame:
     """Complete paths along the chain with the latest flow of every hop.
 
     Flows are cut down to candidate ends before they are reduced to distinct edges, and edges are
-    reduced before any path is built, so the joins see one row per address pair and hop. Every path is
-    listed: where patterns let many hosts stand at several hops, the paths are the product of them.
+    reduced before any path is built, so the joins see one row per address pair and hop. Edges that are on no
+    complete path leave before paths are joined, so no intermediate result is larger than the output. Every path
+    is listed: where patterns let many hosts stand at several hops, the paths are the product of them.
     """
     chain = chain or K.KILL_CHAIN
     inside = internal_flows(flows).select("flow_id", "src_ip", "dst_ip", "start_time")
@@ -56,7 +75,7 @@ def killchain_paths(flows: DataFrame, hosts: DataFrame, chain: list[str] | None
         .agg(F.max(F.struct("start_time", "flow_id")).alias("latest"))
         .select("hop", "src_ip", "dst_ip", F.col("latest.flow_id").alias("flow_id"))
     )
-    edges = settle(edges, "edges")
+    edges = edges_on_paths(settle(edges, "edges"), len(chain) - 1)
     paths = None
     for hop in range(len(chain) - 1):
         step = edges.where(F.col("hop") == hop).select(

@@ -14,6 +14,8 @@ the session's number of shuffle partitions is the default.
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,8 +162,10 @@ def rolling_max_level(
     """Adds the largest ``level`` (0..top) of the key in (t-w, t], rows of the same instant included.
 
     Per instant only the largest level is kept. The rolling maximum is the greatest level whose
-    latest instant is still inside the window, so one running pass suffices. ``df`` is read twice.
+    latest instant is still inside the window, so one running pass suffices. ``df`` is stored first: it is
+    read twice, and what leads up to it is computed once.
     """
+    df = settle(df, "levels")
     instants = df.where(F.col(at).isNotNull() & F.col(key).isNotNull()).groupBy(key, at).agg(F.max(level).alias("_lvl"))
     latest = {f"_at_{k}": F.when(F.col("_lvl") >= k, F.col(at)) for k in range(1, top + 1)}
     found = running(instants, [key], [at], maxima=latest, parts=parts)
@@ -200,30 +204,93 @@ def cumulative_by_value(
     return cum.join(ahead, [*groups, value])
 
 
+#: Precision of the quantile sketch (the rank of what it returns is off by one part in so many), and the number of
+#: values between two bounds that are taken as they are.
+SKETCH_PARTS, FEW_VALUES = 1000, 50_000
+
+
+def order_statistics(
+    values: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], parts: int = SKETCH_PARTS, few: int = FEW_VALUES
+) -> dict[tuple[str, int], float]:
+    """The value of each rank (from 0) of each column, exactly.
+
+    A mergeable sketch gives two values close to each wanted rank; counting what lies below, on and between them tells
+    whether one of them is the answer, and otherwise which open interval holds it. That interval is looked at again
+    until few values are left. Each round is two aggregates of bounded size.
+    """
+    found: dict[tuple[str, int], float] = {}
+    # Open interval that holds the rank, values before it, values in it.
+    open_ = {(c, r): (None, None, 0, counts[c]) for c, wanted in ranks.items() for r in wanted}
+
+    def inside(c: str, low: float | None, high: float | None) -> Column:
+        held = F.col(c).isNotNull()
+        held = held if low is None else held & (F.col(c) > low)
+        return held if high is None else held & (F.col(c) < high)
+
+    while wide := [k for k, (_, _, _, n) in open_.items() if n > few]:
+        sketches = []
+        for i, (c, r) in enumerate(wide):
+            low, high, before, n = open_[c, r]
+            place, margin = (r - before) / max(n - 1, 1), 2.0 / parts
+            shares = F.expr(f"array({max(0.0, place - margin):.12f}D, {min(1.0, place + margin):.12f}D)")
+            sketches.append(F.percentile_approx(F.when(inside(c, low, high), F.col(c)), shares, parts).alias(f"s{i}"))
+        bounds = values.agg(*sketches).first()
+        sums = []
+        for i, (c, r) in enumerate(wide):
+            low, high, _, _ = open_[c, r]
+            a, b = bounds[f"s{i}"]
+            for name, part in (
+                ("lt", inside(c, low, a)), ("on", F.col(c) == a), ("mid", inside(c, a, b)), ("top", F.col(c) == b)
+            ):
+                sums.append(F.count_if(part).alias(f"{name}{i}"))
+        seen = values.agg(*sums).first()
+        for i, (c, r) in enumerate(wide):
+            low, high, before, n = open_.pop((c, r))
+            a, b = bounds[f"s{i}"]
+            below, on = seen[f"lt{i}"], seen[f"on{i}"]
+            mid, top = (seen[f"mid{i}"], seen[f"top{i}"]) if a < b else (0, 0)
+            at = r - before - below
+            if at < 0:
+                open_[c, r] = (low, a, before, below)
+            elif at < on:
+                found[c, r] = a
+            elif at < on + mid:
+                open_[c, r] = (a, b, before + below + on, mid)
+            elif at < on + mid + top:
+                found[c, r] = b
+            else:
+                upto = below + on + mid + top
+                open_[c, r] = (b, high, before + upto, n - upto)
+    if open_:
+        lists = values.agg(*[
+            F.sort_array(F.collect_list(F.when(inside(c, low, high), F.col(c)))).alias(f"l{i}")
+            for i, ((c, _), (low, high, _, _)) in enumerate(open_.items())
+        ])
+        row = lists.select(*[
+            F.get(f"l{i}", F.lit(r - before)).alias(f"v{i}") for i, ((_, r), (_, _, before, _)) in enumerate(open_.items())
+        ]).first()
+        found.update({k: row[f"v{i}"] for i, k in enumerate(open_)})
+    return found
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], *qs: float) -> DataFrame:
     """(column, q, quantile): exact quantiles with linear interpolation between order statistics.
 
-    Works on value counts and distributed running totals; nothing is gathered in one task.
+    No value is exchanged by itself and nothing is sorted as a whole. Nulls and NaN take no part; a column without
+    values has no row. ``df`` is read two times or more, by its size: pass a stored table.
     """
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("e")
-    ).select("e.*").where(F.col("value").isNotNull())
-    counts = settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
-    cum = cumulative_by_value(counts, "value", ["n"], ["column"], descending=False)
-    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
-    asked = total.select("column", "total", wanted)
-    ranked = cum.join(asked, "column").withColumn("pos", F.col("q") * (F.col("total") - 1))
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    low, high = F.floor("pos"), F.ceil("pos")
-    return (
-        ranked.groupBy("column", "q")
-        .agg(
-            F.max(F.when((first <= low) & (low <= last), F.col("value"))).alias("lo"),
-            F.max(F.when((first <= high) & (high <= last), F.col("value"))).alias("hi"),
-            F.max(F.col("pos") - F.floor("pos")).alias("frac"),
-        )
-        .select("column", "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("quantile"))
-    )
+    names = {f"c{i}": c for i, c in enumerate(columns)}
+    values = df.select(*[
+        F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(n) for n, c in names.items()
+    ])
+    counts = values.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
+    places = {(n, q): q * (counts[n] - 1) for n in names for q in qs if counts[n]}
+    ranks: dict[str, set[int]] = {}
+    for (n, _), place in places.items():
+        ranks.setdefault(n, set()).update((floor(place), ceil(place)))
+    found = order_statistics(values, ranks, counts)
+    rows = []
+    for (n, q), place in places.items():
+        low, high = found[n, floor(place)], found[n, ceil(place)]
+        rows.append((names[n], float(q), low + (high - low) * (place - floor(place))))
+    return df.sparkSession.createDataFrame(rows, "column string, q double, quantile double")
