@@ -4,7 +4,7 @@ import pytest
 
 from threatlens.llm import common, exact_dedup
 
-SCHEMA = "doc_id long, text string, kept string, digest int, n_bytes int"
+SCHEMA = "doc_id long, text string, kept string, _ID int, _digest int"
 LONG = "x" * 64
 ROWS = [
     (1, "a  b", "p", 1, 1), (2, "a\tb", "q", 1, 1), (3, "a b ", "r", 1, 1), (4, None, "s", 1, 1), (5, "", "t", 1, 1),

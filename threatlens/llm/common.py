@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_folder, prepare, settle
 
-__all__ = ["fold", "fresh_folder", "list_column", "open_store", "prepare", "sent", "settle", "table", "with_offsets"]
+__all__ = [
+    "fold", "fresh_folder", "list_column", "open_store", "prepare", "sent", "settle", "table", "unused", "with_offsets",
+]
 
 #: Rows up to which a stored narrow table (some 100 bytes a row in memory) is sent to all executors; beyond, it
 #: is joined by exchange.
@@ -38,6 +40,17 @@ def sent(rows: DataFrame, width: int = 1) -> DataFrame:
     return F.broadcast(rows) if rows.count() * width <= SENT_ROWS else rows
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it, whatever its letters' case."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def list_column(parts: list[bytes]) -> pa.ListArray:
     """A list<int32> column of one list for each run of little-endian int32 values."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)

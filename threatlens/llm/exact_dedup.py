@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent, settle
+from .common import sent, settle, unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters of the normalised text that the prefix hash covers.
@@ -89,17 +89,18 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay as it is are sent to all executors while their counted rows allow; beyond, texts are joined by digest.
     """
     hashed = _hashed(docs, id_col, text_col, digest_all=False)
+    key, full, is_kept, n_rows = unused(docs, "_id", "_digest", "_kept", "_rows")
     verdict = settle(
         _copies(hashed).filter("rows > 1 or not doc_id <=> keep_id").select(
-            F.col("doc_id").alias("_dd_id"), F.col("digest").alias("_dd_digest"),
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_dd_kept"), F.col("rows").alias("_dd_rows"),
+            F.col("doc_id").alias(key), F.col("digest").alias(full),
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(is_kept), F.col("rows").alias(n_rows),
         ), "dedup-verdict",
     )
     digest = F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256))
-    same = docs[id_col].eqNullSafe(F.col("_dd_id")) & (digest == F.col("_dd_digest"))
+    same = docs[id_col].eqNullSafe(F.col(key)) & (digest == F.col(full))
     once = docs.join(sent(verdict), same, "left_anti")
-    repeated = settle(verdict.filter("_dd_kept"), "dedup-repeated")
+    repeated = settle(verdict.filter(F.col(is_kept)), "dedup-repeated")
     if repeated.isEmpty():
         return once
-    again = docs.join(sent(repeated), same).dropDuplicates(["_dd_id", "_dd_digest"])
+    again = docs.join(sent(repeated), same).dropDuplicates([key, full])
     return once.unionByName(again.select(*[docs[c] for c in docs.columns]))

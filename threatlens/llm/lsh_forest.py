@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent, settle
+from .common import sent, settle, unused
 from .components import components
 from .tokens import slices, words
 
@@ -337,5 +337,6 @@ def jaccard_join(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each class the id that names it; rows without id."""
     verdict = jaccard_join(docs, id_col, text_col)
-    gone = settle(verdict.filter("doc_id <> class_id").select(F.col("doc_id").alias("_near_id")), "near-copies")
-    return docs.join(sent(gone), docs[id_col] == F.col("_near_id"), "left_anti")
+    (key,) = unused(docs, "_id")
+    gone = settle(verdict.filter("doc_id <> class_id").select(F.col("doc_id").alias(key)), "near-copies")
+    return docs.join(sent(gone), docs[id_col] == F.col(key), "left_anti")

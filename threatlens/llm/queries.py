@@ -55,34 +55,40 @@ ORACLES["op1_line_templates"] = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS line_no FROM docs),
 masked AS (
-  SELECT doc_id, line_no, line, string_split(regexp_replace(
-    trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS words
+  SELECT doc_id, line_no, regexp_replace(
+    trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked
   FROM numbered
 ),
 placed AS (
-  SELECT doc_id, line_no, array_to_string(words, ' ') AS masked, words,
-         concat(len(words), ' ', array_to_string(words[1:3], ' ')) AS leaf
-  FROM masked WHERE len(words) >= 5
+  SELECT doc_id, line_no, masked, string_split(masked, ' ') AS words,
+         len(string_split(masked, ' ')) - (length(masked) - length(replace(masked, '<*>', ''))) // 3 AS n_plain
+  FROM masked WHERE masked <> ''
 ),
-leaves AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
-lines AS (SELECT * FROM placed SEMI JOIN leaves USING (leaf)),
-patterns AS (SELECT leaf, masked, any_value(words) AS words, count(*) AS n FROM lines GROUP BY leaf, masked),
+literal AS (
+  SELECT masked, min(doc_id) AS first_doc FROM placed GROUP BY masked
+  HAVING count(DISTINCT doc_id) >= 5 OR (count(DISTINCT doc_id) >= 2 AND any_value(n_plain) >= 10)
+),
+patterns AS (
+  SELECT DISTINCT concat(len(words), ' ', array_to_string(words[1:3], ' ')) AS leaf, masked, words FROM placed WHERE len(words) >= 5
+),
+leaves AS (SELECT leaf, count(*) AS n_lines FROM patterns GROUP BY leaf HAVING count(*) >= 4),
 places AS (
-  SELECT leaf, masked, n, unnest(words) AS word, unnest(generate_series(1, len(words))) AS place FROM patterns
+  SELECT leaf, masked, unnest(words) AS word, unnest(generate_series(1, len(words))) AS place FROM patterns SEMI JOIN leaves USING (leaf)
 ),
-usual AS (SELECT leaf, place, word FROM places WHERE place > 3 GROUP BY leaf, place, word HAVING sum(n) >= 5),
-fields AS (
-  SELECT p.leaf, p.masked, p.place, p.word, (p.place <= 3 OR u.word IS NOT NULL) AS constant
-  FROM places p LEFT JOIN usual u ON p.leaf = u.leaf AND p.place = u.place AND p.word = u.word
+counted AS (
+  SELECT *, place <= 3 OR 10 * count(*) OVER (PARTITION BY leaf, place, word) >= 3 * n_lines AS constant
+  FROM places JOIN leaves USING (leaf)
 ),
 templates AS (
-  SELECT leaf, masked, CASE WHEN avg(CASE WHEN constant THEN 1.0 ELSE 0.0 END) >= 0.7
-    THEN string_agg(CASE WHEN constant THEN word ELSE '<*>' END, ' ' ORDER BY place) ELSE masked END AS template
-  FROM fields GROUP BY leaf, masked
+  SELECT masked, string_agg(CASE WHEN constant THEN word ELSE '<*>' END, ' ' ORDER BY place) AS template
+  FROM counted GROUP BY leaf, masked HAVING bool_or(NOT constant) AND count(*) FILTER (WHERE constant) >= 0.7 * count(*)
 ),
-known AS (SELECT l.doc_id, l.line_no, t.template FROM lines l JOIN templates t USING (leaf, masked)),
+known AS (SELECT p.doc_id, p.line_no, t.template FROM placed p JOIN templates t USING (masked)),
 recurring AS (SELECT template, min(doc_id) AS first_doc FROM known GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
-dropped AS (SELECT k.doc_id, k.line_no FROM known k JOIN recurring r USING (template) WHERE k.doc_id <> r.first_doc)
+dropped AS (
+  SELECT k.doc_id, k.line_no FROM known k JOIN recurring r USING (template) WHERE k.doc_id <> r.first_doc
+  UNION SELECT p.doc_id, p.line_no FROM placed p JOIN literal l USING (masked) WHERE p.doc_id <> l.first_doc
+)
 SELECT n.doc_id, count(*)::INT AS n_lines, count(d.line_no)::INT AS n_dropped,
        sha256(coalesce(string_agg(n.line, chr(10) ORDER BY n.line_no) FILTER (WHERE d.line_no IS NULL), '')) AS clean_sha256
 FROM numbered n LEFT JOIN dropped d ON n.doc_id = d.doc_id AND n.line_no = d.line_no GROUP BY n.doc_id
