@@ -125,56 +125,105 @@ def test_fit_gbt_learns(spark):
     assert out.loc[out["label"] == 1, "p"].mean() > out.loc[out["label"] == 0, "p"].mean() + 0.3
 
 
-def depth_of(nodes):
-    """Depth of the deepest leaf of one tree."""
-    rows = {r["node"]: r for r in nodes}
-    deepest, waiting = 0, [("r", 0)]
-    while waiting:
-        name, depth = waiting.pop()
-        deepest = max(deepest, depth)
-        if rows[name]["feature"] >= 0:
-            waiting += [(rows[name]["left"], depth + 1), (rows[name]["right"], depth + 1)]
-    return deepest
-
-
 def chain(spark, n=400):
     """Labels alternate along one feature, so that every tree has to cut single values off."""
     return spark.createDataFrame([(f"r{i}", float(i), i % 2) for i in range(n)], "id string, a double, label int")
 
 
+def depth_of(left, at=0):
+    """Depth of the deepest leaf below a node."""
+    deepest, waiting = 0, [(at, 0)]
+    while waiting:
+        node, depth = waiting.pop()
+        deepest = max(deepest, depth)
+        if left[node] >= 0:
+            waiting += [(left[node], depth + 1), (left[node] + 1, depth + 1)]
+    return deepest
+
+
 def test_depth_has_no_limit(spark):
-    rng = np.random.default_rng(0)
     x = np.arange(120, dtype=float)[:, None]
     label = (np.arange(120) % 2).astype(int)
     weight = 1.5 ** -np.arange(120.0)  # the cut of most gain is always the first one
-    nodes = forest.grow(x, label, weight, "r", 1, 1, rng)
-    named = [dict(zip(["node", "feature", "cut", "left", "right", "value", "gain"], n, strict=True)) for n in nodes]
-    assert depth_of(named) > 60
+    feature, cut, left, _ = forest.grow(*forest.ranked(x), label, weight, 1, 1, np.random.default_rng(0))
+    assert depth_of(left) > 60 and len(feature) == 239 and set(cut[feature < 0]) == {0.0, 1.0}
     model = forest.fit(chain(spark), "id", ["a"], "label", n_trees=3, min_leaf=1)
     for tree in range(3):
-        assert depth_of(model.nodes.where(F.col("tree") == tree).collect()) > 8
+        nodes = model.nodes().where(F.col("tree") == tree).orderBy("node").toPandas()
+        assert depth_of(nodes["left"].to_numpy()) > 8
+
+
+class PlainTree:
+    """The same growth node by node with all features tried, for a table without ties in gain."""
+
+    def __init__(self, x, label, weight, min_leaf):
+        self.x, self.label, self.weight, self.min_leaf = x, label, weight, min_leaf
+
+    def impurity(self, rows):
+        mass = np.array([self.weight[rows][self.label[rows] == k].sum() for k in (0, 1)])
+        return mass.sum() - (mass ** 2).sum() / mass.sum()
+
+    def node(self, rows):
+        best = None
+        if len(set(self.label[rows])) == 2:
+            for feature in range(self.x.shape[1]):
+                values = np.unique(self.x[rows, feature])
+                for low, high in zip(values[:-1], values[1:], strict=True):
+                    below = rows[self.x[rows, feature] <= low]
+                    above = rows[self.x[rows, feature] > low]
+                    if min(len(below), len(above)) >= self.min_leaf:
+                        gain = self.impurity(rows) - self.impurity(below) - self.impurity(above)
+                        if best is None or gain > best[0] + 1e-12:
+                            best = (gain, feature, (low + high) / 2, below, above)
+        if best is None:
+            return float(self.weight[rows][self.label[rows] == 1].sum() / self.weight[rows].sum())
+        return best[1], best[2], self.node(best[3]), self.node(best[4])
+
+
+@pytest.mark.parametrize("seed,min_leaf", [(1, 1), (2, 2), (3, 5)])
+def test_same_tree_as_a_plain_search(seed, min_leaf):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=150), rng.integers(0, 6, 150), np.ones(150)])
+    label, weight = (x[:, 0] + rng.normal(size=150) > 0).astype(int), rng.random(150) + 0.5
+    feature, cut, left, gains = forest.grow(*forest.ranked(x), label, weight, min_leaf, 3, rng)
+
+    def nested(at=0):
+        if feature[at] < 0:
+            return pytest.approx(cut[at])
+        return int(feature[at]), pytest.approx(cut[at]), nested(left[at]), nested(left[at] + 1)
+
+    assert PlainTree(x, label, weight, min_leaf).node(np.arange(150)) == nested() and gains[2] == 0
+
+
+def test_random_turns_try_more_features_until_one_splits():
+    """One of thirty features varies enough for leaves of ten rows; each tree must find it at its root."""
+    x = np.zeros((40, 30))
+    x[:3, :29] = np.arange(1, 4)[:, None]
+    x[:, 29] = np.arange(40)
+    for seed in range(10):
+        feature, *_ = forest.grow(*forest.ranked(x), (np.arange(40) > 19).astype(int), np.ones(40), 10, 1, np.random.default_rng(seed))
+        assert feature[0] == 29
 
 
 @pytest.mark.parametrize("local_rows", [1 << 17, 60])
 def test_forest_learns_and_scores_as_its_nodes_say(spark, monkeypatch, local_rows):
     data, rows = table(spark, 400, seed=5)
-    monkeypatch.setattr(forest, "TREES_AT_ONCE", 3)
-    monkeypatch.setattr(forest, "GROUP_NODES", 200)
+    monkeypatch.setattr(forest, "TREES_AT_ONCE", 5)
+    monkeypatch.setattr(forest, "GROUP_NODES", 400)
     model = forest.fit(rows.repartition(4), "id", NAMES, "label", n_trees=8, local_rows=local_rows)
-    nodes = model.nodes.collect()
-    assert sorted({r["tree"] for r in nodes}) == list(range(8)) and len(model.groups()) > 1
-    by_tree = {}
-    for r in nodes:
-        assert by_tree.setdefault(r["tree"], {}).setdefault(r["node"], r) is r
-    if local_rows == 60:
-        assert max(len(n) for t in by_tree.values() for n in t if "." not in n) > 2
+    nodes = model.nodes().toPandas()
+    assert sorted(set(nodes["tree"])) == list(range(8)) and len(model.groups()) > 1
+    by_tree = {t: part.sort_values("node").to_dict("list") for t, part in nodes.groupby("tree")}
 
     def leaf(tree, row):
-        at = tree["r"]
-        while at["feature"] >= 0:
-            at = tree[at["left"] if row[NAMES[at["feature"]]] < at["cut"] else at["right"]]
-        return at["value"]
-
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["left"][at] + int(row[NAMES[tree["feature"][at]]] >= tree["cut"][at])
+        return tree["cut"][at]
+
+    for tree in by_tree.values():  # every node but the root is the child of exactly one
+        children = [c for n in tree["left"] if n >= 0 for c in (n, n + 1)]
+        assert sorted(children) == list(range(1, len(tree["node"])))
     got = trees.probability(rows, model, "p").toPandas().set_index("id")
     for _, row in data.iloc[::17].iterrows():
         assert got.loc[row["id"], "p"] == pytest.approx(np.mean([leaf(t, row) for t in by_tree.values()]))
@@ -189,21 +238,21 @@ def test_wide_nodes_split_where_a_plain_search_does(spark):
     data = pd.DataFrame({c: rng.integers(0, 9, 300).astype(float) for c in NAMES})
     data["label"] = ((data["a"] > 4) ^ (rng.random(300) < 0.1)).astype(int)
     frame = spark.createDataFrame([
-        (0, "r", str(i), [r.a, r.b, r.c], int(r.label), 1.0) for i, r in enumerate(data.itertuples())
-    ], "tree int, node string, id string, x array<double>, label int, weight double")
+        (0, "r", str(i), i, [r.a, r.b, r.c], int(r.label), 1.0) for i, r in enumerate(data.itertuples())
+    ], forest._DRAWN_SCHEMA)
     cuts = boosting.cut_points(spark.createDataFrame(data), NAMES)
     got = forest.split_wide_nodes(frame, frame.select("tree", "node").distinct(), cuts, 2, 3, 1).collect()
-    mass = np.zeros((300, 2))
-    mass[np.arange(300), data["label"]] = 1.0
-    want = max((*forest.best_cut(data[c].to_numpy(), mass, 2), -i) for i, c in enumerate(NAMES))
-    assert len(got) == 1 and got[0]["feature"] == -want[2] and got[0]["gain"] == pytest.approx(want[0])
-    assert ((data["a"] < got[0]["cut"]) == (data["a"] < want[1])).all()
+    x = data[NAMES].to_numpy()
+    want = PlainTree(x, data["label"].to_numpy(), np.ones(300), 2).node(np.arange(300))
+    assert len(got) == 1 and got[0]["feature"] == want[0]
+    assert ((x[:, want[0]] < got[0]["cut"]) == (x[:, want[0]] < want[1])).all()
 
 
-def test_draws_are_poisson(spark):
-    rows = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.lit(3).alias("tree"))
-    times = rows.select(forest.draws(F.col("tree"), 42).alias("k")).toPandas()["k"]
+def test_draws_are_poisson():
+    keys = np.random.default_rng(1).integers(-2 ** 63, 2 ** 63 - 1, 20_000)
+    times = forest.draws(keys, 3, 42)
     assert abs(times.mean() - 1) < 0.03 and abs((times == 0).mean() - np.exp(-1)) < 0.02
+    assert abs(np.corrcoef(times, forest.draws(keys, 4, 42))[0, 1]) < 0.03
 
 
 def test_forest_edge_cases(spark):
