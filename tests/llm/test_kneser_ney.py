@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def rounded(rows):
 
 def run(spark, rows, parts=3):
     docs = spark.createDataFrame([(i, t, "", 1, 1) for i, t in rows], SCHEMA).repartition(parts)
-    got = kneser_ney.score_texts(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got = kneser_ney.score_texts(docs, order=2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     return [tuple(r) for r in got.collect()]
 
 
@@ -100,7 +101,7 @@ def test_probabilities_add_up_to_one(spark):
     for left in [0, *list(words)[:5]]:
         assert sum(prob(left, w) for w in words) + prob(left, "never seen") == pytest.approx(1)
     docs = spark.createDataFrame([(t,) for _, t in rows], "text string")
-    model, hot = kneser_ney.train(docs, fresh_folder(spark, "kn-test"))
+    model, hot = kneser_ney.train(docs, fresh_folder(spark, "kn-test"), order=2)
     known = np.array([kneser_ney._hash(f"w{k}") for k in range(11)] + [int(kneser_ney.END), 12345], dtype=np.uint64)
     for left in (kneser_ney.BEGIN, known[3], np.uint64(99)):
         score, _, _ = model.log10(np.full(len(known), left), known, hot)
@@ -156,3 +157,26 @@ def test_query_uses_two_words_of_context(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     scores = {r.doc_id: r.score for r in queries.op10_kneser_ney(spark, str(tmp_path)).collect()}
     assert scores[80] > scores[81] + 1
+
+
+def test_a_missing_shard_is_an_error(spark):
+    """Gone arrays would make their words unseen; files that were never written are empty shards."""
+    import os
+
+    docs = spark.createDataFrame([(i, "a b c d a b c e") for i in range(20)], "doc_id long, text string")
+    folder = fresh_folder(spark, "kn-gone")
+    model, hot = kneser_ney.train(docs, folder)
+    assert model.order == kneser_ney.ORDER == 3
+    rows = pa.record_batch([pa.array([1]), pa.array(["a b c"])], names=["doc_id", "text"])
+
+    class Sent:
+        value = hot
+
+    assert len(list(kneser_ney._score(model, Sent)(iter([rows])))) == 1
+    path = folder.removeprefix("file://")
+    for name in os.listdir(path):
+        if name.startswith("grams3"):
+            os.remove(f"{path}/{name}")
+    fresh = kneser_ney.Model(**{k: v for k, v in model.__dict__.items() if k != "files"})
+    with pytest.raises(FileNotFoundError):
+        list(kneser_ney._score(fresh, Sent)(iter([rows])))

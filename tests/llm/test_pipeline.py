@@ -29,7 +29,7 @@ def test_against_sql(spark, name):
 
 
 def test_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == [*range(1, 11)]
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == [*range(1, 14)]
 
 
 def test_stages(spark):

@@ -66,3 +66,19 @@ def test_temperature_calibrates():
     warm = loss(net.probability(x[check]))
     net.temperature = 1.0
     assert warm <= loss(net.probability(x[check]))
+
+
+def test_one_id_repeated_many_times_is_fitted_on_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    plain = quality.fit_network
+    monkeypatch.setattr(quality, "fit_network", lambda x, y, held: (seen.append((len(x), sorted(y))), plain(x, y, held))[1])
+    docs = spark.range(3000).select(
+        F.when(F.col("id") < 2900, 7).otherwise(F.col("id")).cast("long").alias("doc_id"),
+        F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"),
+    )
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    used = docs.filter(quality.fold("doc_id") != 0).select("doc_id").distinct().count()
+    assert quality.classify(docs, labels).count() == 3000
+    assert [n for n, _ in seen] == [used] and used <= 101

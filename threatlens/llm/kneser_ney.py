@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -357,15 +358,20 @@ class Model:
     #: Discounts of n-grams by their number of words, from one.
     by: dict[int, np.ndarray]
     word_mass: float
+    #: Names of the files that were written; a shard without any has no arrays.
+    written: frozenset[str]
     files: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"files": {}}
 
     def _file(self, name: str) -> list[np.ndarray]:
-        """The arrays of one file, memory-mapped; from a store that is not mounted it is fetched once."""
+        """The arrays of one file, memory-mapped; from a store that is not mounted it is fetched once.
+
+        A file that was written and is gone is an error: its words would count as never seen.
+        """
         if name not in self.files:
-            self.files[name] = _mapped(self.folder, name)
+            self.files[name] = _mapped(self.folder, name) if name in self.written else []
         return self.files[name]
 
     def _each(self, kind: str, hashes: np.ndarray, shards: np.ndarray):
@@ -430,15 +436,11 @@ def _mapped(folder: str, name: str) -> list[np.ndarray]:
     if store.type_name != "local":
         local = os.path.join(tempfile.gettempdir(), f"{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}.model")
         if not os.path.exists(local):
-            if store.get_file_info(path).size is None:
-                return []
             with store.open_input_stream(path) as stream, open(f"{local}.{os.getpid()}", "wb") as out:
                 while data := stream.read(1 << 20):
                     out.write(data)
             os.replace(f"{local}.{os.getpid()}", local)
         path = local
-    elif not os.path.exists(path):
-        return []
     data = np.memmap(path, dtype=np.uint8, mode="r")
     sizes, at, out = data[:64].view(np.int64), 64, []
     for k, kind in enumerate(LAYOUT[name.split("-")[0].rstrip("0123456789")]):
@@ -447,7 +449,7 @@ def _mapped(folder: str, name: str) -> list[np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, folder: str, order: int = 2) -> tuple[Model, np.ndarray]:
+def train(docs: DataFrame, folder: str, order: int = ORDER) -> tuple[Model, np.ndarray]:
     """Counts the column ``text`` of all rows and stores the arrays below ``folder``; also the hot words.
 
     One exchange for words, one for n-grams of ``order`` words, and one for each shorter length, whose counts
@@ -488,12 +490,22 @@ def train(docs: DataFrame, folder: str, order: int = 2) -> tuple[Model, np.ndarr
     by = {size: discounts(k) for size, k in kinds.items()}
     types, word_kinds = int(kinds[2][4]), kinds[1]
     mass = (by[1][0] * word_kinds[0] + by[1][1] * word_kinds[1] + by[1][2] * word_kinds[5]) / types if types else 1.0
-    return Model(folder, n_shards, tokens, vocabulary, order, types, by, float(mass)), hot
+    written = frozenset(f.base_name for f in store.get_file_info(fs.FileSelector(root)))
+    return Model(folder, n_shards, tokens, vocabulary, order, types, by, float(mass), written), hot
 
 
 def _kinds(rows: DataFrame) -> np.ndarray:
-    """Sum of the shards' counts of counts: one small row per shard."""
-    return sum((_arrays(r["body"])[0] for r in rows.select("body").toLocalIterator()), np.zeros(6, dtype=np.int64))
+    """Sum of the shards' counts of counts."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [_arrays(body.as_buffer().to_pybytes())[0] for body in batch.column(0)]
+            if counts:
+                yield pa.record_batch([pa.array(k) for k in np.stack(counts).T], names=names)
+
+    names = [f"k{k}" for k in range(6)]
+    counts = rows.select("body").mapInArrow(read, ", ".join(f"{n} long" for n in names))
+    row = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+    return np.array([row[n] for n in names], dtype=np.int64)
 
 
 def _score(model: Model, hot):
@@ -525,7 +537,7 @@ def _score(model: Model, hot):
 
 
 def score_texts(
-    docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = 2
+    docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 

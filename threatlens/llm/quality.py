@@ -204,7 +204,10 @@ def _features(vectors):
 
 
 def learn(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str) -> Network:
-    """Fits on at most FIT_ROWS labelled rows outside fold 0; those of fold 1 set the temperature."""
+    """Fits on at most FIT_ROWS labelled ids outside fold 0; those of fold 1 set the temperature.
+
+    Of rows that repeat an id one is fitted on, the one whose features are least as bytes.
+    """
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
     one = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = settle(
@@ -214,9 +217,12 @@ def learn(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: st
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id"))
-    found = rows.select(F.col("fold").alias("doc_id"), "quality", "text").mapInArrow(
-        _features(vectors), "doc_id int, quality int, features binary"
-    ).collect()
+    named = rows.select(F.struct("_label_id", "fold").alias("doc_id"), "quality", "text")
+    kind = named.schema["doc_id"].dataType.simpleString()
+    one_each = named.mapInArrow(_features(vectors), f"doc_id {kind}, quality int, features binary").groupBy("doc_id").agg(
+        F.first("quality").alias("quality"), F.min("features").alias("features")
+    )
+    found = one_each.select(F.col("doc_id.fold").alias("doc_id"), "quality", "features").collect()
     found.sort(key=lambda r: r["features"])
     x = np.array([np.frombuffer(r["features"], dtype=np.float32) for r in found]).reshape(len(found), 2 * DIM)
     y = np.array([r["quality"] for r in found], dtype=np.float64)
