@@ -14,6 +14,16 @@ from threatlens.session import fresh_folder
 SCHEMA = "doc_id long, text string, score string, n_tokens int, shard int"
 
 
+def discounts(kinds):
+    """Modified Kneser-Ney: k - (k + 1) Y n[k + 1] / n[k], Y = n1 / (n1 + 2 n2); Y, or a half, where a count is missing."""
+    n1, n2, n3, n4 = kinds
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    d1 = 1 - 2 * y * n2 / n1 if n1 and n2 else y
+    d2 = 2 - 3 * y * n3 / n2 if n2 and n3 else y
+    d3 = 3 - 4 * y * n4 / n3 if n3 and n4 else y
+    return [min(max(d, 0.01), most) for d, most in ((d1, 0.99), (d2, 1.99), (d3, 2.99))]
+
+
 def tokens(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall("[^\x20\x09-\x0d]+", low) + [None]
@@ -33,7 +43,7 @@ def brute(rows):
         c = Counter(values)
         return [c[k] for k in range(1, 5)]
 
-    d2, d1 = kneser_ney.discounts(kinds(pairs.values())), kneser_ney.discounts(kinds(lefts.values()))
+    d2, d1 = discounts(kinds(pairs.values())), discounts(kinds(lefts.values()))
 
     def less(d, c):
         return d[min(c, 3) - 1]
@@ -118,7 +128,7 @@ def brute_scores(rows, order):
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     words = len(counts[1])
-    by = {n: kneser_ney.discounts([Counter(c.values())[k] for k in range(1, 5)]) for n, c in counts.items()}
+    by = {n: discounts([Counter(c.values())[k] for k in range(1, 5)]) for n, c in counts.items()}
 
     def prob(g):
         if not g:
@@ -180,3 +190,26 @@ def test_a_missing_shard_is_an_error(spark):
     fresh = kneser_ney.Model(**{k: v for k, v in model.__dict__.items() if k != "files"})
     with pytest.raises(FileNotFoundError):
         list(kneser_ney._score(fresh, Sent)(iter([rows])))
+
+
+@pytest.mark.parametrize("top", [3, 1 << 20, 1 << 40])
+def test_packed_rows_come_back(top):
+    """Steps within runs, whatever fits into one 64-bit number or does not."""
+    draw = np.random.default_rng(top)
+    columns = [draw.integers(1, top, 4000, dtype=np.uint64) for _ in range(3)]
+    *rows, counts = kneser_ney._counted([c[draw.integers(0, 2000, 4000)] for c in columns])
+    assert list(zip(*map(np.ndarray.tolist, rows), strict=True)) == sorted(set(zip(*map(np.ndarray.tolist, rows), strict=True)))
+    assert counts.sum() == 4000
+    back = kneser_ney._flat(kneser_ney._arrays(kneser_ney._nested(rows, counts)))
+    assert all((a == b).all() for a, b in zip(back, [*rows, counts], strict=True))
+
+
+def test_a_word_that_fills_a_shard_is_hot(spark, monkeypatch):
+    """Hot is not a share of the corpus alone: a shard has the same size in a corpus of any size."""
+    monkeypatch.setattr(kneser_ney, "HOT", 1)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 50)
+    rows = [(i, " ".join(f"the w{i * j % 37}" for j in range(20))) for i in range(60)]
+    docs = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    _, hot = kneser_ney.train(docs, fresh_folder(spark, "kn-hot"))
+    assert len(hot) > 2
+    assert rounded(run(spark, rows)) == rounded(brute(rows)[0])

@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney model of any order from two: counted in Spark, stored as sorted hash arrays, memory-mapped.
 
-Words stand for their 64-bit hashes. Tasks send sorted arrays of what they counted, one row per shard, and a
-shard's task merges the arrays it gets; no row is made per token or n-gram.
+Words are counted by 64-bit hash first and then numbered, frequent ones low, so that sorted n-grams are small
+differences. Tasks send sorted arrays of what they counted, one row per shard, and a shard's task merges the
+arrays it gets; no row is made per token or n-gram.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard
 from .common import fold, fresh_folder, open_store, settle
 from .tokens import slices, words
 
@@ -28,19 +30,18 @@ from .tokens import slices, words
 SHARD_TOKENS = 2 << 20
 #: Words of the longest n-grams, in production.
 ORDER = 3
-#: A word that makes up more than one token in so many has the n-grams of contexts that end in it dealt by all words.
+#: A word that makes up more than one token in so many, or fills a shard, has the n-grams of contexts that end in it
+#: dealt by all words.
 HOT = 4096
+#: Numbers of words: never seen, begin of a text, and the first that is given to a word.
+UNSEEN, START, FIRST = 0, 1, 2
 #: The begin and end of a text; words hold no white space, so none hashes like these on purpose.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" begin ", b" end "))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUN = "shard int, body binary"
-#: Arrays of each kind of file, whatever the number of words in its name: hashes are unsigned, numbers signed.
-LAYOUT = {
-    "words": (np.uint64, np.int64),
-    "grams": (np.uint64, np.uint64, np.int64),
-    "left": (np.uint64, np.int64, np.int64, np.int64, np.int64),
-    "right": (np.uint64, np.int64),
-}
+#: Sorted keys, then values, of each kind of file, whatever the number of words in its name. Two arrays of keys are
+#: those counted once, which have no values, and the others.
+LAYOUT = {"words": (1, 2), "grams": (2, 1), "left": (2, 4), "hot": (2, 4), "right": (1, 1)}
 
 
 def _hash(word: str) -> int:
@@ -54,27 +55,40 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def token_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens per row, hashes): A-Z lower-cased, words between ASCII white space, one end per text."""
-    counts, codes = words(pc.ascii_lower(texts), _hash, np.uint64)
+def token_codes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens per row, place of each token's hash, hashes): A-Z lower-cased, words between ASCII white space, one
+    end per text."""
+    hashes = [int(END)]
+
+    def place(word: str) -> int:
+        hashes.append(_hash(word))
+        return len(hashes) - 1
+
+    counts, codes = words(pc.ascii_lower(texts), place, np.int64)
     ends = np.cumsum(counts + 1) - 1
-    tokens = np.empty(int(counts.sum()) + len(counts), dtype=np.uint64)
+    tokens = np.zeros(int(counts.sum()) + len(counts), dtype=np.int64)
     inner = np.ones(len(tokens), dtype=bool)
     inner[ends] = False
-    tokens[inner], tokens[ends] = codes, END
-    return counts + 1, tokens
+    tokens[inner] = codes
+    return counts + 1, tokens, np.array(hashes, dtype=np.uint64)
+
+
+def _spread(numbers: np.ndarray) -> np.ndarray:
+    """Numbers as 64-bit hashes, each its own."""
+    h = (numbers ^ (numbers >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(32))
 
 
 def gram_hash(words: list[np.ndarray]) -> np.ndarray:
-    """64-bit hash of words in order; one word is its own."""
-    return reduce(pair_hash, words)
+    """64-bit hash of numbered words in order."""
+    return reduce(pair_hash, map(_spread, words))
 
 
 def _left_words(counts: np.ndarray, tokens: np.ndarray, back: int) -> np.ndarray:
     """The token ``back`` places before each one; before a text stand begins."""
     within = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
     has = np.flatnonzero(within >= back)
-    left = np.full_like(tokens, BEGIN)
+    left = np.full_like(tokens, START)
     left[has] = tokens[has - back]
     return left
 
@@ -84,15 +98,47 @@ def _grams(counts: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarra
     return [*(_left_words(counts, tokens, back) for back in range(order - 1, 0, -1)), tokens]
 
 
+def _packed(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """The same order of rows in fewer columns: as many keys to one 64-bit number as have room."""
+    packs, room = [], 0
+    for key in keys:
+        width = max(int(key.max(initial=0)).bit_length(), 1)
+        if width <= room:
+            packs[-1] = (packs[-1] << np.uint64(width)) | key
+            room -= width
+        else:
+            packs.append(key)
+            room = 64 - width
+    return packs
+
+
+def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in key order, where in that order each distinct key starts)."""
+    packs = _packed(keys)
+    order = np.argsort(packs[0]) if len(packs) == 1 else np.lexsort(packs[::-1])
+    return order, _starts([p[order] for p in packs])
+
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where runs of equal rows start."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
 def _summed(keys: list[np.ndarray], *values: np.ndarray) -> list[np.ndarray]:
     """Rows of equal keys added up, in key order."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    starts = np.flatnonzero(new)
+    order, starts = _groups(keys)
+    firsts = order[starts]
     sums = [np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values]
-    return [*(k[starts] for k in keys), *sums]
+    return [*(k[firsts] for k in keys), *sums]
+
+
+def _counted(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct rows in order and how often each occurs."""
+    order, starts = _groups(keys)
+    firsts = order[starts]
+    return [*(k[firsts] for k in keys), np.diff(np.append(starts, len(order)))]
 
 
 def _small(values: np.ndarray) -> np.ndarray:
@@ -100,9 +146,10 @@ def _small(values: np.ndarray) -> np.ndarray:
 
 
 def _body(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed buffer."""
+    """Arrays as one compressed buffer; bytes of one weight lie together."""
     sink = pa.BufferOutputStream()
-    batch = pa.record_batch([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], names=[
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    batch = pa.record_batch([pa.array([p], pa.large_binary()) for p in planes], names=[
         f"{i}:{a.dtype.str}" for i, a in enumerate(arrays)
     ])
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -111,31 +158,46 @@ def _body(*arrays: np.ndarray) -> bytes:
 
 
 def _arrays(body: bytes) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(body).read_next_batch()
-    return [
-        np.frombuffer(c[0].as_buffer(), dtype=np.dtype(n.split(":", 1)[1]))
-        for n, c in zip(batch.schema.names, batch.columns, strict=True)
-    ]
+    batch, out = pa.ipc.open_stream(body).read_next_batch(), []
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        kind = np.dtype(name.split(":", 1)[1])
+        planes = np.frombuffer(column[0].as_buffer(), dtype=np.uint8).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return out
+
+
+def _steps(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Differences of values that rise within runs; the first of a run stands as it is."""
+    steps = np.diff(values, prepend=values[:1])
+    steps[runs] = values[runs]
+    return _small(steps)
+
+
+def _risen(steps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """What ``_steps`` was given."""
+    values = np.cumsum(steps, dtype=np.uint64)
+    before = values[runs] - steps[runs].astype(np.uint64)
+    return values - np.repeat(before, np.diff(np.append(runs, len(values))))
 
 
 def _nested(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Sorted distinct rows: of each column but the last one value per run, and the runs of the next column in it."""
-    starts = np.arange(len(counts))
-    arrays = [columns[-1], _small(counts)]
-    for k in range(len(columns) - 2, -1, -1):
-        new = np.any([np.diff(c, prepend=~c[:1]) != 0 for c in columns[: k + 1]], axis=0)
-        outer = np.flatnonzero(new)
-        arrays = [columns[k][outer], _small(np.diff(np.searchsorted(starts, np.append(outer, len(counts))))), *arrays]
-        starts = outer
-    return _body(*arrays)
+    """Sorted distinct rows: of each column one value per run, as its step, and how many of the next one's are in it."""
+    arrays, outer = [], np.zeros(1, dtype=np.int64)
+    for k in range(len(columns)):
+        starts = _starts(columns[: k + 1])
+        within = np.searchsorted(starts, outer)
+        arrays += [_small(np.diff(np.append(within, len(starts)))), _steps(columns[k][starts], within)]
+        outer = starts
+    return _body(*arrays[1:], _small(counts))
 
 
 def _flat(arrays: list[np.ndarray]) -> list[np.ndarray]:
     """Columns and counts of what ``_nested`` packed."""
-    columns: list[np.ndarray] = []
-    for values, runs in zip(arrays[:-2:2], arrays[1:-2:2], strict=True):
-        columns = [np.repeat(c, runs) for c in [*columns, values]]
-    return [*columns, arrays[-2], arrays[-1].astype(np.int64)]
+    columns = [_risen(arrays[0], np.zeros(1, dtype=np.int64))]
+    for sizes, steps in zip(arrays[1:-1:2], arrays[2:-1:2], strict=True):
+        sizes = sizes.astype(np.int64)
+        columns = [*(np.repeat(c, sizes) for c in columns), _risen(steps, np.cumsum(sizes) - sizes)]
+    return [*columns, arrays[-1].astype(np.int64)]
 
 
 def _row(shard: int, body: bytes) -> pa.RecordBatch:
@@ -143,6 +205,7 @@ def _row(shard: int, body: bytes) -> pa.RecordBatch:
 
 
 def _by_shard(shards: np.ndarray, n_shards: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    shards = _small(shards)
     order = np.argsort(shards, kind="stable")
     bounds = np.searchsorted(shards[order], np.arange(n_shards + 1))
     for shard in np.flatnonzero(np.diff(bounds)):
@@ -154,6 +217,121 @@ def _shard_of(hashes: np.ndarray, n_shards: int) -> np.ndarray:
     return (((hashes * _MIX) >> np.uint64(33)) % np.uint64(n_shards)).astype(np.int64)
 
 
+@dataclass
+class Shelf:
+    """Arrays that were written to a folder, one file for each kind and shard."""
+
+    folder: str
+    n_shards: int
+    #: Names of the files that were written; a shard without any has no arrays.
+    written: frozenset[str]
+    files: dict = field(default_factory=dict, repr=False, kw_only=True)
+
+    def __getstate__(self):
+        return self.__dict__ | {"files": {}}
+
+    def _file(self, name: str) -> list[np.ndarray]:
+        """The arrays of one file, memory-mapped; from a store that is not mounted it is fetched once.
+
+        A file that was written and is gone is an error: its words would count as never seen.
+        """
+        if name not in self.files:
+            self.files[name] = _mapped(self.folder, name) if name in self.written else []
+        return self.files[name]
+
+    def look_up(self, kind: str, hashes: np.ndarray, shards: np.ndarray, out: list[np.ndarray]) -> list[np.ndarray]:
+        """Puts the values of each hash into ``out``; what was not seen stays.
+
+        A hash that was counted once has one, one and zeros: its total, and how many were seen once, twice, more often.
+        """
+        for shard, (rows,) in _by_shard(shards, self.n_shards, [np.arange(len(hashes))]):
+            if not (arrays := self._file(f"{kind}-{shard:07d}")):
+                continue
+            n_keys = LAYOUT[kind.rstrip("0123456789")][0]
+            if n_keys == 2:
+                _, found = _find(arrays[0], hashes[rows])
+                for o in out[:2]:
+                    o[rows[found]] = 1
+            at, found = _find(arrays[n_keys - 1], hashes[rows])
+            for o, v in zip(out, arrays[n_keys:], strict=True):
+                o[rows[found]] = v[at[found]]
+        return out
+
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, number) of words by their hashes."""
+        shards = _shard_of(hashes, self.n_shards)
+        count, rank = self.look_up("words", hashes, shards, _zeros(hashes, 2))
+        return count, np.where(count > 0, rank * self.n_shards + shards + FIRST, UNSEEN).astype(np.uint64)
+
+
+def _zeros(like: np.ndarray, width: int) -> list[np.ndarray]:
+    return [np.zeros(len(like), dtype=np.int64) for _ in range(width)]
+
+
+@dataclass
+class Model(Shelf):
+    """Where the arrays lie and the few numbers that all probabilities share."""
+
+    tokens: int
+    vocabulary: int
+    order: int
+    pair_types: int
+    #: Discounts of n-grams by their number of words, from one.
+    by: dict[int, np.ndarray]
+    word_mass: float
+
+    def _by_context(self, context: np.ndarray, hashes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts that end in a hot word, shards): by the context's last word, where that is hot by the hash."""
+        often = np.isin(context, hot)
+        return often, np.where(often, _shard_of(hashes, self.n_shards), _shard_of(context, self.n_shards))
+
+    def gram_counts(self, words: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+        hashes = gram_hash(words)
+        _, shards = self._by_context(words[-2], hashes, hot)
+        return self.look_up(f"grams{len(words)}", hashes, shards, _zeros(hashes, 1))[0]
+
+    def context_totals(self, words: list[np.ndarray], hot: np.ndarray) -> list[np.ndarray]:
+        """Total of each context, and how many n-grams of it were counted once, twice, more often."""
+        hashes = gram_hash(words)
+        often, shards = self._by_context(words[-1], hashes, hot)
+        out = _zeros(hashes, 4)
+        for kind, rows in (("left", np.flatnonzero(~often)), ("hot", np.flatnonzero(often))):
+            part = self.look_up(f"{kind}{len(words)}", hashes[rows], shards[rows], _zeros(rows, 4))
+            for o, p in zip(out, part, strict=True):
+                o[rows] = p
+        return out
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        """log10 of the base probability of words by their counts."""
+        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
+
+    def chances(self, words: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+        """log10 probability of the last of numbered words in order, as many as the order."""
+        (lefts,) = self.look_up("right", words[-1], _shard_of(words[-1], self.n_shards), _zeros(words[-1], 1))
+        uniform = 1 / (self.vocabulary + 1)
+        chance = _taken(lefts, self.by[1]) / max(self.pair_types, 1) + self.word_mass * uniform
+        for size in range(2, self.order + 1):
+            total, one, two, more = self.context_totals(words[-size:-1], hot)
+            taken = _taken(self.gram_counts(words[-size:], hot), self.by[size])
+            spare = np.stack([one, two, more], axis=1) @ self.by[size]
+            known = np.maximum(total, 1)
+            chance = np.where(total > 0, taken / known + spare / known * chance, chance)
+        return np.log10(chance)
+
+    def log10(
+        self, left: np.ndarray | list[np.ndarray], right: np.ndarray, hot: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, right word's training count, log10 base probability) of n-grams of word hashes.
+
+        ``left`` holds the context's words in order, as many as the order needs, or is the one word of bigrams.
+        """
+        context = [
+            np.where(w == BEGIN, np.uint64(START), self.numbers(w)[1]) for w in (left if isinstance(left, list) else [left])
+        ]
+        count, number = self.numbers(right)
+        return self.chances([*context, number], hot), count, self.base(count)
+
+
 class _Counter:
     """Counts of keys, merged whenever the new ones outgrow the merged ones, so memory follows distinct keys."""
 
@@ -193,8 +371,8 @@ def _count_words(n_shards: int):
 
         for batch in batches:
             for _, rows in slices(batch.column("text")):
-                _, tokens = token_hashes(rows)
-                counter.add(*np.unique(tokens, return_counts=True))
+                _, tokens, hashes = token_codes(rows)
+                counter.add(hashes, np.bincount(tokens, minlength=len(hashes)))
                 if counter.done and len(counter.done[0]) > FLUSH:
                     yield from sent()
         if counter.done or counter.new:
@@ -206,7 +384,7 @@ def _count_words(n_shards: int):
 def _deal_grams(words: list[np.ndarray], counts: np.ndarray, n_shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of distinct n-grams to odd shards: by the last word of the context, where that is hot by all words."""
     columns = [*words[-2::-1], words[-1]]
-    order = np.lexsort(columns[::-1])
+    order, _ = _groups(columns)
     columns, counts = [c[order] for c in columns], counts[order]
     shards = _shard_of(columns[0], n_shards)
     if len(words) > 1:
@@ -216,35 +394,40 @@ def _deal_grams(words: list[np.ndarray], counts: np.ndarray, n_shards: int, hot:
         yield _row(2 * shard + 1, _nested(part, n))
 
 
-def _count_grams(n_shards: int, hot, order: int):
-    flush = 3 * FLUSH // (order + 1)
+#: Tokens that a task counts n-grams of at once.
+CHUNK = 2 << 20
 
+
+def _count_grams(known: Shelf, hot, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
+        sizes, tokens, held = [], [], 0
 
         def sent():
-            *grams, counts = counter.merge()
-            counter.done = []
-            yield from _deal_grams(grams, counts, n_shards, hot.value)
+            *grams, counts = _counted(_grams(np.concatenate(sizes), np.concatenate(tokens), order))
+            yield from _deal_grams(grams, counts, known.n_shards, hot.value)
 
         for batch in batches:
             for _, rows in slices(batch.column("text")):
-                sizes, tokens = token_hashes(rows)
-                counter.add(*_summed(_grams(sizes, tokens, order), np.ones(len(tokens), dtype=np.int64)))
-                if counter.done and len(counter.done[0]) > flush:
+                size, codes, hashes = token_codes(rows)
+                sizes.append(size)
+                tokens.append(known.numbers(hashes)[1][codes])
+                held += len(codes)
+                if held > CHUNK:
                     yield from sent()
-        if counter.done or counter.new:
+                    sizes, tokens, held = [], [], 0
+        if held:
             yield from sent()
 
     return run
 
 
 def _store(folder: str, name: str, *arrays: np.ndarray) -> None:
-    """Writes raw arrays behind a header under a temporary name, then renames."""
+    """Writes raw arrays behind a header of lengths and widths under a temporary name, then renames."""
     store, root = open_store(folder)
     temporary = f"{root}/{name}.{uuid.uuid4().hex}.tmp"
-    head = np.zeros(8, dtype=np.int64)
+    head = np.zeros(16, dtype=np.int64)
     head[: len(arrays)] = [len(a) for a in arrays]
+    head[8 : 8 + len(arrays)] = [a.itemsize for a in arrays]
     with store.open_output_stream(temporary, compression=None) as out:
         out.write(head.tobytes())
         for array in arrays:
@@ -270,16 +453,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[
         yield held, parts
 
 
-def _merge_words(folder: str):
+def _merge_words(folder: str, n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _shards(batches):
             keys, counts = _summed([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]).astype(np.int64))
-            _store(folder, f"words-{shard:07d}", keys, counts)
-            often = counts.argsort()[::-1][:HOT]
+            ranked = np.lexsort([keys, -counts])
+            ranks = np.empty_like(ranked)
+            ranks[ranked] = np.arange(len(ranked))
+            _store(folder, f"words-{shard:07d}", keys, _small(counts), _small(ranks))
+            often = ranked[: max(HOT, int((counts > SHARD_TOKENS).sum()))]
             yield pa.record_batch(
                 [
                     pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()),
-                    pa.array([keys[often].astype(np.int64).tolist()], pa.list_(pa.int64())),
+                    pa.array([(ranks[often] * n_shards + shard + FIRST).tolist()], pa.list_(pa.int64())),
                     pa.array([counts[often].tolist()], pa.list_(pa.int64())),
                 ],
                 names=["distinct", "total", "often", "times"],
@@ -288,25 +474,29 @@ def _merge_words(folder: str):
     return run
 
 
+def _store_counted(folder: str, name: str, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> None:
+    """Keys that were counted once apart from the others, which have values."""
+    order = np.argsort(keys)
+    once = counts[order] == 1
+    many = order[~once]
+    _store(folder, name, keys[order[once]], keys[many], *(_small(v[many]) for v in (counts, *more)))
+
+
 def _merge_grams(folder: str, n_shards: int, hot, size: int):
-    """Stores the n-grams of ``size`` words (odd shards) and the totals of contexts of as many words (even ones).
+    """Stores the n-grams of ``size`` words and their contexts' totals (odd shards), and the totals of contexts of
+    ``size`` words that end in a hot word (even ones).
 
-    Sends on each context's totals, and each n-gram without its first word with its number of distinct first
-    words: the counts of the next shorter n-grams.
+    The n-grams of a context meet in one shard, unless its last word is hot: such a context's totals are sent on.
+    So is each n-gram without its first word with its number of distinct first words: the counts of the next
+    shorter n-grams.
     """
 
-    def contexts(words: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        types = [(counts == 1), (counts == 2), (counts > 2)]
-        keys, *sums = _summed([gram_hash(words[:-1])], counts, *(x.astype(np.int64) for x in types))
-        for to, columns in _by_shard(_shard_of(keys, n_shards), n_shards, [keys, *sums]):
-            yield _row(2 * to, _body(columns[0], *map(_small, columns[1:])))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _shards(batches):
             if shard % 2 == 0:
                 columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 merged = _summed([columns[0]], *(c.astype(np.int64) for c in columns[1:]))
-                _store(folder, f"left{size}-{shard // 2:07d}", *merged)
+                _store_counted(folder, f"hot{size}-{shard // 2:07d}", *merged)
                 continue
             columns = [np.concatenate(c) for c in zip(*map(_flat, parts), strict=True)]
             parts.clear()
@@ -315,15 +505,18 @@ def _merge_grams(folder: str, n_shards: int, hot, size: int):
             kinds = [int((counts == k).sum()) for k in range(1, 5)]
             yield _row(-1, _body(np.array([*kinds, len(counts), (counts > 2).sum()], dtype=np.int64)))
             if size == 1:
-                _store(folder, f"right-{shard // 2:07d}", words[0], counts)
+                _store(folder, f"right-{shard // 2:07d}", words[0], _small(counts))
                 continue
-            hashes = gram_hash(words)
-            order = np.argsort(hashes)
-            once = counts[order] == 1
-            many = order[~once]
-            _store(folder, f"grams{size}-{shard // 2:07d}", hashes[order[once]], hashes[many], counts[many])
-            yield from contexts(words, counts)
-            *shorter, lefts = _summed(words[1:], np.ones(len(counts), dtype=np.int64))
+            _store_counted(folder, f"grams{size}-{shard // 2:07d}", gram_hash(words), counts)
+            starts = _starts(columns[:-1])
+            totals = [np.add.reduceat(x.astype(np.int64), starts) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            context = [w[starts] for w in words[:-1]]
+            often, hashes = np.isin(context[-1], hot.value), gram_hash(context)
+            _store_counted(folder, f"left{size - 1}-{shard // 2:07d}", *(x[~often] for x in (hashes, *totals)))
+            hashes, *totals = (x[often] for x in (hashes, *totals))
+            for to, (keys, *sums) in _by_shard(_shard_of(hashes, n_shards), n_shards, [hashes, *totals]):
+                yield _row(2 * to, _body(keys, *map(_small, sums)))
+            *shorter, lefts = _counted(words[1:])
             yield from _deal_grams(shorter, lefts, n_shards, hot.value)
 
     return run
@@ -345,84 +538,6 @@ def _taken(counts: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, counts - by[np.clip(counts, 1, 3) - 1], 0.0)
 
 
-@dataclass
-class Model:
-    """Where the arrays lie and the few numbers that all probabilities share."""
-
-    folder: str
-    n_shards: int
-    tokens: int
-    vocabulary: int
-    order: int
-    pair_types: int
-    #: Discounts of n-grams by their number of words, from one.
-    by: dict[int, np.ndarray]
-    word_mass: float
-    #: Names of the files that were written; a shard without any has no arrays.
-    written: frozenset[str]
-    files: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"files": {}}
-
-    def _file(self, name: str) -> list[np.ndarray]:
-        """The arrays of one file, memory-mapped; from a store that is not mounted it is fetched once.
-
-        A file that was written and is gone is an error: its words would count as never seen.
-        """
-        if name not in self.files:
-            self.files[name] = _mapped(self.folder, name) if name in self.written else []
-        return self.files[name]
-
-    def _each(self, kind: str, hashes: np.ndarray, shards: np.ndarray):
-        """(rows, arrays) for the shards that hold any of the hashes; rows are in hash order."""
-        for shard, (rows,) in _by_shard(shards, self.n_shards, [np.arange(len(hashes))]):
-            if arrays := self._file(f"{kind}-{shard:07d}"):
-                yield rows, arrays
-
-    def look_up(self, kind: str, hashes: np.ndarray, width: int) -> list[np.ndarray]:
-        """``width`` values of each hash; zeros for those that the model has not seen."""
-        out = [np.zeros(len(hashes), dtype=np.int64) for _ in range(width)]
-        for rows, (keys, *values) in self._each(kind, hashes, _shard_of(hashes, self.n_shards)):
-            at, found = _find(keys, hashes[rows])
-            for o, v in zip(out, values, strict=True):
-                o[rows[found]] = v[at[found]]
-        return out
-
-    def gram_counts(self, words: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
-        hashes, shards = gram_hash(words), _shard_of(words[-2], self.n_shards)
-        often = np.isin(words[-2], hot)
-        shards[often] = _shard_of(hashes[often], self.n_shards)
-        out = np.zeros(len(hashes), dtype=np.int64)
-        for rows, (once, many, counts) in self._each(f"grams{len(words)}", hashes, shards):
-            _, found = _find(once, hashes[rows])
-            out[rows[found]] = 1
-            at, found = _find(many, hashes[rows])
-            out[rows[found]] = counts[at[found]]
-        return out
-
-    def log10(
-        self, left: np.ndarray | list[np.ndarray], right: np.ndarray, hot: np.ndarray
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability, right word's training count, log10 base probability) of distinct n-grams.
-
-        ``left`` holds the context's words in order, as many as the order needs, or is the one word of bigrams.
-        """
-        words = [*(left if isinstance(left, list) else [left]), right]
-        (count,) = self.look_up("words", right, 1)
-        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
-        (lefts,) = self.look_up("right", right, 1)
-        uniform = 1 / (self.vocabulary + 1)
-        chance = _taken(lefts, self.by[1]) / max(self.pair_types, 1) + self.word_mass * uniform
-        for size in range(2, self.order + 1):
-            total, one, two, more = self.look_up(f"left{size - 1}", gram_hash(words[-size:-1]), 4)
-            taken = _taken(self.gram_counts(words[-size:], hot), self.by[size])
-            spare = np.stack([one, two, more], axis=1) @ self.by[size]
-            known = np.maximum(total, 1)
-            chance = np.where(total > 0, taken / known + spare / known * chance, chance)
-        return np.log10(chance), count, base
-
-
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(keys) == 0:
         return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
@@ -442,10 +557,11 @@ def _mapped(folder: str, name: str) -> list[np.ndarray]:
             os.replace(f"{local}.{os.getpid()}", local)
         path = local
     data = np.memmap(path, dtype=np.uint8, mode="r")
-    sizes, at, out = data[:64].view(np.int64), 64, []
-    for k, kind in enumerate(LAYOUT[name.split("-")[0].rstrip("0123456789")]):
-        out.append(data[at : at + 8 * int(sizes[k])].view(kind))
-        at += 8 * int(sizes[k])
+    head, at, out = data[:128].view(np.int64), 128, []
+    n_keys, n_values = LAYOUT[name.split("-")[0].rstrip("0123456789")]
+    for size, width in zip(head[: n_keys + n_values], head[8 : 8 + n_keys + n_values], strict=True):
+        out.append(data[at : at + int(size * width)].view(f"u{width}"))
+        at += int(size * width)
     return out
 
 
@@ -454,9 +570,10 @@ def train(docs: DataFrame, folder: str, order: int = ORDER) -> tuple[Model, np.n
 
     One exchange for words, one for n-grams of ``order`` words, and one for each shorter length, whose counts
     are numbers of distinct first words of the next longer one. Their rows are arrays, so their number follows
-    tasks times shards. An n-gram goes by the last word of its context, and by all its words where that one is
-    hot (at most HOT words are), so no shard holds more than a bounded share. The driver sees totals and the
-    hot words.
+    tasks times shards, and what a length was counted from is deleted once the next one is stored. An n-gram goes
+    by the last word of its context, and by all its words where that one is hot: one token in HOT, or more tokens
+    than a shard has on average, so hot words are fewer than HOT and the shards together and no shard holds more
+    than a bounded share. The driver sees totals and the hot words.
     """
     if order < 2:
         raise ValueError("order must be at least 2")
@@ -471,27 +588,38 @@ def train(docs: DataFrame, folder: str, order: int = ORDER) -> tuple[Model, np.n
         return rows.repartition("shard").sortWithinPartitions("shard")
 
     counted = dealt(texts.mapInArrow(_count_words(n_shards), _RUN)).mapInArrow(
-        _merge_words(folder), "distinct long, total long, often array<long>, times array<long>"
+        _merge_words(folder, n_shards), "distinct long, total long, often array<long>, times array<long>"
     )
     counted = settle(counted, "kn-words")
     sums = counted.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     vocabulary, tokens = sums["v"] or 0, sums["n"] or 0
     pairs = counted.select(F.explode(F.arrays_zip("often", "times")).alias("x")).select("x.often", "x.times")
     hot = np.array(
-        [r["often"] for r in pairs.filter(F.col("times") * HOT > tokens).collect()] + [np.int64(BEGIN.astype(np.int64))],
-        dtype=np.int64,
-    ).astype(np.uint64)
+        [r["often"] for r in pairs.filter(F.col("times") > min(tokens / HOT, SHARD_TOKENS)).collect()] + [START],
+        dtype=np.uint64,
+    )
     shared = spark.sparkContext.broadcast(hot)
-    rows, kinds = texts.mapInArrow(_count_grams(n_shards, shared, order), _RUN), {}
+    known = Shelf(folder, n_shards, _names(folder))
+    rows, kinds, before = texts.mapInArrow(_count_grams(known, shared, order), _RUN), {}, None
     for size in range(order, 0, -1):
-        merged = settle(dealt(rows).mapInArrow(_merge_grams(folder, n_shards, shared, size), _RUN), f"kn-{size}")
+        path = fresh_folder(spark, f"kn-{size}")
+        dealt(rows).mapInArrow(_merge_grams(folder, n_shards, shared, size), _RUN).write.parquet(path)
+        if before:
+            discard(spark, before)
+        before, merged = path, spark.read.schema(_RUN).parquet(path)
         kinds[size] = _kinds(merged.filter("shard < 0"))
         rows = merged.filter("shard >= 0")
+    discard(spark, before)
     by = {size: discounts(k) for size, k in kinds.items()}
     types, word_kinds = int(kinds[2][4]), kinds[1]
     mass = (by[1][0] * word_kinds[0] + by[1][1] * word_kinds[1] + by[1][2] * word_kinds[5]) / types if types else 1.0
-    written = frozenset(f.base_name for f in store.get_file_info(fs.FileSelector(root)))
-    return Model(folder, n_shards, tokens, vocabulary, order, types, by, float(mass), written), hot
+    return Model(folder, n_shards, _names(folder), tokens, vocabulary, order, types, by, float(mass)), hot
+
+
+def _names(folder: str) -> frozenset[str]:
+    """Files of the folder."""
+    store, root = open_store(folder)
+    return frozenset(f.base_name for f in store.get_file_info(fs.FileSelector(root)))
 
 
 def _kinds(rows: DataFrame) -> np.ndarray:
@@ -512,21 +640,18 @@ def _score(model: Model, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in slices(batch.column("text")):
-                sizes, tokens = token_hashes(rows)
-                grams = _grams(sizes, tokens, model.order)
-                order = np.lexsort(grams[::-1])
-                grams = [g[order] for g in grams]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
+                sizes, tokens, hashes = token_codes(rows)
+                count, numbers = model.numbers(hashes)
+                grams = _grams(sizes, numbers[tokens], model.order)
+                order, first_rows = _groups(grams)
                 place = np.empty(len(order), dtype=np.int64)
-                place[order] = np.cumsum(new) - 1
-                *left, right = (g[new] for g in grams)
-                score, count, base = model.log10(left, right, hot.value)
+                place[order] = np.repeat(np.arange(len(first_rows)), np.diff(np.append(first_rows, len(order))))
+                score = model.chances([g[order[first_rows]] for g in grams], hot.value)
                 starts = np.cumsum(sizes) - sizes
                 columns = [
-                    pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64)[place], starts)),
+                    pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64)[tokens], starts)),
                     pa.array(np.full(len(sizes), model.tokens)),
-                    pa.array(np.add.reduceat(base[place], starts)), pa.array(np.add.reduceat(score[place], starts)),
+                    pa.array(np.add.reduceat(model.base(count)[tokens], starts)), pa.array(np.add.reduceat(score[place], starts)),
                 ]
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(first, len(sizes)), *columns],
