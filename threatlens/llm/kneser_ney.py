@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard
 from .common import fold, fresh_folder, open_store, settle
-from .tokens import slices, words
+from .tokens import coded, slices
 
 #: Tokens of the corpus for each shard of the model; shards grow with the corpus.
 SHARD_TOKENS = 2 << 20
@@ -44,8 +44,7 @@ _RUN = "shard int, body binary"
 LAYOUT = {"words": (1, 2), "grams": (2, 1), "left": (2, 4), "hot": (2, 4), "right": (1, 1)}
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+_hash = xxhash.xxh3_64_intdigest
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -58,19 +57,15 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def token_codes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens per row, place of each token's hash, hashes): A-Z lower-cased, words between ASCII white space, one
     end per text."""
-    hashes = [int(END)]
-
-    def place(word: str) -> int:
-        hashes.append(_hash(word))
-        return len(hashes) - 1
-
-    counts, codes = words(pc.ascii_lower(texts), place, np.int64)
+    counts, codes, distinct = coded(pc.ascii_lower(texts))
     ends = np.cumsum(counts + 1) - 1
     tokens = np.zeros(int(counts.sum()) + len(counts), dtype=np.int64)
     inner = np.ones(len(tokens), dtype=bool)
     inner[ends] = False
-    tokens[inner] = codes
-    return counts + 1, tokens, np.array(hashes, dtype=np.uint64)
+    tokens[inner] = codes + 1
+    hashes = np.empty(len(distinct) + 1, dtype=np.uint64)
+    hashes[0], hashes[1:] = END, np.fromiter(map(_hash, distinct), dtype=np.uint64, count=len(distinct))
+    return counts + 1, tokens, hashes
 
 
 def _spread(numbers: np.ndarray) -> np.ndarray:
@@ -244,7 +239,8 @@ class Shelf:
 
         A hash that was counted once has one, one and zeros: its total, and how many were seen once, twice, more often.
         """
-        for shard, (rows,) in _by_shard(shards, self.n_shards, [np.arange(len(hashes))]):
+        rising = np.argsort(hashes)
+        for shard, (rows,) in _by_shard(shards[rising], self.n_shards, [rising]):
             if not (arrays := self._file(f"{kind}-{shard:07d}")):
                 continue
             n_keys = LAYOUT[kind.rstrip("0123456789")][0]
@@ -252,9 +248,11 @@ class Shelf:
                 _, found = _find(arrays[0], hashes[rows])
                 for o in out[:2]:
                     o[rows[found]] = 1
+                rows = rows[~found]
             at, found = _find(arrays[n_keys - 1], hashes[rows])
+            rows, at = rows[found], at[found]
             for o, v in zip(out, arrays[n_keys:], strict=True):
-                o[rows[found]] = v[at[found]]
+                o[rows] = v[at]
         return out
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,17 +304,23 @@ class Model(Shelf):
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
 
     def chances(self, words: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
-        """log10 probability of the last of numbered words in order, as many as the order."""
-        (lefts,) = self.look_up("right", words[-1], _shard_of(words[-1], self.n_shards), _zeros(words[-1], 1))
-        uniform = 1 / (self.vocabulary + 1)
-        chance = _taken(lefts, self.by[1]) / max(self.pair_types, 1) + self.word_mass * uniform
-        for size in range(2, self.order + 1):
-            total, one, two, more = self.context_totals(words[-size:-1], hot)
-            taken = _taken(self.gram_counts(words[-size:], hot), self.by[size])
-            spare = np.stack([one, two, more], axis=1) @ self.by[size]
-            known = np.maximum(total, 1)
-            chance = np.where(total > 0, taken / known + spare / known * chance, chance)
-        return np.log10(chance)
+        """Probability of the last of numbered words in order; rows of one context should follow each other.
+
+        Each distinct context and each distinct shorter n-gram is looked up once.
+        """
+        if len(words) == 1:
+            (lefts,) = self.look_up("right", words[0], _shard_of(words[0], self.n_shards), _zeros(words[0], 1))
+            return _taken(lefts, self.by[1]) / max(self.pair_types, 1) + self.word_mass / (self.vocabulary + 1)
+        order, firsts = _groups(words[1:])
+        chance = np.empty(len(order))
+        shorter = self.chances([w[order[firsts]] for w in words[1:]], hot)
+        chance[order] = np.repeat(shorter, np.diff(np.append(firsts, len(order))))
+        starts = _starts(words[:-1])
+        total, *kinds = self.context_totals([w[starts] for w in words[:-1]], hot)
+        by, known = self.by[len(words)], np.maximum(total, 1)
+        runs = np.diff(np.append(starts, len(order)))
+        spare, known, total = (np.repeat(x, runs) for x in (np.stack(kinds, axis=1) @ by / known, known, total))
+        return np.where(total > 0, _taken(self.gram_counts(words, hot), by) / known + spare * chance, chance)
 
     def log10(
         self, left: np.ndarray | list[np.ndarray], right: np.ndarray, hot: np.ndarray
@@ -329,7 +333,7 @@ class Model(Shelf):
             np.where(w == BEGIN, np.uint64(START), self.numbers(w)[1]) for w in (left if isinstance(left, list) else [left])
         ]
         count, number = self.numbers(right)
-        return self.chances([*context, number], hot), count, self.base(count)
+        return np.log10(self.chances([*context, number], hot)), count, self.base(count)
 
 
 class _Counter:
@@ -381,13 +385,13 @@ def _count_words(n_shards: int):
     return run
 
 
-def _deal_grams(words: list[np.ndarray], counts: np.ndarray, n_shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of distinct n-grams to odd shards: by the last word of the context, where that is hot by all words."""
-    columns = [*words[-2::-1], words[-1]]
-    order, _ = _groups(columns)
-    columns, counts = [c[order] for c in columns], counts[order]
+def _deal_grams(columns: list[np.ndarray], counts: np.ndarray, n_shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of distinct n-grams to odd shards: by the last word of the context, where that is hot by all words.
+
+    Columns are the context's words, the last one first, and then the word after it, as is the order of rows.
+    """
     shards = _shard_of(columns[0], n_shards)
-    if len(words) > 1:
+    if len(columns) > 1:
         often = np.isin(columns[0], hot)
         shards[often] = _shard_of(gram_hash([*(c[often] for c in columns[-2::-1]), columns[-1][often]]), n_shards)
     for shard, (*part, n) in _by_shard(shards, n_shards, [*columns, counts]):
@@ -403,8 +407,9 @@ def _count_grams(known: Shelf, hot, order: int):
         sizes, tokens, held = [], [], 0
 
         def sent():
-            *grams, counts = _counted(_grams(np.concatenate(sizes), np.concatenate(tokens), order))
-            yield from _deal_grams(grams, counts, known.n_shards, hot.value)
+            *context, last = _grams(np.concatenate(sizes), np.concatenate(tokens), order)
+            *columns, counts = _counted([*context[::-1], last])
+            yield from _deal_grams(columns, counts, known.n_shards, hot.value)
 
         for batch in batches:
             for _, rows in slices(batch.column("text")):
@@ -516,7 +521,7 @@ def _merge_grams(folder: str, n_shards: int, hot, size: int):
             hashes, *totals = (x[often] for x in (hashes, *totals))
             for to, (keys, *sums) in _by_shard(_shard_of(hashes, n_shards), n_shards, [hashes, *totals]):
                 yield _row(2 * to, _body(keys, *map(_small, sums)))
-            *shorter, lefts = _counted(words[1:])
+            *shorter, lefts = _counted([*columns[:-2], columns[-1]])
             yield from _deal_grams(shorter, lefts, n_shards, hot.value)
 
     return run
@@ -646,7 +651,7 @@ def _score(model: Model, hot):
                 order, first_rows = _groups(grams)
                 place = np.empty(len(order), dtype=np.int64)
                 place[order] = np.repeat(np.arange(len(first_rows)), np.diff(np.append(first_rows, len(order))))
-                score = model.chances([g[order[first_rows]] for g in grams], hot.value)
+                score = np.log10(model.chances([g[order[first_rows]] for g in grams], hot.value))
                 starts = np.cumsum(sizes) - sizes
                 columns = [
                     pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64)[tokens], starts)),

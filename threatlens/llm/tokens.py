@@ -23,8 +23,9 @@ def slices(texts: pa.StringArray, size: int = SLICE_BYTES) -> Iterator[tuple[int
     pa.default_memory_pool().release_unused()
 
 
-def words(texts: pa.StringArray, code: Callable[[str], int], dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(words per row, code of each word in order) for words between runs of ASCII white space."""
+def coded(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(words per row, place of each word, in order, among the distinct ones, these) for words between runs of
+    ASCII white space."""
     cut = pc.ascii_split_whitespace(texts)
     offsets = cut.offsets.to_numpy().astype(np.int64)
     found = cut.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -32,6 +33,11 @@ def words(texts: pa.StringArray, code: Callable[[str], int], dtype) -> tuple[np.
     full = pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(full)])
     distinct = found.filter(pa.array(full)).dictionary_encode()
-    codes = np.array([code(word) for word in distinct.dictionary.to_pylist()], dtype=dtype)
-    places = distinct.indices.to_numpy(zero_copy_only=False)
-    return np.diff(before[offsets]), codes[places] if len(codes) else np.zeros(0, dtype)
+    return np.diff(before[offsets]), distinct.indices.to_numpy(zero_copy_only=False), distinct.dictionary.to_pylist()
+
+
+def words(texts: pa.StringArray, code: Callable[[str], int], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(words per row, code of each word in order) for words between runs of ASCII white space."""
+    counts, places, distinct = coded(texts)
+    codes = np.array([code(word) for word in distinct], dtype=dtype)
+    return counts, codes[places] if len(codes) else np.zeros(0, dtype)
