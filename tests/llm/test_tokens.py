@@ -133,3 +133,25 @@ def test_costs_are_closer_than_in_order():
     edges = np.cumsum(lengths)
     plain = np.bincount((edges - 1) // 1024, lengths + lengths**2 / 1024)
     assert full.std() < 0.5 * plain[:-1].std()
+
+
+@pytest.mark.parametrize("window", [1, 64, 200, 1 << 20])
+def test_only_the_last_window_ends_in_short_sequences(window):
+    draw = np.random.default_rng(5)
+    texts = [np.arange(n, dtype=np.int32) + 1000 * i for i, n in enumerate(draw.integers(1, 200, 120))]
+    packer = cost_packing._Packer(0, 64, 1.0, 1 / 64, window, True)
+    for key, ids in enumerate(texts):
+        packer.add(key, ids.tobytes())
+    packer.pack(last=True)
+    found, room = {}, {}
+    for key, start, length, _, total, sequence, offset, data in packer.out:
+        found.setdefault(key, []).append((start, np.frombuffer(data, dtype=np.int32)))
+        room.setdefault(sequence, []).append((offset, length))
+        assert total == len(texts[key])
+    for key, ids in enumerate(texts):
+        assert (np.concatenate([d for _, d in sorted(found[key], key=lambda x: x[0])]) == ids).all()
+    for pieces in room.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:]))
+    sizes = sorted(sum(n for _, n in p) for p in room.values())
+    rest = sum(map(len, texts)) % 64
+    assert sizes == sorted([64] * (sum(map(len, texts)) // 64) + [1 << b for b in range(6) if rest >> b & 1])

@@ -84,7 +84,23 @@ class _Packer:
         if self.held >= self.window:
             self.pack()
 
-    def pack(self) -> None:
+    def _held_back(self) -> list:
+        """Takes off the tokens beyond a multiple of the capacity, for the next window."""
+        back, more = [], self.held % self.capacity
+        while more:
+            key, start, data, total = self.rests.pop()
+            kept = max(len(data) // 4 - more, 0)
+            if kept:
+                self.rests.append((key, start, data[: 4 * kept], total))
+            back.append((key, start + kept, data[4 * kept :], total))
+            more -= len(data) // 4 - kept
+        return back
+
+    def pack(self, last: bool = False) -> None:
+        back = [] if last else self._held_back()
+        if not self.rests:
+            self.rests = back
+            return
         lengths = np.array([len(r[2]) // 4 for r in self.rests], dtype=np.int64)
         pieces, sequences = balance(lengths, self.capacity, *self.costs)
         used = [0] * sequences
@@ -93,7 +109,7 @@ class _Packer:
             self._emit(key, before + start, data[4 * start : 4 * (start + length)], total, self.first + at, used[at])
             used[at] += length
         self.first += sequences
-        self.rests, self.held = [], 0
+        self.rests, self.held = back, sum(len(r[2]) // 4 for r in back)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         if self.out:
@@ -116,7 +132,7 @@ def _pack(path: str, end_id: int, *settings):
                     packer.add(keys[first + k], ids[a:b].tobytes() + end)
                 yield from packer.batches()
         if packer.rests:
-            packer.pack()
+            packer.pack(last=True)
             yield from packer.batches()
 
     return run
@@ -131,8 +147,9 @@ def pack(
 
     A document's cost is estimated as linear * n + quadratic * n^2 tokens. A task encodes its own documents, so
     nothing is exchanged: whole multiples of the capacity become sequences at once, and the rests wait until
-    ``window_tokens`` of them are there and are then packed by ``balance``. The last window of a task ends in
-    sequences of a power of two tokens, so no sequence needs padding. Memory is one window.
+    ``window_tokens`` of them are there and are then packed by ``balance``. What a window holds beyond full
+    sequences waits for the next one; a task's last window ends in sequences of a power of two tokens, so no
+    sequence needs padding. Memory is one window.
 
     A null or empty text has the end id only. Rows that repeat an id are packed as documents of their own; a
     null id is kept. Very long texts are cut, never shortened. Other columns are not looked at. An empty table
