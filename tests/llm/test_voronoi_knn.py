@@ -52,17 +52,52 @@ def test_empty_table(spark):
     assert voronoi_knn.top_k(docs, F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_cells_are_left_out():
-    """On clear clusters a query is sent to few cells."""
-    import pyarrow as pa
-
+def clustered(count, clusters, dim=16):
     draw = np.random.default_rng(4)
-    pivots = np.eye(8) * 1000
-    rows = np.repeat(pivots, 40, axis=0) + draw.normal(0, 5, (320, 8))
-    far = np.linalg.norm(rows - np.repeat(pivots, 40, axis=0), axis=1).reshape(8, 40)
-    run = voronoi_knn._needed(pivots, far.max(axis=1), np.sort(far, axis=1)[:, :11], 10)
-    batch = pa.record_batch(
-        [pa.array([1, 2]), pa.array([[1000] + [0] * 7, [0] * 7 + [1000]], pa.list_(pa.int64())), pa.array([True, True]), pa.array([0, 7], pa.int32())],
-        names=["id", "v", "asks", "cell"],
+    centres = draw.normal(0, 1, (clusters, dim))
+    return [(i, (centres[i % clusters] + draw.normal(0, 0.02, dim)).tolist()) for i in range(count)]
+
+
+def test_cells_are_left_out(spark):
+    """On clear clusters a query is sent to few of the cells, and answers stay exact."""
+    rows = clustered(1600, 20)
+    assert run(spark, rows, 50, 10) == brute(rows, 50, 10)
+    docs = spark.createDataFrame([(i, v, 0, "", "") for i, v in rows], SCHEMA).repartition(5)
+    found = voronoi_knn.cells(docs, F.col("vec_id") % 50 == 0)
+    asked = voronoi_knn.needed(found, voronoi_knn.home_hits(found, 10), 10)
+    pairs = 32 * found.slices.count()
+    assert asked.count() + 32 < 0.3 * pairs
+
+
+def test_lengths_and_small_cells(spark):
+    """Vectors of very different lengths, zero vectors, and cells with fewer rows than are asked for."""
+    draw = np.random.default_rng(5)
+    rows = [(i, (draw.normal(0, 1, 4) * 10.0 ** draw.integers(-3, 3)).tolist()) for i in range(300)]
+    rows += [(300 + i, [0.0] * 4) for i in range(30)]
+    assert run(spark, rows, 3, 10) == brute(rows, 3, 10)
+
+
+def test_bounds_hold():
+    draw = np.random.default_rng(6)
+    rows = draw.normal(0, 100, (500, 6)) * draw.choice([0, 1, 30], (500, 1))
+    pivots = voronoi_knn.fit_pivots(rows[:200], 20)
+    cell = voronoi_knn._nearest(rows, pivots)
+    size, own = np.linalg.norm(rows, axis=1), pivots[cell]
+    turn = voronoi_knn._angles((rows * own).sum(axis=1), size * np.linalg.norm(own, axis=1))
+    far = np.linalg.norm(rows - own, axis=1)
+
+    def per_cell(values, how):
+        return np.array([how(values[cell == c]) if (cell == c).any() else 0.0 for c in range(len(pivots))])
+
+    summary = voronoi_knn.Summary(
+        pivots, np.bincount(cell, minlength=len(pivots)), per_cell(far, np.max), per_cell(size, np.min),
+        per_cell(size, np.max), per_cell(turn, np.max),
     )
-    assert [(r["id"], r["cell"]) for out in run(iter([batch])) for r in out.to_pylist()] == [(1, 0), (2, 7)]
+    scores = rows @ rows.T
+    high, low = summary.bounds(rows, 10)
+    assert (scores <= high[:, cell]).all()
+    assert (np.sort(scores, axis=1)[:, -11] >= low).all()
+    groups = summary.groups(10)
+    for q in range(500):
+        best = np.argsort(-scores[q])[:10]
+        assert groups[cell[q], cell[best]].all()
