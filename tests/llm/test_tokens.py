@@ -144,7 +144,7 @@ def test_only_the_last_window_ends_in_short_sequences(window):
         packer.add(key, ids.tobytes())
     packer.pack(last=True)
     found, room = {}, {}
-    for key, start, length, _, total, sequence, offset, data in packer.out:
+    for key, start, length, _, total, sequence, offset, data, *_ in packer.out:
         found.setdefault(key, []).append((start, np.frombuffer(data, dtype=np.int32)))
         room.setdefault(sequence, []).append((offset, length))
         assert total == len(texts[key])
@@ -155,3 +155,22 @@ def test_only_the_last_window_ends_in_short_sequences(window):
     sizes = sorted(sum(n for _, n in p) for p in room.values())
     rest = sum(map(len, texts)) % 64
     assert sizes == sorted([64] * (sum(map(len, texts)) // 64) + [1 << b for b in range(6) if rest >> b & 1])
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_few_short_sequences_whatever_the_partitions(spark, parts):
+    """Short sequences make up one rest of the whole table, as long as one task joins the rests."""
+    words = [" ".join(f"w{i * j % 97}" for j in range(1 + i * 37 % 150)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(words)], "doc_id long, text string, ids string, task string")
+    pieces = cost_packing.pack(docs.repartition(parts), tokenizer_path(NAMES[1]), 0, capacity=64, with_ids=True).collect()
+    check_packed(pieces, 64)
+    ids = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == len(ids.setdefault(p.doc_id, [])) and p.length == len(p.ids)
+        ids[p.doc_id] += p.ids
+    assert ids == {i: [*library(NAMES[1], t), 0] for i, t in enumerate(words)}
+    sizes = {}
+    for p in pieces:
+        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
+    rest = sum(sizes.values()) % 64
+    assert sorted(n for n in sizes.values() if n < 64) == [1 << b for b in range(6) if rest >> b & 1]
