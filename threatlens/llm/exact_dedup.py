@@ -28,14 +28,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _hashed(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
     """Narrow rows with full hash; ``shared`` marks those that left the first two levels together."""
     keyed = _keyed(docs, id_col, text_col)
-    short = settle(keyed.select("n_bytes", "prefix"), "dedup-lengths")
-    lengths = short.groupBy("n_bytes").count().filter("count > 1").select("n_bytes")
-    groups = (
-        short.join(lengths, "n_bytes", "left_semi")
-        .groupBy("n_bytes", "prefix").count().filter("count > 1")
-        .select("n_bytes", "prefix", F.lit(True).alias("shared"))
+    # counted as pairs, so that a length that very many texts have is spread; a pair held twice has such a length
+    groups = settle(
+        keyed.groupBy("n_bytes", "prefix").count().filter("count > 1")
+        .select("n_bytes", "prefix", F.lit(True).alias("shared")), "dedup-prefixes",
     )
-    groups = settle(groups, "dedup-prefixes")
     digest = F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest")
     if digest_all:  # the digest is asked for anyway: no text goes into the join
         rows = keyed.select("doc_id", "n_bytes", "prefix", digest).join(groups, ["n_bytes", "prefix"], "left")
