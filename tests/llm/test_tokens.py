@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threatlens.llm import cost_packing, token_files
+from threatlens.llm import cost_packing, token_files, words
 from threatlens.llm.queries import tokenizer_path
 from threatlens.llm.words import WordEncoder, tokenizer
 from threatlens.session import fresh_folder
@@ -63,6 +63,26 @@ def test_token_files(spark):
     assert sums == {r.start: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got}
 
 
+def test_the_library_is_asked_once_for_many_words(monkeypatch):
+    """More words than one memory of 100,000 and the one before it hold, seen three times by a task."""
+    asked = []
+    monkeypatch.setattr(WordEncoder, "_word", lambda self, word, before="": asked.append(word) or b"\1\0\0\0")
+    monkeypatch.setattr(words, "_ENCODERS", {})
+    monkeypatch.setattr(token_files, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": lambda: 0}))
+    texts = [" ".join(f"w{i}" for i in range(first, first + 1000)) for first in range(0, 350_000, 1000)] * 3
+    batches = [pa.record_batch([pa.array(range(k, k + 35)), pa.array(texts[k : k + 35])], names=["doc_id", "text"]) for k in range(0, len(texts), 35)]
+    out = list(token_files._encode(tokenizer_path(NAMES[0]), 2, "doc_id", "text")(iter(batches)))
+    assert sum(b.num_rows for b in out) == len(texts) and {n for b in out for n in b.column("n_tokens").to_pylist()} == {1001}
+    assert len(asked) == len(set(asked)) == 350_000
+
+
+def test_long_words_are_kept_in_smaller_number():
+    memo = words.Memo(lambda word: b"", 100)
+    for i in range(1000):
+        assert memo[f"{i:0200d}"] == b""
+    assert sum(map(len, memo)) + sum(map(len, memo.old)) <= 2 * (100 * words.WORD_CHARS + 200)
+
+
 def test_layout(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
     folder = fresh_folder(spark, "tokens-layout")

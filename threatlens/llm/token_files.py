@@ -26,16 +26,20 @@ LAYOUT = {
     "parquet.page.write-checksum.enabled": "true",
     "compression": "zstd",
 }
+#: Words kept in a worker's memory (twice, see ``words``) and bytes of text cut at once: a word that is not kept costs
+#: a call of the library, some 10 microseconds, and nothing else in a task needs as much.
+MEMORY = 400_000
+CUT_BYTES = 4 << 20
 COLUMNS = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
 def _encode(path: str, end_id: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, end = TaskContext.get().partitionId(), 0, np.int32(end_id).tobytes()
-        words = encoder(path)
+        words = encoder(path, MEMORY)
         for batch in batches:
             keys = batch.column(id_col)
-            for first, lengths, ids in words.encode(batch.column(text_col)):
+            for first, lengths, ids in words.encode(batch.column(text_col), CUT_BYTES):
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
                 rows = [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 starts = start + bounds[:-1] + np.arange(len(rows))

@@ -21,6 +21,8 @@ from .tokens import slices
 
 #: Words kept in memory, twice: the recent ones and those before them.
 MEMORY = 100_000
+#: Characters per word on average up to which so many are kept; of longer words fewer.
+WORD_CHARS = 16
 #: Bytes of text that are cut and gathered at once.
 CUT_BYTES = 2 << 20
 #: Control characters, exotic white space, combining marks, a capital whose small form holds such a mark,
@@ -38,7 +40,7 @@ _BARE = "\x01"
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PLAIN_SIGNS = re.compile(f"{_SIGNS}+|\n")
 _TOKENIZERS: dict[str, object] = {}
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
 def tokenizer(path: str):
@@ -51,11 +53,11 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memory: int = MEMORY) -> WordEncoder:
     """The encoder of this worker; its memory of words outlives the task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, memory) not in _ENCODERS:
+        _ENCODERS[path, memory] = WordEncoder(path, memory)
+    return _ENCODERS[path, memory]
 
 
 class Memo(dict):
@@ -63,16 +65,17 @@ class Memo(dict):
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.chars = make, limit, {}, 0
 
     def __missing__(self, word):
         ids = self.old.get(word)
         if ids is None:
             ids = self.make(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(self) >= self.limit or self.chars >= self.limit * WORD_CHARS:
+            self.old, self.chars = dict(self), 0
             self.clear()
         self[word] = ids
+        self.chars += len(word)
         return ids
 
 
@@ -86,9 +89,9 @@ class WordEncoder:
         self.table = str.maketrans({chr(b): _byte_char(b) for b in range(256)})
         self.memo = Memo(self._spaced_word if self.spaced else self._word, memory)
 
-    def encode(self, texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.StringArray, size: int = CUT_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, lengths, ids) for slices of the rows; lengths has one entry per row, null is empty."""
-        for first, rows in slices(texts, CUT_BYTES):
+        for first, rows in slices(texts, size):
             yield first, *self._slice(rows)
 
     def _slice(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
