@@ -213,3 +213,37 @@ def test_a_word_that_fills_a_shard_is_hot(spark, monkeypatch):
     _, hot = kneser_ney.train(docs, fresh_folder(spark, "kn-hot"))
     assert len(hot) > 2
     assert rounded(run(spark, rows)) == rounded(brute(rows)[0])
+
+
+@pytest.mark.parametrize("widths", [(22, 22, 22), (1, 64, 3), (64, 64), (30, 30, 4, 1), (22,) * 5, (40, 40, 40, 40)])
+def test_rows_sort_by_as_few_numbers_as_hold_their_bits(widths):
+    """Of three words of 22 bits the third lies in the first number too, so few rows are left to the second."""
+    draw = np.random.default_rng(sum(widths))
+    full = [draw.integers(0, 1 << w, 40, dtype=np.uint64, endpoint=False) if w < 64 else draw.integers(0, 2**64, 40, dtype=np.uint64) for w in widths]
+    for column, width in zip(full, widths, strict=True):
+        column[0] = (1 << width) - 1
+    columns = [c[draw.integers(0, 40, 3000)] for c in full]
+    for column, width in zip(columns, widths, strict=True):
+        column[0] = (1 << width) - 1
+    assert len(kneser_ney._packed(columns)) == -(-sum(widths) // 64)
+    rows = list(zip(*(c.tolist() for c in columns), strict=True))
+    order, starts = kneser_ney._groups(columns)
+    assert [rows[k] for k in order] == sorted(rows) and sorted(order.tolist()) == list(range(3000))
+    assert [rows[k] for k in order[starts]] == sorted(set(rows))
+    distinct, place = kneser_ney._distinct(columns)
+    assert [tuple(c[k] for c in distinct) for k in place] == rows
+    assert [len(o) for o in kneser_ney._groups([c[:0] for c in columns])] == [0, 0]
+
+
+def test_texts_of_ten_megabytes_are_looked_up_at_once(spark):
+    docs = spark.createDataFrame([(i, "a b c d a b c e") for i in range(20)], "doc_id long, text string")
+    model, hot = kneser_ney.train(docs, fresh_folder(spark, "kn-wide"))
+    texts = ["a b c d e f " * 90_000] * 10
+    batch = pa.record_batch([pa.array(range(10)), pa.array(texts)], names=["doc_id", "text"])
+
+    class Sent:
+        value = hot
+
+    out = list(kneser_ney._score(model, Sent)(iter([batch])))
+    assert [b.num_rows for b in out] == [10]
+    assert len({s for b in out for s in b.column("score").to_pylist()}) == 1

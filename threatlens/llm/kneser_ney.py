@@ -28,6 +28,9 @@ from .tokens import coded, slices
 
 #: Tokens of the corpus for each shard of the model; shards grow with the corpus.
 SHARD_TOKENS = 2 << 20
+#: Bytes of text that are counted, or scored, at once: the more, the fewer distinct words and n-grams are looked up, and
+#: the closer together those lie in the arrays. Scoring 12 MB takes some 280 MB.
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 12 << 20
 #: Words of the longest n-grams, in production.
 ORDER = 3
 #: A word that makes up more than one token in so many, or fills a shard, has the n-grams of contexts that end in it
@@ -94,26 +97,50 @@ def _grams(counts: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarra
 
 
 def _packed(keys: list[np.ndarray]) -> list[np.ndarray]:
-    """The same order of rows in fewer columns: as many keys to one 64-bit number as have room."""
+    """The same order of rows in fewer columns: the keys' bits one after the other, cut into 64-bit numbers."""
     packs, room = [], 0
     for key in keys:
         width = max(int(key.max(initial=0)).bit_length(), 1)
-        if width <= room:
+        rest = width - room
+        if rest <= 0:
             packs[-1] = (packs[-1] << np.uint64(width)) | key
-            room -= width
+        elif room:
+            packs[-1] = (packs[-1] << np.uint64(room)) | (key >> np.uint64(rest))
+            packs.append(key & np.uint64((1 << rest) - 1))
         else:
             packs.append(key)
-            room = 64 - width
+        room = -rest if rest <= 0 else 64 - rest
     return packs
 
 
+def _order(packs: list[np.ndarray]) -> np.ndarray:
+    """Rows in order: sorted by the first number, then only rows that share it by the others."""
+    order = np.argsort(packs[0])
+    if len(packs) > 1:
+        first = packs[0][order]
+        new = np.ones(len(order) + 1, dtype=bool)
+        new[1:-1] = first[1:] != first[:-1]
+        tied = np.flatnonzero(~(new[:-1] & new[1:]))
+        rows = order[tied]
+        order[tied] = rows[np.lexsort([*(p[rows] for p in packs[:0:-1]), np.cumsum(new[:-1])[tied]])]
+    return order
+
+
 def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(rows in key order, where in that order each distinct key starts)."""
     packs = _packed(keys)
-    order = np.argsort(packs[0]) if len(packs) == 1 else np.lexsort(packs[::-1])
+    order = _order(packs)
     return order, _starts([p[order] for p in packs])
 
 
+def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct rows in key order, place of each row among them)."""
+    order, starts = _groups(keys)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return [k[order[starts]] for k in keys], place
+
+
 def _starts(columns: list[np.ndarray]) -> np.ndarray:
     """Where runs of equal rows start."""
     new = np.ones(len(columns[0]), dtype=bool)
@@ -239,17 +266,21 @@ class Shelf:
 
         A hash that was counted once has one, one and zeros: its total, and how many were seen once, twice, more often.
         """
-        rising = np.argsort(hashes)
-        for shard, (rows,) in _by_shard(shards[rising], self.n_shards, [rising]):
+        width = max((self.n_shards - 1).bit_length(), 1)
+        rising = np.argsort((shards.astype(np.uint64) << np.uint64(64 - width)) | (hashes >> np.uint64(width)))
+        hashes, ends = hashes[rising], np.cumsum(np.bincount(shards, minlength=self.n_shards))
+        for shard in np.flatnonzero(np.diff(ends, prepend=0)):
             if not (arrays := self._file(f"{kind}-{shard:07d}")):
                 continue
+            part = slice(ends[shard - 1] if shard else 0, ends[shard])
+            rows, wanted = rising[part], hashes[part]
             n_keys = LAYOUT[kind.rstrip("0123456789")][0]
             if n_keys == 2:
-                _, found = _find(arrays[0], hashes[rows])
+                _, found = _find(arrays[0], wanted)
                 for o in out[:2]:
                     o[rows[found]] = 1
-                rows = rows[~found]
-            at, found = _find(arrays[n_keys - 1], hashes[rows])
+                rows, wanted = rows[~found], wanted[~found]
+            at, found = _find(arrays[n_keys - 1], wanted)
             rows, at = rows[found], at[found]
             for o, v in zip(out, arrays[n_keys:], strict=True):
                 o[rows] = v[at]
@@ -311,14 +342,13 @@ class Model(Shelf):
         if len(words) == 1:
             (lefts,) = self.look_up("right", words[0], _shard_of(words[0], self.n_shards), _zeros(words[0], 1))
             return _taken(lefts, self.by[1]) / max(self.pair_types, 1) + self.word_mass / (self.vocabulary + 1)
-        order, firsts = _groups(words[1:])
-        chance = np.empty(len(order))
-        shorter = self.chances([w[order[firsts]] for w in words[1:]], hot)
-        chance[order] = np.repeat(shorter, np.diff(np.append(firsts, len(order))))
+        shorter, place = _distinct(words[1:])
+        chance = self.chances(shorter, hot)[place]
+        del shorter, place
         starts = _starts(words[:-1])
         total, *kinds = self.context_totals([w[starts] for w in words[:-1]], hot)
         by, known = self.by[len(words)], np.maximum(total, 1)
-        runs = np.diff(np.append(starts, len(order)))
+        runs = np.diff(np.append(starts, len(chance)))
         spare, known, total = (np.repeat(x, runs) for x in (np.stack(kinds, axis=1) @ by / known, known, total))
         return np.where(total > 0, _taken(self.gram_counts(words, hot), by) / known + spare * chance, chance)
 
@@ -374,7 +404,7 @@ def _count_words(n_shards: int):
             counter.done = []
 
         for batch in batches:
-            for _, rows in slices(batch.column("text")):
+            for _, rows in slices(batch.column("text"), COUNT_BYTES):
                 _, tokens, hashes = token_codes(rows)
                 counter.add(hashes, np.bincount(tokens, minlength=len(hashes)))
                 if counter.done and len(counter.done[0]) > FLUSH:
@@ -412,7 +442,7 @@ def _count_grams(known: Shelf, hot, order: int):
             yield from _deal_grams(columns, counts, known.n_shards, hot.value)
 
         for batch in batches:
-            for _, rows in slices(batch.column("text")):
+            for _, rows in slices(batch.column("text"), COUNT_BYTES):
                 size, codes, hashes = token_codes(rows)
                 sizes.append(size)
                 tokens.append(known.numbers(hashes)[1][codes])
@@ -644,14 +674,11 @@ def _kinds(rows: DataFrame) -> np.ndarray:
 def _score(model: Model, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows in slices(batch.column("text")):
+            for first, rows in slices(batch.column("text"), SCORE_BYTES):
                 sizes, tokens, hashes = token_codes(rows)
                 count, numbers = model.numbers(hashes)
-                grams = _grams(sizes, numbers[tokens], model.order)
-                order, first_rows = _groups(grams)
-                place = np.empty(len(order), dtype=np.int64)
-                place[order] = np.repeat(np.arange(len(first_rows)), np.diff(np.append(first_rows, len(order))))
-                score = np.log10(model.chances([g[order[first_rows]] for g in grams], hot.value))
+                grams, place = _distinct(_grams(sizes, numbers[tokens], model.order))
+                score = np.log10(model.chances(grams, hot.value))
                 starts = np.cumsum(sizes) - sizes
                 columns = [
                     pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64)[tokens], starts)),
