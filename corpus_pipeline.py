@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threatlens.llm import cost_packing, exact_dedup, lsh_forest, quality
 from threatlens.llm.common import settle, table
 from threatlens.llm.queries import QUALITY_THRESHOLD, tokenizer_path
+from threatlens.llm.words import MEMORY
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,8 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that stayed, in sequences of 1024 tokens."""
-    return cost_packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0).drop("ids")
+    """Pieces of the documents that stayed, in sequences of 1024 tokens; workers still hold what earlier stages kept."""
+    return cost_packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, word_memory=MEMORY).drop("ids")
 
 
 STAGES = [

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threatlens.llm import cost_packing, token_files, words
-from threatlens.llm.queries import tokenizer_path
+from threatlens.llm.queries import op8_packing, tokenizer_path
 from threatlens.llm.words import WordEncoder, tokenizer
 from threatlens.session import fresh_folder
 
@@ -76,6 +76,22 @@ def test_the_library_is_asked_once_for_many_words(monkeypatch):
     assert len(asked) == len(set(asked)) == 350_000
 
 
+def test_packing_asks_the_library_once_for_many_words(spark, monkeypatch):
+    """The registered query's scan function, given the same 350,000 words three times."""
+    made, real = [], cost_packing._pack
+    monkeypatch.setattr(cost_packing, "_pack", lambda *a: made.append(real(*a)) or made[-1])
+    op8_packing(spark, "/root/testdata/sf0.001")
+    asked = []
+    monkeypatch.setattr(WordEncoder, "_word", lambda self, word, before="": asked.append(word) or b"\1\0\0\0")
+    monkeypatch.setattr(words, "_ENCODERS", {})
+    monkeypatch.setattr(cost_packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": lambda: 0}))
+    texts = [" ".join(f"w{i}" for i in range(first, first + 1000)) for first in range(0, 350_000, 1000)] * 3
+    batches = [pa.record_batch([pa.array(range(k, k + 35)), pa.array(texts[k : k + 35])], names=["doc_id", "text"]) for k in range(0, len(texts), 35)]
+    out = pa.Table.from_batches(made[0](iter(batches)))
+    assert sum(out.column("length").to_pylist()) == 1001 * len(texts) and set(out.column("doc_tokens").to_pylist()) == {1001}
+    assert len(asked) == len(set(asked)) == 350_000
+
+
 def test_long_words_are_kept_in_smaller_number():
     memo = words.Memo(lambda word: b"", 100)
     for i in range(1000):

@@ -16,6 +16,8 @@ from .words import encoder
 
 #: Tokens of rests that are packed together: 1024 sequences at the usual capacity.
 WINDOW_TOKENS = 1 << 20
+#: Words kept in a worker's memory (twice, see ``words``): a word that is not kept costs a call of the library.
+MEMORY = 400_000
 #: Scan tasks whose last tokens, less than a sequence each, are packed by one task.
 JOINED_TASKS = 1024
 #: Sequences are numbered from a task's number times 2^40; tasks of the second pass come after all scan tasks.
@@ -136,10 +138,10 @@ class _Packer:
             yield pa.record_batch(arrays, names=[f.split()[0] for f in WAITING.split(",")])
 
 
-def _pack(path: str, end_id: int, *settings):
+def _pack(path: str, end_id: int, memory: int, *settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        packer, words = _Packer(task, *settings), encoder(path)
+        packer, words = _Packer(task, *settings), encoder(path, memory)
         end = np.int32(end_id).tobytes()
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
@@ -173,7 +175,7 @@ def _join_rests(*settings):
 def pack(
     docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, linear: float = 1.0,
     quadratic: float = 1 / 1024, window_tokens: int = WINDOW_TOKENS, with_ids: bool = False,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", word_memory: int = MEMORY,
 ) -> DataFrame:
     """Pieces of all documents, each with its sequence and its place there.
 
@@ -183,7 +185,7 @@ def pack(
     What a task holds at its end, less than one sequence, is handed on, and these rests of JOINED_TASKS tasks are
     packed together: only that is exchanged, and only there sequences of a power of two tokens arise, so no
     sequence needs padding and short ones do not grow with the number of partitions. The pieces of the first pass
-    are stored. Memory is one window.
+    are stored. Memory is one window and the ids of ``word_memory`` words, twice.
 
     A null or empty text has the end id only. Rows that repeat an id are packed as documents of their own; a
     null id is kept. Very long texts are cut, never shortened. Other columns are not looked at. An empty table
@@ -191,7 +193,7 @@ def pack(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     settings = (capacity, linear, quadratic, window_tokens, with_ids)
-    first = settle(rows.mapInArrow(_pack(tokenizer_path, end_id, *settings), WAITING), "packed-pieces")
+    first = settle(rows.mapInArrow(_pack(tokenizer_path, end_id, word_memory, *settings), WAITING), "packed-pieces")
     names = [f.split()[0] for f in PIECE.split(",")]
     rests = first.filter("sequence_id is null")
     tasks = rests.agg(F.countDistinct("task")).first()[0]
