@@ -90,6 +90,43 @@ def test_layout_does_not_matter_and_model_is_stored(spark, tmp_path):
     assert sum(first.importances().values()) == pytest.approx(1.0)
 
 
+def test_one_task_grows_the_trees_of_many_jobs(spark, monkeypatch):
+    data, rows = table(spark, 400, seed=5)
+    rows = rows.unionByName(rows.where("a > 1")).withColumn("twin", F.col("c") * 2).repartition(3)
+
+    def grown(group: str) -> tuple[boosting.BoostedTrees, int]:
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            model = boosting.fit(rows, [*NAMES, "twin"], "label", "is_valid", rounds=9, depth=4, rate=0.3)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return model, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, n_few = grown("few-rows")
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(boosting, "SETTLE_ROUNDS", 2)
+    many, n_many = grown("many-rows")
+    pd.testing.assert_frame_equal(few.nodes, many.nodes)
+    assert few.aucs == many.aucs and n_few < 9 * 4 < n_many
+
+
+def test_features_summed_as_one_are_told_apart():
+    rng = np.random.default_rng(2)
+    n_bins = [256, 1, 2, 16, 3, 8, 2]
+    assert sorted(i for g in boosting.joint_features(n_bins) for i in g) == list(range(7))
+    assert all(np.prod([n_bins[i] for i in g]) <= boosting.BINS for g in boosting.joint_features(n_bins))
+    bins = np.stack([rng.integers(0, n, 500).astype(np.uint8) for n in n_bins])
+    node, g, h = rng.integers(1, 3, 500), rng.integers(-50, 50, 500).astype(float), rng.integers(0, 9, 500).astype(float)
+    sums = boosting.Sums(n_bins, 1)
+    sums.add(bins[:, :300], node[:300], g[:300], h[:300])
+    sums.add(bins[:, 300:], node[300:], g[300:], h[300:])
+    nodes, found = sums.whole()
+    assert list(nodes) == [1, 2]
+    for at, i, b in [(0, 0, bins[0, 7]), (1, 3, 5), (0, 5, 0), (1, 6, 1), (0, 1, 0)]:
+        mine = (node == nodes[at]) & (bins[i] == b)
+        assert list(found[at, i, b]) == [g[mine].sum(), h[mine].sum()]
+
+
 def test_stops_after_patience_and_keeps_the_best_round(spark, monkeypatch):
     monkeypatch.setattr(boosting, "SETTLE_ROUNDS", 2)
     rng = np.random.default_rng(3)
