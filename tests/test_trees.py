@@ -1,10 +1,14 @@
 """Boosted trees and the random forest against plain numpy versions."""
 
+import threading
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from threatlens.catalog import queries
 from threatlens.models import boosting, forest, trees
 
 NAMES = ["a", "b", "c"]
@@ -127,6 +131,22 @@ def test_features_summed_as_one_are_told_apart():
         assert list(found[at, i, b]) == [g[mine].sum(), h[mine].sum()]
 
 
+def test_halves_train_side_by_side(spark, monkeypatch):
+    both, flows = threading.Barrier(2, timeout=60), spark.range(6).select(F.col("id").cast("string").alias("flow_id"))
+    known = []
+
+    def train_or_load(spark, path, half):
+        both.wait()  # passed only if the other half is being trained as well
+        known.append(sorted(r["flow_id"] for r in half.collect()))
+        return known[-1]
+
+    monkeypatch.setattr(queries.flow_agent, "train_or_load", train_or_load)
+    monkeypatch.setattr(queries.flow_agent, "grade", lambda rest, art: rest.withColumn("known", F.lit(",".join(art))))
+    out = queries.graded_apart(SimpleNamespace(spark=spark, stored=flows)).collect()
+    assert sorted(r["flow_id"] for r in out) == list("012345") and sorted(sum(known, [])) == list("012345")
+    assert all(r["flow_id"] not in r["known"].split(",") for r in out)
+
+
 def test_stops_after_patience_and_keeps_the_best_round(spark, monkeypatch):
     monkeypatch.setattr(boosting, "SETTLE_ROUNDS", 2)
     rng = np.random.default_rng(3)
