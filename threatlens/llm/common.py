@@ -8,7 +8,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import fresh_folder, prepare, settle
+from ..session import fresh_folder, prepare
 
 __all__ = [
     "fold", "fresh_folder", "list_column", "open_store", "prepare", "sent", "settle", "table", "unused", "with_offsets",
@@ -21,6 +21,14 @@ SENT_ROWS = 1 << 19
 BATCH_BYTES = 4 << 20
 
 
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Writes an intermediate table to the shared folder with the session's compression and reads it back."""
+    spark = df.sparkSession
+    path = fresh_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import fusion as fu
 from ..operators import response as rs
 from ..operators.evaluation import join_labels, tune_threshold
 from ..operators.killchain import killchain_paths
-from ..session import settle
+from ..session import settle, settle_parts
 from . import behavior_agent, flow_agent, packet_agent
 
 
@@ -45,14 +46,19 @@ def fuse_and_respond(
 ) -> Outputs:
     """From the agents' scores to decisions. ``flows`` has one row per flow_id."""
     behavior = behavior_agent.behavior_scores(behavior_results)
-    correlation = fu.correlate(flows, flow_scores, packet, behavior, seeds, ja3_signal)
-    scored = settle(
-        correlation.select(
-            "flow_id", "attack_probability", "severity", "agents_fired", "boost_applied",
-            "mitre_technique", "predicted_category",
-        ),
-        "correlation",
+    spark, rest = flows.sparkSession, [c for c in flows.columns if c not in fu.FLOW_COLUMNS]
+
+    def fused() -> DataFrame:
+        return fu.correlate(flows.select(*fu.FLOW_COLUMNS), flow_scores, packet, behavior, seeds, ja3_signal)
+
+    correlation = settle_parts(spark, [fused], "correlation")
+    scored = correlation.select(
+        "flow_id", "attack_probability", "severity", "agents_fired", "boost_applied",
+        "mitre_technique", "predicted_category",
     )
+    if rest:  # columns of the flows that fusion does not read
+        others = flows.select(F.col("flow_id").alias("_id"), *rest)
+        correlation = correlation.join(others, F.col("flow_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     threshold = tune_threshold(join_labels(scored, t.labels), max_fpr)
     responded = rs.respond(scored, flows, t.hosts, threshold, seeds)
     shortlist = rs.swift_shortlist(responded, behavior_results, top_n)
