@@ -9,6 +9,7 @@ from threatlens import session
 from threatlens.catalog import queries
 from threatlens.operators import fusion, ordered
 from threatlens.plans import full_run
+from threatlens.streaming import live
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +106,19 @@ def test_full_run_hands_out_all_columns(spark, folder):
     want = fusion.correlate(t.flows, t.flow_scores, t.packet_scores, t.behavior_scores.where("false"))
     out = full_run.fuse_and_respond(t.flows, tables, t.flow_scores, t.packet_scores, t.results.where("false")).correlation
     assert set(out.columns) == set(want.columns) and rows_of(out) == rows_of(want)
+
+
+def test_cooldown_makes_its_candidates_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = [("a", "x", "HIGH", f"2024-01-01 00:00:{s:02d}") for s in range(30)]
+    found = spark.createDataFrame(rows, "src_ip string, attack_name string, severity string, at string").select(
+        "src_ip", "attack_name", "severity", F.to_timestamp("at").alias("alert_time"), *[F.lit(0.5).alias(c) for c in live.ALERT_SCORES]
+    )
+    out = live.cooled_batch(found.mapInPandas(seen, live.ALERT_SCHEMA), 10)
+    assert sorted(r["alert_time"].second for r in out.collect()) == [0, 11, 22] and made.value == 30
